@@ -1,0 +1,5 @@
+"""Intentionally empty: every input of this library is read in one batch.
+
+No source, window or state of the covered workload is a stream, so nothing
+is offered here.
+"""
