@@ -145,7 +145,7 @@ _VARIANTS = " union all ".join(
           round(stddev_pop(base - s), 6) as importance_std
         from (select feature, rep, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(y)) as s from (
             with dealt as (select *, md5(token || '|' || rep) as ord from ml_test, generate_series(0, 14) g(rep)),
-            bucketed as (select *, substring(ord, 1, cast(greatest(0, ceil(log(greatest(count(*) over () / 15, 1)
+            bucketed as (select *, right(token, cast(greatest(0, ceil(log(greatest(count(*) over () / 15, 1)
                 / {SHUFFLE_ROWS}.0) / log(16))) as int)) as bucket from dealt),
             moved as (select rep, y, {', '.join(_USED)},
               {', '.join(f"coalesce(lead({f}) over w, first({f}) over w) as o_{f}" for f in _USED)}

@@ -78,7 +78,17 @@ def widen(
     """
     labels = label_values(long, label) if labels is None else labels
     cell = only_value(value, f"widen {value}").alias(value)
-    return long.groupBy(*[quoted(k) for k in keys]).pivot(label, labels).agg(cell)
+    return _by_key(long, keys).groupBy(*[quoted(k) for k in keys]).pivot(label, labels).agg(cell)
+
+
+def _by_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash rows on the keys alone.
+
+    A pivot aggregates twice, by (keys, label) and by keys.  Cells are unique,
+    so combining before the exchange saves nothing; hashing on the keys lets one
+    exchange serve both.
+    """
+    return df.repartition(*[F.col(quoted(k)) for k in keys])
 
 
 def widen_votes(votes: DataFrame, vote_columns: list[str]) -> DataFrame:
@@ -89,7 +99,7 @@ def widen_votes(votes: DataFrame, vote_columns: list[str]) -> DataFrame:
     elections = label_values(labelled, "_election")
     measures = ["inscrits", *vote_columns]
     cells = [only_value(c, f"votes {c}").alias(c) for c in measures]
-    wide = labelled.groupBy("codecommune").pivot("_election", elections).agg(*cells)
+    wide = _by_key(labelled, ["codecommune"]).groupBy("codecommune").pivot("_election", elections).agg(*cells)
     ordered = [
         F.col(quoted(f"{e}_{c}")).alias(f"{c}{e}") for e in elections for c in measures
     ]

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from panelweave.fixed_values import AUGMENTATION_SUFFIXES
 from panelweave.functions.numbers import relative_change
-from panelweave.operators.distribution import rank_pct, winsorize
-from panelweave.operators.periods import with_previous
-from panelweave.storage import ROWS_PER_TASK
+from panelweave.operators.distribution import GroupSizes, rank_pct, winsorize
+from panelweave.operators.periods import with_neighbours, with_previous
+from panelweave.storage import ROWS_PER_TASK, pin_small
 
 _GROUP = ["feature", "annee"]
 
@@ -24,21 +24,30 @@ def augment(
     ``features`` is (codecommune, feature, annee, value), unique on the first
     three.  Kinds built on winsorised values compute them without being asked.
     Ranks and quantiles group by (feature, year); previous values group by
-    (commune, feature): at most one exchange of the rows for each.
+    (commune, feature): at most one exchange of the rows for each.  A first
+    pass counts the groups; it serves as catalog and tells how large they are.
     """
     kinds = list(kinds)
+    counted = features.groupBy(*_GROUP).agg(F.count("value").alias("_n"))
+    catalog = pin_small(with_neighbours(counted, ["feature"], "annee"))
+    largest, total = catalog.agg(F.max("_n"), F.sum("_n")).first()
+    sizes = GroupSizes(int(largest or 0), int(total or 0))
     on_winsor = {"winsor", "deltawinsor", "lagwinsor", "pct_changewinsor"} & set(kinds)
     on_previous = set(kinds) - {"raw", "rank", "winsor"}
     table = features.select("codecommune", *_GROUP, "value")
     carried = ["value"]
     if on_winsor:
-        table = winsorize(table, _GROUP, "value", "winsor", rows_per_task=rows_per_task)
+        table = winsorize(
+            table, _GROUP, "value", "winsor", rows_per_task=rows_per_task, sizes=sizes
+        )
         carried.append("winsor")
     if "rank" in kinds:
-        table = rank_pct(table, _GROUP, "value", "rank", rows_per_task)
+        table = rank_pct(table, _GROUP, "value", "rank", rows_per_task, sizes)
         carried.append("rank")
     if on_previous:
-        table = with_previous(table, "codecommune", ["feature"], "annee", carried)
+        table = with_previous(
+            table, "codecommune", ["feature"], "annee", carried, catalog.drop("_n")
+        )
     built = {
         "raw": lambda: F.col("value"),
         "rank": lambda: F.col("rank"),

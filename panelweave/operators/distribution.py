@@ -2,17 +2,22 @@
 
 A group here is one (feature, year), and holds every entity.  When the largest
 group fits one task comfortably, Spark's own window and ``percentile`` do the
-work.  Beyond that the distinct values are counted first, range-partitioned on
-(group, value) and written once; each slice is then summed on its own and
-shifted by the total of the slices before it.  No task holds a whole group and
-no result is approximate.
+work.  Beyond that no task ever holds a whole group:
+
+* ranks: distinct values are counted, range-partitioned on (group, value) and
+  written once; each slice is summed on its own and shifted by the total of the
+  slices before it;
+* quantiles: a sketch brackets each quantile within a narrow band, then only
+  the band's values are counted and ranked exactly.  The sketch decides what is
+  read, never what is returned.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from math import ceil
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.fixed_values import WINSOR_HIGH, WINSOR_LOW
@@ -23,32 +28,45 @@ from panelweave.storage import (
     LOOKUP_SALTS,
     ROWS_PER_TASK,
     SMALL_TABLE_ROWS,
-    largest_group,
     pin_small,
     stage,
 )
 
+SKETCH_ACCURACY = 10_000
+_BAND = 3.0 / SKETCH_ACCURACY
+
+
+@dataclass(frozen=True)
+class GroupSizes:
+    """Non-NULL rows of the largest group and of all groups."""
+
+    largest: int
+    total: int
 
-def value_positions(
-    df: DataFrame, groups: list[str], value: str, total_rows: int, rows_per_task: int = ROWS_PER_TASK
+
+def group_sizes(df: DataFrame, groups: list[str], value: str) -> GroupSizes:
+    per_group = df.groupBy(*groups).agg(F.count(value).alias("n"))
+    top, total = per_group.agg(F.max("n"), F.sum("n")).first()
+    return GroupSizes(int(top or 0), int(total or 0))
+
+
+def cumulate(
+    counts: DataFrame, groups: list[str], value: str, distinct: int, rows_per_task: int
 ) -> DataFrame:
-    """(groups, value, copies, below, total) for each distinct non-NULL value.
+    """Add ``below`` and ``total`` to (groups, value, copies), one row per value.
 
-    ``below`` counts the group's smaller rows, ``total`` all its non-NULL rows.
+    ``below`` counts the copies of smaller values, a NULL value coming first;
+    ``total`` all copies of the group.  ``distinct`` bounds the rows of
+    ``counts`` and sizes the slices.
     """
-    slices = max(2, ceil(2 * total_rows / rows_per_task))
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*groups, value)
-        .agg(F.count(F.lit(1)).alias("copies"))
-    )
+    slices = max(2, ceil(2 * distinct / rows_per_task))
     sliced = stage(
-        counts.repartitionByRange(slices, *groups, value).withColumn(
-            "_slice", F.spark_partition_id()
-        ),
+        counts.repartitionByRange(
+            slices, *groups, F.col(value).asc_nulls_first()
+        ).withColumn("_slice", F.spark_partition_id()),
         "value-counts",
     )
-    before = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(
+    earlier = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(
         Window.unboundedPreceding, -1
     )
     shifts = (
@@ -57,21 +75,24 @@ def value_positions(
         .select(
             *groups,
             "_slice",
-            F.coalesce(F.sum("_in_slice").over(before), F.lit(0)).alias("_shift"),
+            F.coalesce(F.sum("_in_slice").over(earlier), F.lit(0)).alias("_shift"),
             F.sum("_in_slice").over(Window.partitionBy(*groups)).alias("total"),
         )
     )
-    inside = Window.partitionBy(*groups, "_slice").orderBy(value).rowsBetween(
-        Window.unboundedPreceding, -1
+    smaller = (
+        Window.partitionBy(*groups, "_slice")
+        .orderBy(F.col(value).asc_nulls_first())
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
+    within = F.coalesce(F.sum("copies").over(smaller), F.lit(0))
     return (
-        sliced.withColumn("_within", F.coalesce(F.sum("copies").over(inside), F.lit(0)))
+        sliced.withColumn("_within", within)
         .join(shifts, [*groups, "_slice"])
         .select(*groups, value, "copies", (F.col("_shift") + F.col("_within")).alias("below"), "total")
     )
 
 
-def _average_rank(below, copies, total):
+def _average_rank(below: Column, copies: Column, total: Column) -> Column:
     return (below + (copies + F.lit(1)) / F.lit(2.0)) / total
 
 
@@ -81,22 +102,22 @@ def rank_pct(
     value: str,
     out: str = "rank_pct",
     rows_per_task: int = ROWS_PER_TASK,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """Average rank of ties over the non-NULL count; NULL stays NULL."""
-    largest, total = largest_group(df, groups, value)
-    if largest <= rows_per_task:
-        v = F.col(value)
+    sizes = sizes or group_sizes(df, groups, value)
+    v = F.col(value)
+    if sizes.largest <= rows_per_task:
         ordered = Window.partitionBy(*groups).orderBy(v.asc_nulls_last())
         ties = F.count(v).over(Window.partitionBy(*groups, value))
         everyone = F.count(v).over(Window.partitionBy(*groups))
         rank = _average_rank(F.rank().over(ordered) - 1, ties, everyone)
         return df.withColumn(out, F.when(v.isNotNull(), rank))
-    positions = value_positions(df, groups, value, total, rows_per_task)
-    ranks = positions.select(
-        *groups, value, "copies",
-        _average_rank(F.col("below"), F.col("copies"), F.col("total")).alias(out),
-    )
-    return _attach(df, stage(ranks, "value-ranks"), [*groups, value], value, out, total, rows_per_task)
+    counts = df.filter(v.isNotNull()).groupBy(*groups, value).agg(F.count(v).alias("copies"))
+    positions = cumulate(counts, groups, value, sizes.total, rows_per_task)
+    rank = _average_rank(F.col("below"), F.col("copies"), F.col("total"))
+    ranks = stage(positions.select(*groups, value, "copies", rank.alias(out)), "value-ranks")
+    return _attach(df, ranks, [*groups, value], value, out, sizes.total, rows_per_task)
 
 
 def _attach(df, ranks, keys, value, out, total, rows_per_task) -> DataFrame:
@@ -107,7 +128,9 @@ def _attach(df, ranks, keys, value, out, total, rows_per_task) -> DataFrame:
     from the second join and are spread by hash instead of meeting in one task.
     """
     threshold = max(rows_per_task // 10, ceil(total / SMALL_TABLE_ROWS), 1)
-    common = pin_small(ranks.filter(F.col("copies") > threshold).select(*keys, F.col(out).alias("_hot")))
+    common = pin_small(
+        ranks.filter(F.col("copies") > threshold).select(*keys, F.col(out).alias("_hot"))
+    )
     rare = ranks.filter(F.col("copies") <= threshold).select(*keys, F.col(out).alias("_cold"))
     spread = F.pmod(F.xxhash64(*[F.col(quoted(c)) for c in df.columns]), F.lit(LOOKUP_SALTS)) + 1
     needs_join = F.col("_hot").isNull() & F.col(value).isNotNull()
@@ -125,6 +148,11 @@ def _attach(df, ranks, keys, value, out, total, rows_per_task) -> DataFrame:
     )
 
 
+def _interpolate(total: Column, p: float, low: Column, high: Column) -> Column:
+    at = (total - 1) * F.lit(p)
+    return low + (high - low) * (at - F.floor(at))
+
+
 def quantiles(
     df: DataFrame,
     groups: list[str],
@@ -132,30 +160,78 @@ def quantiles(
     probabilities: list[float],
     names: list[str],
     rows_per_task: int = ROWS_PER_TASK,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles per group, NULLs skipped."""
-    largest, total = largest_group(df, groups, value)
-    if largest <= rows_per_task:
-        array = F.percentile(value, list(probabilities))
-        return df.groupBy(*groups).agg(array.alias("_q")).select(
-            *groups, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)]
+    """Exact linearly interpolated quantiles per group, NULLs skipped.
+
+    The result has one row per group and is pinned when that is small.
+    """
+    sizes = sizes or group_sizes(df, groups, value)
+    if sizes.largest <= rows_per_task:
+        found = df.groupBy(*groups).agg(F.percentile(value, list(probabilities)).alias("_q"))
+        return pin_small(
+            found.select(*groups, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+        )
+    banded = pin_small(_band_quantiles(df, groups, value, probabilities, names, sizes, rows_per_task))
+    uncovered = banded.filter((F.col("_n") > 0) & F.greatest(*[F.col(n).isNull() for n in names]))
+    if not uncovered.isEmpty():
+        banded = pin_small(
+            _band_quantiles(df, groups, value, probabilities, names, sizes, rows_per_task, widest=True)
+        )
+    return pin_small(banded.drop("_n"))
+
+
+def _band_quantiles(
+    df, groups, value, probabilities, names, sizes, rows_per_task, widest=False
+) -> DataFrame:
+    """Quantiles found among the values of a band around each; NULL if outside.
+
+    ``widest`` makes every band the whole group.
+    """
+    v = F.col(value)
+    ends = [e for p in probabilities for e in (max(p - _BAND, 0.0), min(p + _BAND, 1.0))]
+    if widest:
+        ends = [0.0, 1.0] * len(probabilities)
+    sketch = F.percentile_approx(v, ends, SKETCH_ACCURACY)
+    bands = pin_small(df.groupBy(*groups).agg(sketch.alias("_ends"), F.count(v).alias("_n")))
+    inside = [
+        F.when(
+            v <= F.col("_ends")[2 * i + 1],
+            F.struct(F.lit(i).alias("_i"), F.when(v >= F.col("_ends")[2 * i], v).alias("_v")),
         )
-    positions = value_positions(df, groups, value, total, rows_per_task)
+        for i in range(len(probabilities))
+    ]
+    # values under a band collapse into one NULL entry, values over it vanish
+    counts = (
+        lookup_join(df.select(*groups, value).filter(v.isNotNull()), bands, groups)
+        .select(*groups, F.inline(F.array_compact(F.array(*inside))))
+        .groupBy(*groups, "_i", "_v")
+        .agg(F.count(F.lit(1)).alias("copies"))
+    )
+    width = 1.0 if widest else min(1.0, 4 * _BAND)
+    expected = ceil(sizes.total * len(probabilities) * width)
+    positions = lookup_join(
+        cumulate(counts, [*groups, "_i"], "_v", expected, rows_per_task).drop("total"), bands, groups
+    )
     picked = []
     for i, p in enumerate(probabilities):
-        at = (F.col("total") - 1) * F.lit(p)
+        at = (F.col("_n") - 1) * F.lit(p)
         for side, index in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            covers = (F.col("below") <= index) & (index < F.col("below") + F.col("copies"))
-            picked.append(F.max(F.when(covers, F.col(value))).alias(f"_{side}{i}"))
-    found = positions.groupBy(*groups).agg(F.max("total").alias("total"), *picked)
-    results = []
-    for i, (p, n) in enumerate(zip(probabilities, names)):
-        at = (F.col("total") - 1) * F.lit(p)
-        low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        results.append((low + (high - low) * (at - F.floor(at))).alias(n))
-    bounds = found.select(*groups, *results)
-    # groups that hold NULLs only still get their row
-    return df.select(*groups).distinct().join(bounds, groups, "left")
+            covers = (
+                (F.col("_i") == i)
+                & (F.col("below") <= index)
+                & (index < F.col("below") + F.col("copies"))
+            )
+            picked.append(F.max(F.when(covers, F.col("_v"))).alias(f"_{side}{i}"))
+    found = positions.groupBy(*groups).agg(*picked)
+    return bands.select(*groups, "_n").join(found, groups, "left").select(
+        *groups,
+        "_n",
+        *[
+            _interpolate(F.col("_n"), p, F.col(f"_lo{i}"), F.col(f"_hi{i}")).alias(n)
+            for i, (p, n) in enumerate(zip(probabilities, names))
+        ],
+    )
 
 
 def winsorize(
@@ -166,10 +242,11 @@ def winsorize(
     low: float = WINSOR_LOW,
     high: float = WINSOR_HIGH,
     rows_per_task: int = ROWS_PER_TASK,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """Clip to the group's own quantiles; the bounds are one row per group."""
-    bounds = quantiles(df, groups, value, [low, high], ["_low", "_high"], rows_per_task)
-    joined = lookup_join(df, pin_small(bounds), groups)
+    bounds = quantiles(df, groups, value, [low, high], ["_low", "_high"], rows_per_task, sizes)
+    joined = lookup_join(df, bounds, groups)
     return joined.withColumn(out, clip(F.col(value), F.col("_low"), F.col("_high"))).drop(
         "_low", "_high"
     )
@@ -189,7 +266,7 @@ def impute_medians(
     """Fill missing values of ``columns`` with the column's median."""
     middle = {r["column"]: r["median"] for r in medians(df, columns, rows_per_task).collect()}
     filled = {
-        c: F.coalesce(F.col(quoted(c)).cast("double"), F.lit(middle[c]).cast("double"))
+        c: F.coalesce(F.col(quoted(c)).cast("double"), F.lit(middle.get(c)).cast("double"))
         for c in columns
     }
     return df.withColumns(filled)

@@ -16,7 +16,7 @@ from panelweave.fixed_values import CV_FOLDS, PERMUTATION_REPEATS, RANDOM_SEED,
 from panelweave.operators.columns import quoted
 from panelweave.operators.sampling import kfold, row_token, split_train_test
 
-SHUFFLE_ROWS = 100_000
+SHUFFLE_ROWS = 10_000
 SCORINGS = {
     "r2": "r2",
     "neg_root_mean_squared_error": "rmse",
@@ -67,10 +67,11 @@ def permutation_importance(
     """(feature, importance_mean, importance_std): score lost by shuffling it.
 
     ``predict`` adds a ``prediction`` column to rows that have ``features``.
-    In each repeat rows are dealt into random hash buckets of bounded size and
-    ordered at random; every row takes the feature values of the next row of
-    its bucket, the last those of the first.  All features share the shuffle of
-    a repeat, each being replaced alone when scored.
+    Rows are dealt once into random hash buckets of bounded size.  In each
+    repeat a bucket is ordered anew at random; every row takes the feature
+    values of the next row, the last those of the first.  All features share
+    the order of a repeat, each being replaced alone when scored.  Rows cross
+    the network once, before they are multiplied.
     """
     rows = test.count()
     digits = max(0, ceil(log(max(rows, 1) / SHUFFLE_ROWS, 16)))
@@ -79,9 +80,10 @@ def permutation_importance(
     before = predict(base).agg(_score(F.col("_y"), F.col("prediction"), scoring)).first()[0]
 
     dealt = (
-        base.withColumn("_repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+        base.withColumn("_bucket", F.substring("_t", -digits, digits) if digits else F.lit(""))
+        .repartition("_bucket")
+        .withColumn("_repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
         .withColumn("_order", F.md5(F.concat_ws("|", "_t", F.col("_repeat").cast("string"))))
-        .withColumn("_bucket", F.substring("_order", 1, digits))
     )
     w = Window.partitionBy("_repeat", "_bucket").orderBy("_order")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

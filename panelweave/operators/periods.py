@@ -10,7 +10,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.numbers import relative_change
@@ -31,6 +31,17 @@ def period_catalog(df: DataFrame, feature: list[str], year: str) -> DataFrame:
     return pin_small(with_neighbours(df.select(*feature, year).distinct(), feature, year))
 
 
+def _one_row_per_period(year: str, w, what: str) -> Column:
+    """True, or an error at run time when a window holds a period twice.
+
+    Peers are counted, not years compared: the optimizer may put a constant
+    from a later filter in place of the year.
+    """
+    peers = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
+    clash = F.raise_error(F.lit(f"{what}: two rows for one {year}")).cast("boolean")
+    return F.when(peers > 1, clash).otherwise(F.lit(True))
+
+
 def with_previous(
     df: DataFrame,
     entity: str,
@@ -45,7 +56,8 @@ def with_previous(
     and no row in the next, that next row is emitted with NULL values and its
     previous value, so the result equals the one on the full entity x catalog
     grid (less its all-NULL rows) without building the grid.
-    Rows are grouped by (entity, feature); a group holds one row per year.
+    Rows are grouped by (entity, feature); a group holds one row per year, and
+    a repeated year is an error.
     """
     if catalog is None:
         catalog = period_catalog(df, feature, year)
@@ -60,7 +72,8 @@ def with_previous(
         "*",
         *[F.when(follows, F.lag(v).over(w)).alias(f"prev_{v}") for v in values],
         (nothing_next & has_value).alias("_carry"),
-    )
+        _one_row_per_period(year, w, "features").alias("_unique"),
+    ).filter("_unique")
     own = F.struct(
         F.col(year), *[F.col(v) for v in values], *[F.col(f"prev_{v}") for v in values]
     )
@@ -92,7 +105,8 @@ def with_previous_elections(
 ) -> DataFrame:
     """Add each share's value at the last and last-but-one election of the type.
 
-    One exchange on (commune, type); a group holds one row per election year.
+    One exchange on (commune, type); a group holds one row per election year,
+    and a repeated year is an error.
     """
     if catalog is None:
         catalog = election_history(votes)
@@ -105,12 +119,13 @@ def with_previous_elections(
             *[F.when(y == F.col(wanted), F.lag(column, n).over(w)) for y, n in seen]
         )
 
-    added = {}
+    added = {"_unique": _one_row_per_period("annee", w, "votes")}
     for c in vote_columns:
         base = c.removeprefix("pvote")
         added[f"pvoteprevious{base}"] = at("_year_1", c)
         added[f"pvotepreviousprevious{base}"] = at("_year_2", c)
-    return dated.withColumns(added).select(*[quoted(c) for c in votes.columns], *added)
+    looked = dated.withColumns(added).filter("_unique")
+    return looked.select(*[quoted(c) for c in votes.columns], *[c for c in added if c != "_unique"])
 
 
 def election_history(votes: DataFrame) -> DataFrame:

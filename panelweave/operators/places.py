@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelweave.fixed_values import CITY_DISTRICTS
 from panelweave.functions.names import department
 from panelweave.operators.joins import lookup_join
+from panelweave.storage import pin_small
 
 
 def explode_districts(df: DataFrame, rules=CITY_DISTRICTS) -> DataFrame:
@@ -38,6 +39,7 @@ def add_coordinates(df: DataFrame, places: DataFrame) -> DataFrame:
     ``places`` has (position, codecommune, centroid_x, centroid_y).  "First" is
     the lowest position.  An unknown department leaves NULL.
     """
+    places = pin_small(places)
     first = (
         places.groupBy(department(F.col("codecommune")).alias("_dept"))
         .agg(F.min_by(F.struct("centroid_x", "centroid_y"), "position").alias("_first"))

@@ -8,6 +8,8 @@ found by counting hash prefixes, a few thousand counters at a time.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import accumulate
 from math import ceil
 
 from pyspark.sql import Column, DataFrame
@@ -25,19 +27,25 @@ def row_token(keys: list[str], seed: int = RANDOM_SEED) -> Column:
     return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
 
 
-def hash_cuts(df: DataFrame, token: Column, ranks: list[int]) -> dict[int, str]:
-    """Token found at each 1-based rank of the token order."""
+def hash_cuts(
+    df: DataFrame, token: Column, ranks: Callable[[int], list[int]]
+) -> tuple[int, dict[int, str]]:
+    """(number of rows, token found at each 1-based rank of the token order).
+
+    ``ranks`` maps the number of rows to the ranks wanted.  The driver sees
+    at most 4096 counters per open prefix, never rows in proportion to the data.
+    """
     tokens = df.select(token.alias("t"))
+
+    def count_prefixes(inside: DataFrame, width: int) -> list:
+        return sorted(inside.groupBy(F.substring("t", 1, width).alias("p")).count().collect())
+
+    width = _PREFIX_STEP
+    counted = count_prefixes(tokens, width)
+    rows = sum(n for _, n in counted)
     cuts: dict[int, str] = {}
-    open_ranks = {r: ("", r) for r in set(ranks)}
+    open_ranks = {r: ("", r) for r in set(ranks(rows)) if r > 0}
     while open_ranks:
-        prefixes = sorted({p for p, _ in open_ranks.values()})
-        depth = len(prefixes[0])
-        width = min(depth + _PREFIX_STEP, _HASH_DIGITS)
-        inside = tokens if depth == 0 else tokens.filter(F.substring("t", 1, depth).isin(prefixes))
-        counted = sorted(
-            inside.groupBy(F.substring("t", 1, width).alias("p")).count().collect()
-        )
         still_open = {}
         for rank, (prefix, left) in open_ranks.items():
             for p, n in counted:
@@ -49,34 +57,38 @@ def hash_cuts(df: DataFrame, token: Column, ranks: list[int]) -> dict[int, str]:
                 if width == _HASH_DIGITS:
                     cuts[rank] = p
                 elif n <= _FETCH_ROWS:
-                    rows = tokens.filter(F.col("t").startswith(p)).orderBy("t").limit(left)
-                    cuts[rank] = rows.agg(F.max("t")).first()[0]
+                    first = tokens.filter(F.col("t").startswith(p)).orderBy("t").limit(left)
+                    cuts[rank] = first.agg(F.max("t")).first()[0]
                 else:
                     still_open[rank] = (p, left)
                 break
             else:
                 raise ValueError(f"rank {rank} is beyond the number of rows")
         open_ranks = still_open
-    return cuts
+        if open_ranks:
+            prefixes = sorted({p for p, _ in open_ranks.values()})
+            inside = tokens.filter(F.substring("t", 1, width).isin(prefixes))
+            width = min(width + _PREFIX_STEP, _HASH_DIGITS)
+            counted = count_prefixes(inside, width)
+    return rows, cuts
 
 
 def sample_capped(
     df: DataFrame, keys: list[str], n: int = SAMPLE_ROWS, seed: int = RANDOM_SEED
 ) -> DataFrame:
     """At most ``n`` rows without replacement; ``keys`` must identify a row."""
-    if df.count() <= n:
-        return df
     token = row_token(keys, seed)
-    return df.filter(token <= F.lit(hash_cuts(df, token, [n])[n]))
+    rows, cuts = hash_cuts(df, token, lambda rows: [n] if rows > n else [])
+    return df if rows <= n else df.filter(token <= F.lit(cuts[n]))
 
 
 def split_train_test(
     df: DataFrame, keys: list[str], test: float = TEST_FRACTION, seed: int = RANDOM_SEED
 ) -> tuple[DataFrame, DataFrame]:
     """(train, test) with exactly ceil(test x rows) test rows."""
-    size = ceil(round(df.count() * test, 6))
     token = row_token(keys, seed)
-    cut = F.lit(hash_cuts(df, token, [size])[size]) if size else F.lit("")
+    _, cuts = hash_cuts(df, token, lambda rows: [ceil(round(rows * test, 6))])
+    cut = F.lit(next(iter(cuts.values()), ""))
     return df.filter(token > cut), df.filter(token <= cut)
 
 
@@ -84,16 +96,16 @@ def kfold(
     df: DataFrame, keys: list[str], k: int = CV_FOLDS, seed: int = RANDOM_SEED, out: str = "fold"
 ) -> DataFrame:
     """Shuffled fold number; fold sizes differ by at most one row."""
-    rows = df.count()
-    if rows < k:
-        raise ValueError(f"{rows} rows cannot fill {k} folds")
-    ends, end = [], 0
-    for fold in range(k - 1):
-        end += rows // k + (1 if fold < rows % k else 0)
-        ends.append(end)
+
+    def fold_ends(rows: int) -> list[int]:
+        if rows < k:
+            raise ValueError(f"{rows} rows cannot fill {k} folds")
+        sizes = [rows // k + (1 if fold < rows % k else 0) for fold in range(k)]
+        return list(accumulate(sizes))[:-1]
+
     token = row_token(keys, seed)
-    cuts = hash_cuts(df, token, ends)
+    _, cuts = hash_cuts(df, token, fold_ends)
     fold = F.lit(0)
-    for end in ends:
-        fold = fold + (token > F.lit(cuts[end])).cast("int")
+    for cut in cuts.values():
+        fold = fold + (token > F.lit(cut)).cast("int")
     return df.withColumn(out, fold)

@@ -15,8 +15,8 @@ from panelweave.operators.aggregates import label_values, mean_of_means, widen
 from panelweave.operators.asof import asof_backfill, backfill_map, resolve_years
 from panelweave.operators.augment import augmented_long
 from panelweave.operators.columns import drop_sparse, dropna_with_counts, quoted
-from panelweave.operators.joins import join_null_safe, require_unique, semi_keep_null
-from panelweave.operators.periods import with_previous_elections
+from panelweave.operators.joins import semi_keep_null
+from panelweave.operators.periods import election_history, with_previous_elections
 from panelweave.operators.places import add_coordinates, explode_districts
 from panelweave.sinks import write_versioned
 from panelweave.sources.cache import cached
@@ -28,6 +28,8 @@ from panelweave.storage import shared_folder
 # --- fixed value: the election whose rows without a commune code are dropped --
 ELECTION_WITH_UNCODED_ROWS = ("referendum", 1946)
 
+_NO_CODE = "\x00"
+
 
 def type_code(election_type: Column) -> Column:
     """Numeric code of an election type; -1 for a type without one."""
@@ -58,6 +60,18 @@ def encode_type(df: DataFrame, encoding: str, votes: DataFrame) -> DataFrame:
     )
 
 
+def _coded(df: DataFrame) -> DataFrame:
+    """Write a missing commune code out, so that a plain equality join matches it.
+
+    A null-safe join would hash on derived keys and exchange the wide side again.
+    """
+    return df.withColumn("codecommune", F.coalesce("codecommune", F.lit(_NO_CODE)))
+
+
+def _uncoded(df: DataFrame) -> DataFrame:
+    return df.withColumn("codecommune", F.nullif(F.col("codecommune"), F.lit(_NO_CODE)))
+
+
 @dataclass(frozen=True)
 class Dataset:
     rows: DataFrame
@@ -78,33 +92,32 @@ def assemble(
 ) -> Dataset:
     """One row per commune and selected election.
 
-    ``votes``: (codecommune, election_type, annee, inscrits, pvote...).
-    ``features``: (codecommune, feature, annee, value).  Every election is
-    served by the same plan: features are re-dated to each target year they
-    stand in for, widened once on (commune, year) and joined to the votes.
+    ``votes``: (codecommune, election_type, annee, inscrits, pvote...), unique
+    on the first three.  ``features``: (codecommune, feature, annee, value),
+    likewise; a repeated key is an error.  ``selected`` is a condition on type
+    and year.  Every election is served by the same plan: features are re-dated
+    to each target year they stand in for, widened on (commune, year), and
+    joined to the votes on the partitioning they then have.
     """
     keys = ["codecommune", "election_type", "annee"]
-    votes = require_unique(votes, keys, "votes")
     legacy_type, legacy_year = ELECTION_WITH_UNCODED_ROWS
     uncoded = (
         F.col("codecommune").isNull()
         & (F.col("election_type") == legacy_type)
         & (F.col("annee") == legacy_year)
     )
-    history = with_previous_elections(votes, vote_columns)
+    known = election_history(votes)
+    history = with_previous_elections(votes, vote_columns, known)
     candidates = history.filter(selected & ~uncoded)
     target, dropped = dropna_with_counts(candidates, vote_columns)
-    elections = sorted(
-        (r["election_type"], r["annee"])
-        for r in votes.filter(selected).select("election_type", "annee").distinct().collect()
-    )
+    elections = sorted((r["election_type"], r["annee"]) for r in known.filter(selected).collect())
     spark = votes.sparkSession
     years = spark.createDataFrame([(y,) for y in sorted({y for _, y in elections})], "target int")
     catalog = features.select("feature", "annee").distinct()
     resolved = resolve_years(catalog, years, max_past)
-    redated = asof_backfill(features, resolved)
+    redated = _coded(asof_backfill(features, resolved))
     wide = widen(redated, ["codecommune", "annee"], "feature", "value", label_values(resolved, "feature"))
-    rows = join_null_safe(target, wide, ["codecommune", "annee"], "left")
+    rows = _uncoded(_coded(target).join(wide, ["codecommune", "annee"], "left"))
     if places is not None:
         rows = add_coordinates(rows, places)
     rows = encode_type(rows, encoding, votes)

@@ -18,30 +18,17 @@ from panelweave.functions.names import (
 )
 from panelweave.functions.predicates import name_matches
 from panelweave.operators.columns import quoted
-
-_SUFFIX = ".parquet"
+from panelweave.sources.listing import parquet_datasets
 
 
 def covariate_files(
     spark: SparkSession, root: str, include: str = "communes", skip: str = "code"
 ) -> list[tuple[str, str]]:
-    """(dataset path, stem) of each matching file under ``root``.
-
-    A folder written by Spark counts as one dataset under the folder's name.
-    Only the listing is read, never file content.
-    """
-    listed = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("pathGlobFilter", f"*{_SUFFIX}").load(root).select("path")
-    )
-    # shortest leading part of the path that ends in .parquet
-    dataset = F.regexp_extract("path", r"^(.*?[^/]\.parquet)(/.*)?$", 1)
-    name = F.element_at(F.split(dataset, "/"), -1)
-    stem = F.regexp_replace(name, r"\.parquet$", "")
+    """(dataset path, stem) of each matching file under ``root``."""
+    stem = F.regexp_replace("name", r"\.parquet$", "")
     found = (
-        listed.select(dataset.alias("dataset"), stem.alias("stem"))
+        parquet_datasets(spark, root).select("dataset", stem.alias("stem"))
         .filter(name_matches(F.col("stem"), include, skip))
-        .distinct()
     )
     return sorted((r["dataset"], r["stem"]) for r in found.collect())
 

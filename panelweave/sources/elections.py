@@ -1,8 +1,9 @@
-"""Election tables whose type and year are in their folder names."""
+"""Election tables whose type and year are the names of their folders."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,9 +11,39 @@ from pyspark.sql import functions as F
 from panelweave.fixed_values import REMOVED_COMMUNES
 from panelweave.functions.predicates import not_in
 from panelweave.operators.columns import quoted
+from panelweave.sources.listing import parquet_datasets
 
-# {root}/{type}/{year}/..., each folder optionally written as key=value
-_FOLDERS = r"/(?:[^/=]+=)?([^/]+)/(?:[^/=]+=)?([^/]+)/"
+# {type}/{year}/..., each folder optionally written as key=value
+_FOLDERS = r"^(?:[^/=]+=)?([^/]+)/(?:[^/=]+=)?(\d{4})([A-Za-z]*)(?:/.*)?$"
+
+
+def election_files(
+    spark: SparkSession, root: str, exclude: Iterable[str] = ()
+) -> list[tuple[str, int, str, list[str]]]:
+    """(type, year, round, paths) of each election found under ``root``.
+
+    A folder is read as a whole unless some file in it is excluded.
+    """
+    parts = [F.regexp_extract("folder", _FOLDERS, i) for i in (1, 2, 3)]
+    kept = not_in(F.col("name"), list(exclude), keep_null=False)
+    folders = (
+        parquet_datasets(spark, root)
+        .filter(F.col("folder").rlike(_FOLDERS))
+        .groupBy(
+            parts[0].alias("election_type"),
+            parts[1].cast("int").alias("annee"),
+            parts[2].alias("round"),
+            F.regexp_extract("dataset", r"^(.*)/[^/]+$", 1).alias("path"),
+        )
+        .agg(F.bool_and(kept).alias("whole"), F.collect_set(F.when(kept, F.col("dataset"))).alias("files"))
+    )
+    paths = F.when(F.col("whole"), F.array("path")).otherwise(F.col("files"))
+    found = (
+        folders.select("election_type", "annee", "round", F.explode(paths).alias("path"))
+        .groupBy("election_type", "annee", "round")
+        .agg(F.sort_array(F.collect_set("path")))
+    )
+    return sorted((r[0], r[1], r[2], list(r[3])) for r in found.collect())
 
 
 def scan_elections(
@@ -20,41 +51,28 @@ def scan_elections(
     root: str,
     vote_variables: Iterable[str],
     exclude: Iterable[str] = (),
-    types: Iterable[str] = (),
     removed_communes: Iterable[str] = REMOVED_COMMUNES,
 ) -> DataFrame:
     """(codecommune, election_type, annee, round, inscrits, pvote{var}...).
 
-    ``exclude`` lists file names to skip.  ``types`` narrows the folders that
-    are listed at all.  Rows with a removed commune code go, rows without a
-    code stay.
+    ``exclude`` lists file names to skip.  Each election is a scan of its own
+    with a constant type and year, so a filter on them drops whole scans, and
+    files of different elections may store a column with different types.
+    Rows with a removed commune code go, rows without a code stay.
     """
-    base = root.rstrip("/")
-    wanted = list(types)
-    pattern = "{" + ",".join([*wanted, *(f"*={t}" for t in wanted)]) + "}" if wanted else "*"
-    files = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.parquet")
-        .parquet(f"{base}/{pattern}")
-    )
-    folder = base.rsplit("/", 1)[-1]
-    path = F.url_decode(F.col("_metadata.file_path"))
-    below = F.element_at(F.split(path, f"/{_escaped(folder)}(?=/)"), -1)
-    year = F.regexp_extract(below, _FOLDERS, 2)
-    rows = files.select(
-        F.col("codecommune").cast("string").alias("codecommune"),
-        F.regexp_extract(below, _FOLDERS, 1).alias("election_type"),
-        F.substring(year, 1, 4).cast("int").alias("annee"),
-        F.substring(year, 5, 100).alias("round"),
-        F.col("inscrits").cast("double").alias("inscrits"),
-        *[F.col(quoted(v)).cast("double").alias(f"pvote{v}") for v in vote_variables],
-        F.col("_metadata.file_name").alias("_file"),
-    )
-    skipped = list(exclude)
-    if skipped:
-        rows = rows.filter(not_in(F.col("_file"), skipped, keep_null=False))
-    return rows.filter(not_in(F.col("codecommune"), removed_communes, keep_null=True)).drop("_file")
-
-
-def _escaped(name: str) -> str:
-    return "\\Q" + name + "\\E"
+    variables = list(vote_variables)
+    scans = [
+        spark.read.option("recursiveFileLookup", True).parquet(*paths).select(
+            F.col("codecommune").cast("string").alias("codecommune"),
+            F.lit(kind).alias("election_type"),
+            F.lit(year).alias("annee"),
+            F.lit(round_).alias("round"),
+            F.col("inscrits").cast("double").alias("inscrits"),
+            *[F.col(quoted(v)).cast("double").alias(f"pvote{v}") for v in variables],
+        )
+        for kind, year, round_, paths in election_files(spark, root, exclude)
+    ]
+    if not scans:
+        raise FileNotFoundError(f"no election files under {root}")
+    rows = reduce(DataFrame.unionAll, scans)
+    return rows.filter(not_in(F.col("codecommune"), removed_communes, keep_null=True))

@@ -65,9 +65,3 @@ def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> DataF
     """Hint a broadcast when the row count allows it, else leave the plan alone."""
     return F.broadcast(df) if is_small(df, max_rows) else df
 
-
-def largest_group(df: DataFrame, keys: list[str], value: str) -> tuple[int, int]:
-    """(rows of the largest group, rows of all groups), NULL values not counted."""
-    per_group = df.groupBy(*keys).agg(F.count(value).alias("n"))
-    top, total = per_group.agg(F.max("n"), F.sum("n")).first()
-    return int(top or 0), int(total or 0)
