@@ -15,7 +15,9 @@ work.  Beyond that no task ever holds a whole group:
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -173,7 +175,7 @@ def quantiles(
             found.select(*groups, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
         )
     banded = pin_small(_band_quantiles(df, groups, value, probabilities, names, sizes, rows_per_task))
-    uncovered = banded.filter((F.col("_n") > 0) & F.greatest(*[F.col(n).isNull() for n in names]))
+    uncovered = banded.filter((F.col("_n") > 0) & reduce(or_, [F.col(n).isNull() for n in names]))
     if not uncovered.isEmpty():
         banded = pin_small(
             _band_quantiles(df, groups, value, probabilities, names, sizes, rows_per_task, widest=True)
