@@ -39,7 +39,7 @@ def _dataset_sql(condition: str, features: list[str], places: bool = False) -> s
 @query(_dataset_sql("h.election_type = 'presidentiel' and h.annee = 1999", _FEATURES))
 def dataset_for_election(spark, sf):
     built = one_election(
-        views.votes_gappy(spark, sf), views.feature_long(spark, sf), views.VOTES, 1999, "presidentiel"
+        views.stored(views.votes_gappy, spark, sf), views.stored(views.feature_long, spark, sf), views.VOTES, 1999, "presidentiel"
     )
     return rounded(built.rows, *_VOTES, *_FEATURES)
 
@@ -48,7 +48,7 @@ def dataset_for_election(spark, sf):
 def dataset_for_election_late(spark, sf):
     """2001: the feature of 1995 is out of reach and has no column."""
     built = one_election(
-        views.votes_gappy(spark, sf), views.feature_long(spark, sf), views.VOTES, 2001, "legislative"
+        views.stored(views.votes_gappy, spark, sf), views.stored(views.feature_long, spark, sf), views.VOTES, 2001, "legislative"
     )
     return rounded(built.rows, *_VOTES, *_FEATURES[1:])
 
@@ -64,7 +64,7 @@ def global_dataset(spark, sf):
         F.col("x0").alias("centroid_x"), F.col("y0").alias("centroid_y"),
     )
     built = all_elections(
-        views.votes_gappy(spark, sf), views.feature_long(spark, sf), views.VOTES,
+        views.stored(views.votes_gappy, spark, sf), views.stored(views.feature_long, spark, sf), views.VOTES,
         ["presidentiel", "legislative"], 1997, places=places,
     )
     return rounded(built.rows, *_VOTES, *_FEATURES)

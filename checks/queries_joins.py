@@ -154,7 +154,7 @@ def election_catalog(spark, sf):
 
 
 def _resolved(spark, sf):
-    features = views.feature_long(spark, sf)
+    features = views.stored(views.feature_long, spark, sf)
     years = views.votes_long(spark, sf).select(F.col("annee").alias("target"))
     return features, resolve_years(features.select("feature", "annee").distinct(), years)
 

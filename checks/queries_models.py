@@ -30,13 +30,13 @@ from panelweave.operators.selection import (
 
 @query("select row_id, round(f_discount, 6) as f_discount, round(f_qty, 6) as f_qty from ml_filled")
 def median_impute(spark, sf):
-    filled = impute_medians(views.ml_matrix(spark, sf), FEATURES)
+    filled = impute_medians(views.stored(views.ml_matrix, spark, sf), FEATURES)
     return rounded(filled.select("row_id", "f_discount", "f_qty"), "f_discount", "f_qty")
 
 
 @query("select row_id, round(y, 6) as y from ml_ordered where place <= 5000")
 def sample_capped(spark, sf):
-    return rounded(capped(views.ml_matrix(spark, sf), ["row_id"], 5000).select("row_id", "y"), "y")
+    return rounded(capped(views.stored(views.ml_matrix, spark, sf), ["row_id"], 5000).select("row_id", "y"), "y")
 
 
 def _scores_sql(tail: str = "") -> str:
@@ -81,7 +81,7 @@ def mi_top_k(spark, sf):
 )
 def vif_three_features(spark, sf):
     columns = ["f_qty", "f_price", "f_lines"]
-    vifs = variance_inflation(correlation_matrix(views.ml_matrix(spark, sf), columns))
+    vifs = variance_inflation(correlation_matrix(views.stored(views.ml_matrix, spark, sf), columns))
     rows = [(c, float(v)) for c, v in zip(columns, vifs)]
     return rounded(spark.createDataFrame(rows, "feature string, vif double"), "vif")
 
@@ -106,7 +106,7 @@ def feature_selection(spark, sf):
 
 @query("select row_id, place <= ceil(round(0.15 * n, 6)) as is_test from ml_ordered")
 def train_test_split(spark, sf):
-    train, test = split_train_test(views.ml_matrix(spark, sf).select("row_id"), ["row_id"])
+    train, test = split_train_test(views.stored(views.ml_matrix, spark, sf).select("row_id"), ["row_id"])
     return train.withColumn("is_test", F.lit(False)).unionAll(test.withColumn("is_test", F.lit(True)))
 
 
@@ -115,7 +115,7 @@ def train_test_split(spark, sf):
          else n % 5 + (place - 1 - (n % 5) * (n // 5 + 1)) // (n // 5) end as int) as fold from ml_ordered"""
 )
 def kfold_assign(spark, sf):
-    return kfold(views.ml_matrix(spark, sf).select("row_id"), ["row_id"])
+    return kfold(views.stored(views.ml_matrix, spark, sf).select("row_id"), ["row_id"])
 
 
 _GUESS = "1.3 * f_price + 900.0 * f_lines + 55.0 * f_qty"

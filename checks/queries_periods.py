@@ -24,7 +24,7 @@ _CHANGE = "case when prev_{v} <> 0 then ({v} - prev_{v}) / prev_{v} end"
 
 
 def _previous(spark, sf):
-    return with_previous(views.feature_long(spark, sf), "codecommune", ["feature"], "annee", ["value"])
+    return with_previous(views.stored(views.feature_long, spark, sf), "codecommune", ["feature"], "annee", ["value"])
 
 
 @query(
@@ -32,7 +32,7 @@ def _previous(spark, sf):
 )
 def quantile_bounds(spark, sf):
     bounds = quantiles(
-        views.feature_long(spark, sf), ["feature", "annee"], "value", [0.01, 0.99], ["low", "high"]
+        views.stored(views.feature_long, spark, sf), ["feature", "annee"], "value", [0.01, 0.99], ["low", "high"]
     )
     return rounded(bounds, "low", "high")
 
@@ -41,7 +41,7 @@ def quantile_bounds(spark, sf):
     """select codecommune, feature, annee, round(rank, 6) as rank_pct from winsored where value is not null"""
 )
 def rank_pct(spark, sf):
-    rows = ranked(views.feature_long(spark, sf), ["feature", "annee"], "value")
+    rows = ranked(views.stored(views.feature_long, spark, sf), ["feature", "annee"], "value")
     return rounded(rows.select(*_KEYS, "rank_pct"), "rank_pct")
 
 
@@ -78,7 +78,7 @@ def feature_pct_change(spark, sf):
     """select codecommune, feature, annee, round(winsor, 6) as winsor from winsored where value is not null"""
 )
 def feature_winsor(spark, sf):
-    rows = winsorize(views.feature_long(spark, sf), ["feature", "annee"], "value")
+    rows = winsorize(views.stored(views.feature_long, spark, sf), ["feature", "annee"], "value")
     return rounded(rows.select(*_KEYS, "winsor"), "winsor")
 
 
@@ -90,7 +90,7 @@ def _winsor_variant(kind, expression):
               "pct_changewinsor": "feature_winsor_pct_change"}[kind],
     )
     def run(spark, sf):
-        return rounded(augment(views.feature_long(spark, sf), [kind]), kind)
+        return rounded(augment(views.stored(views.feature_long, spark, sf), [kind]), kind)
 
 
 _winsor_variant("lagwinsor", "prev_winsor")
@@ -117,7 +117,7 @@ _EXPRESSIONS = {
     + " from lagged where value is not null or prev_value is not null"
 )
 def augmented_features(spark, sf):
-    return rounded(augment(views.feature_long(spark, sf), _KINDS), *_KINDS)
+    return rounded(augment(views.stored(views.feature_long, spark, sf), _KINDS), *_KINDS)
 
 
 @query(
@@ -127,7 +127,7 @@ def augmented_features(spark, sf):
        where value is not null or prev_value is not null"""
 )
 def augmented_features_long(spark, sf):
-    return rounded(augmented_long(views.feature_long(spark, sf), ["rank", "lag"]), "value")
+    return rounded(augmented_long(views.stored(views.feature_long, spark, sf), ["rank", "lag"]), "value")
 
 
 _HISTORY = ["pvotepreviousa", "pvotepreviouspreviousa", "pvotepreviousb", "pvotepreviouspreviousb"]

@@ -15,6 +15,7 @@ from panelweave.functions.names import commune_code, election_year
 from panelweave.functions.predicates import not_in
 from panelweave.operators.distribution import impute_medians
 from panelweave.operators.labels import last_wins
+from panelweave.storage import stage
 
 FEATURES = ["f_qty", "f_price", "f_discount", "f_tax", "f_size", "f_retail", "f_lines"]
 VOTES = ["pvotea", "pvoteb"]
@@ -139,8 +140,7 @@ def feature_long(spark, sf) -> DataFrame:
     entries = F.array(
         *[F.struct(F.lit(k).alias("feature"), v.alias("value")) for k, v in kinds.items()]
     )
-    present = F.filter(entries, lambda e: e["value"].isNotNull())
-    return cells.select("codecommune", "annee", F.inline(present)).select(
+    return cells.select("codecommune", "annee", F.inline(entries)).dropna(subset="value").select(
         "codecommune", "feature", "annee", "value"
     )
 
@@ -205,8 +205,13 @@ def ml_matrix(spark, sf) -> DataFrame:
     )
 
 
+def stored(view, spark, sf) -> DataFrame:
+    """A view written once, for operators that read their input several times."""
+    return stage(view(spark, sf), view.__name__)
+
+
 def ml_filled(spark, sf) -> DataFrame:
-    return impute_medians(ml_matrix(spark, sf), FEATURES)
+    return impute_medians(stored(ml_matrix, spark, sf), FEATURES)
 
 
 # --------------------------------------------------------------------------

@@ -196,20 +196,29 @@ def _band_quantiles(
         ends = [0.0, 1.0] * len(probabilities)
     sketch = F.percentile_approx(v, ends, SKETCH_ACCURACY)
     bands = pin_small(df.groupBy(*groups).agg(sketch.alias("_ends"), F.count(v).alias("_n")))
-    inside = [
-        F.when(
-            v <= F.col("_ends")[2 * i + 1],
-            F.struct(F.lit(i).alias("_i"), F.when(v >= F.col("_ends")[2 * i], v).alias("_v")),
-        )
-        for i in range(len(probabilities))
-    ]
-    # values under a band collapse into one NULL entry, values over it vanish
-    counts = (
-        lookup_join(df.select(*groups, value).filter(v.isNotNull()), bands, groups)
-        .select(*groups, F.inline(F.array_compact(F.array(*inside))))
-        .groupBy(*groups, "_i", "_v")
-        .agg(F.count(F.lit(1)).alias("copies"))
+    steps = range(len(probabilities))
+    banded = lookup_join(df.select(*groups, value).filter(v.isNotNull()), bands, groups)
+    low, high = [F.col("_ends")[2 * i] for i in steps], [F.col("_ends")[2 * i + 1] for i in steps]
+    # the few rows inside a band are counted by value, the many below it by number
+    in_band = banded.filter(reduce(or_, [(v >= low[i]) & (v <= high[i]) for i in steps])).select(
+        *groups,
+        F.inline(F.array(*[
+            F.struct(F.lit(i).alias("_i"), F.when((v >= low[i]) & (v <= high[i]), v).alias("_v"))
+            for i in steps
+        ])),
+    )
+    by_value = in_band.filter(F.col("_v").isNotNull()).groupBy(*groups, "_i", "_v").agg(
+        F.count(F.lit(1)).alias("copies")
+    )
+    under = banded.groupBy(*groups).agg(*[F.count_if(v < low[i]).alias(f"u{i}") for i in steps]).select(
+        *groups,
+        F.inline(F.array(*[
+            F.struct(F.lit(i).alias("_i"), F.lit(None).cast(df.schema[value].dataType).alias("_v"),
+                     F.col(f"u{i}").alias("copies"))
+            for i in steps
+        ])),
     )
+    counts = by_value.unionAll(under)
     width = 1.0 if widest else min(1.0, 4 * _BAND)
     expected = ceil(sizes.total * len(probabilities) * width)
     positions = lookup_join(

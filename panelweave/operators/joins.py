@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.operators.columns import quoted
-from panelweave.storage import LOOKUP_SALTS, SMALL_TABLE_ROWS, is_small
+from panelweave.storage import LOOKUP_SALTS, SMALL_TABLE_ROWS, pinned
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
@@ -65,8 +65,9 @@ def lookup_join(
     and the detail rows are spread over the salts, so that a key holding a
     large part of the detail, or the NULL key, is shared by many tasks.
     """
-    if is_small(table, max_rows):
-        return df.join(F.broadcast(table), on, "left")
+    small = pinned(table, max_rows)
+    if small is not None:
+        return df.join(small, on, "left")
     salt = F.pmod(F.xxhash64(*[F.col(quoted(c)) for c in df.columns]), F.lit(LOOKUP_SALTS))
     salted = df.withColumn("_salt", salt.cast("int"))
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(LOOKUP_SALTS - 1))))

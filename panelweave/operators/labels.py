@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +25,13 @@ def lookup(df: DataFrame, tables: list[DataFrame], on: str, value: str, out: str
     The tables are merged into one before the detail rows are touched, so the
     detail is joined once however many fallbacks there are.
     """
-    merged = tables[0].withColumnRenamed(value, "_v0")
-    for i, table in enumerate(tables[1:], start=1):
-        merged = merged.join(table.withColumnRenamed(value, f"_v{i}"), on, "full")
-    label = F.coalesce(*[f"_v{i}" for i in range(len(tables))])
-    return lookup_join(df, merged.select(on, label.alias(out)), [on])
+    ranked = [
+        t.select(on, F.col(value).alias(out), F.lit(i).alias("_rank")) for i, t in enumerate(tables)
+    ]
+    merged = (
+        reduce(DataFrame.unionAll, ranked)
+        .filter(F.col(out).isNotNull())
+        .groupBy(on)
+        .agg(F.min_by(out, "_rank").alias(out))
+    )
+    return lookup_join(df, merged, [on])

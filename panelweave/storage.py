@@ -45,23 +45,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def pin_small(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
-    """Turn a metadata table of at most ``max_rows`` rows into broadcast literals.
+def pinned(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> DataFrame | None:
+    """A metadata table as broadcast literals, or None beyond ``max_rows`` rows.
 
-    A larger table comes back untouched and unhinted, so joins with it shuffle.
+    Reading stops one row past the limit, so the driver's share is bounded.
     """
     rows = df.limit(max_rows + 1).toArrow()
     if rows.num_rows > max_rows:
-        return df
-    local = df.sparkSession.createDataFrame(rows, schema=df.schema)
-    return F.broadcast(local)
+        return None
+    return F.broadcast(df.sparkSession.createDataFrame(rows, schema=df.schema))
 
 
-def is_small(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
+def pin_small(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
+    """``pinned`` where possible; a larger table comes back untouched and
+    unhinted, so that joins with it shuffle."""
+    local = pinned(df, max_rows)
+    return df if local is None else local
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
-    """Hint a broadcast when the row count allows it, else leave the plan alone."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
+def is_small(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> bool:
+    return df.limit(max_rows + 1).count() <= max_rows
 
