@@ -37,18 +37,15 @@ def join_left_turnout(spark, sf):
 
 
 @query(
-    """select v.codecommune, v.inscrits, f.value as qty from
-         (select * from votes_long where election_type = 'presidentiel' and annee = 1999) v
-       left join (select * from feature_long where feature = 'qty' and annee = 1999) f using (codecommune)"""
+    """select v.codecommune, v.annee, v.inscrits, f.value as qty from
+         (select codecommune, annee, sum(inscrits) as inscrits from votes_long group by all) v
+       left join (select * from feature_long where feature = 'qty') f using (codecommune, annee)"""
 )
 def join_left_one_to_one(spark, sf):
-    votes = views.votes_long(spark, sf).filter("election_type = 'presidentiel' and annee = 1999")
-    qty = views.feature_long(spark, sf).filter("feature = 'qty' and annee = 1999")
-    return join_one_to_one(
-        votes.select("codecommune", "inscrits"),
-        qty.select("codecommune", F.col("value").alias("qty")),
-        ["codecommune"],
-    )
+    keys = ["codecommune", "annee"]
+    votes = views.votes_long(spark, sf).groupBy(*keys).agg(F.sum("inscrits").alias("inscrits"))
+    quantities = views.feature_long(spark, sf).filter("feature = 'qty'")
+    return join_one_to_one(votes, quantities.select(*keys, F.col("value").alias("qty")), keys)
 
 
 @query(

@@ -30,11 +30,13 @@ from panelweave.operators.aggregates import (
     pivot_sum,
     sum_by,
     value_counts,
+    widen,
 )
 from panelweave.operators.columns import (
     drop_sparse,
     dropna_with_counts,
     missing_profile,
+    numeric_columns,
     prepare,
 )
 from panelweave.operators.labels import lookup
@@ -86,23 +88,20 @@ def scan_path_metadata(spark, sf):
 
 
 @query(
-    """select codecommune, 'totalscommunes/' || case feature when 'qty' then 'qty' else 'n_' || feature end
-         as feature, annee, round(value, 6) as value from grid
-       where feature in ('qty', 'lines') and annee in (1997, 1999)"""
+    """select codecommune, 'totalscommunes/' || feature as feature, annee, round(value, 6) as value from grid
+       union all
+       select codecommune, 'balancescommunes2003/cust_balance', 1999, round("full", 6) from gappy_customers"""
 )
 def scan_feature_files(spark, sf):
-    """Covariate file with a year inside, a year at the end and undated columns."""
+    """One file of dated and undated columns, one with the year inside a name."""
     root = new_path(spark, "covariates")
-    long = views.feature_long(spark, sf)
-    cell = [
-        (f, y, F.max(F.when((F.col("feature") == f) & (F.col("annee") == y), F.col("value"))))
-        for f in ("qty", "lines") for y in (1997, 1999)
-    ]
-    name = {"qty": "qty{}", "lines": "n_lines{}"}
-    wide = long.groupBy("codecommune").agg(
-        *[c.alias(name[f].format(y)) for f, y, c in cell], F.count(F.lit(1)).alias("undated")
+    cells = views.feature_long(spark, sf).withColumn(
+        "name", F.concat("feature", F.col("annee").cast("string"))
     )
+    wide = widen(cells, ["codecommune"], "name", "value").withColumn("undated", F.lit(0))
     wide.write.parquet(f"{root}/totalscommunes.parquet")
+    balances = views.customers(spark, sf).withColumnRenamed("balance", "cust1999_balance")
+    balances.write.parquet(f"{root}/sub/balancescommunes2003.parquet")
     return rounded(scan_covariates(spark, root), "value")
 
 
@@ -200,6 +199,12 @@ def dropna_rows(spark, sf):
     return rounded(kept.drop("inscrits"), *views.VOTES)
 
 
+@query('select type, "full", half, third, tenth from gappy_customers')
+def select_numeric_columns(spark, sf):
+    rows = views.gappy_customers(spark, sf)
+    return rows.select(*numeric_columns(rows))
+
+
 @query('select codecommune, type, "full", half, tenth from gappy_customers')
 def quality_filter_half(spark, sf):
     return drop_sparse(views.gappy_customers(spark, sf))[0]

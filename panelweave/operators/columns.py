@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelweave.fixed_values import MISSING_RATE_LIMIT
+
 
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
@@ -53,7 +55,9 @@ def drop_sparse(
     return df.select(*[quoted(c) for c in df.columns if c not in set(dropped)]), dropped
 
 
-def prepare(df: DataFrame, threshold: float, election_type: int) -> DataFrame:
+def prepare(
+    df: DataFrame, threshold: float = MISSING_RATE_LIMIT, election_type: int = 0
+) -> DataFrame:
     """Rows of one election type, columns whose missing rate is within the limit."""
     kept, _ = drop_sparse(df.filter(F.col("type") == election_type), threshold, strict=False)
     return kept
@@ -81,4 +85,5 @@ def dropna_with_counts(df: DataFrame, columns: list[str]) -> tuple[DataFrame, Da
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
+    """Names of the numeric columns, from the schema alone."""
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]

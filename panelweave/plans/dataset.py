@@ -23,7 +23,7 @@ from panelweave.sources.cache import cached
 from panelweave.sources.covariates import scan_covariates
 from panelweave.sources.elections import scan_elections
 from panelweave.sources.geojson import scan_centroids
-from panelweave.storage import shared_folder
+from panelweave.storage import shared_folder, stage
 
 # --- fixed value: the election whose rows without a commune code are dropped --
 ELECTION_WITH_UNCODED_ROWS = ("referendum", 1946)
@@ -193,7 +193,8 @@ def build_dataset(spark: SparkSession, cfg: PanelConfig) -> Dataset:
         )
     rows = built.rows
     if cfg.quality_filter:
-        rows, _ = drop_sparse(rows)
+        # the filter counts before it selects: assemble once, read twice
+        rows, _ = drop_sparse(stage(rows, "assembled"))
     if cfg.output_dir:
         path = write_versioned(rows, cfg)
         rows = spark.read.parquet(path).select(*[quoted(c) for c in rows.columns])

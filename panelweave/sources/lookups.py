@@ -14,12 +14,13 @@ def read_csv_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_lookup_csv(
-    spark: SparkSession, path: str, key: str = "Nuance", value: str = "Tendance"
+    spark: SparkSession, path: str, key: str | list[str] = "Nuance", value: str = "Tendance"
 ) -> DataFrame:
     """(key, value) with one row per key, the last line of the file winning.
 
-    Line order is the Spark row number of the scan, which follows the file for
+    A key may be several columns, such as code and label.  Line order is the Spark row number of the scan, which follows the file for
     the small single-file tables this is for.
     """
-    lines = read_csv_table(spark, path).select(key, value)
-    return last_wins(lines.withColumn("_line", F.monotonically_increasing_id()), key, value, "_line")
+    keys = [key] if isinstance(key, str) else key
+    lines = read_csv_table(spark, path).select(*keys, value)
+    return last_wins(lines.withColumn("_line", F.monotonically_increasing_id()), keys, value, "_line")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelweave.fixed_values import STARTING_YEAR
 from panelweave.operators.columns import quoted
 
 
@@ -29,7 +30,7 @@ def scan_projected(
 
 
 def scan_year_filter(
-    spark: SparkSession, path: str, starting_year: int, year_col: str = "annee"
+    spark: SparkSession, path: str, starting_year: int = STARTING_YEAR, year_col: str = "annee"
 ) -> DataFrame:
     """Rows strictly after ``starting_year``; older row groups are skipped."""
     return spark.read.parquet(path).filter(F.col(quoted(year_col)) > starting_year)
