@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from panelweave.fixed_values import WINSOR_HIGH, WINSOR_LOW
 from panelweave.functions.numbers import clip
-from panelweave.operators.columns import quoted
+from panelweave.operators.columns import missing_counts, quoted
 from panelweave.operators.joins import lookup_join
 from panelweave.storage import (
     LOOKUP_SALTS,
@@ -263,21 +263,34 @@ def winsorize(
     )
 
 
-def medians(df: DataFrame, columns: list[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def medians(
+    df: DataFrame,
+    columns: list[str],
+    rows_per_task: int = ROWS_PER_TASK,
+    sizes: GroupSizes | None = None,
+) -> DataFrame:
     """(column, median) of numeric columns, from one unpivoted pass."""
     long = df.select(*[F.col(quoted(c)).cast("double").alias(c) for c in columns]).unpivot(
         [], columns, "column", "value"
     )
-    return quantiles(long, ["column"], "value", [0.5], ["median"], rows_per_task)
+    return quantiles(long, ["column"], "value", [0.5], ["median"], rows_per_task, sizes)
 
 
 def impute_medians(
     df: DataFrame, columns: list[str], rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
-    """Fill missing values of ``columns`` with the column's median."""
-    middle = {r["column"]: r["median"] for r in medians(df, columns, rows_per_task).collect()}
-    filled = {
-        c: F.coalesce(F.col(quoted(c)).cast("double"), F.lit(middle.get(c)).cast("double"))
-        for c in columns
-    }
+    """Fill missing values of ``columns`` with the column's median.
+
+    Columns are counted first; those without a gap need no median.
+    """
+    rows, missing = missing_counts(df.select(*[quoted(c) for c in columns]))
+    gappy = [c for c in columns if missing[c]]
+    middle = {}
+    if gappy:
+        present = [rows - missing[c] for c in gappy]
+        found = medians(df, gappy, rows_per_task, GroupSizes(max(present), sum(present)))
+        middle = {r["column"]: r["median"] for r in found.collect()}
+    filled = {c: F.col(quoted(c)).cast("double") for c in columns}
+    for c, median in middle.items():
+        filled[c] = F.coalesce(filled[c], F.lit(median).cast("double"))
     return df.withColumns(filled)

@@ -16,7 +16,9 @@ from panelweave.fixed_values import CV_FOLDS, PERMUTATION_REPEATS, RANDOM_SEED,
 from panelweave.operators.columns import quoted
 from panelweave.operators.sampling import kfold, row_token, split_train_test
 
-SHUFFLE_ROWS = 10_000
+# rows of a shuffle bucket at most, and rows of the test set per task at large sizes
+SHUFFLE_ROWS = 1_000
+DEALT_ROWS = 1_000_000
 SCORINGS = {
     "r2": "r2",
     "neg_root_mean_squared_error": "rmse",
@@ -73,15 +75,18 @@ def permutation_importance(
     the order of a repeat, each being replaced alone when scored.  Rows cross
     the network once, before they are multiplied.
     """
-    rows = test.count()
-    digits = max(0, ceil(log(max(rows, 1) / SHUFFLE_ROWS, 16)))
     columns = [F.col(quoted(c)) for c in features]
     base = test.select(row_token(keys, seed).alias("_t"), F.col(quoted(target)).alias("_y"), *columns)
-    before = predict(base).agg(_score(F.col("_y"), F.col("prediction"), scoring)).first()[0]
-
+    before, rows = predict(base).agg(
+        _score(F.col("_y"), F.col("prediction"), scoring), F.count(F.lit(1))
+    ).first()
+    digits = max(0, ceil(log(max(rows, 1) / SHUFFLE_ROWS, 16)))
+    # a fixed number: rows are few here next to what they become below, so
+    # merging partitions by their size now would leave most cores idle
+    partitions = int(test.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = (
         base.withColumn("_bucket", F.substring("_t", -digits, digits) if digits else F.lit(""))
-        .repartition("_bucket")
+        .repartition(min(16**digits, max(partitions, rows // DEALT_ROWS)), "_bucket")
         .withColumn("_repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
         .withColumn("_order", F.md5(F.concat_ws("|", "_t", F.col("_repeat").cast("string"))))
     )

@@ -75,7 +75,7 @@ def test_importance_exchanges_rows_before_multiplying_them(spark, monkeypatch):
     text = plan(permutation_importance(scorer, test, ["k"], ["x"], "y"))
     below_window = text[text.index("Window ["):]
     assert exchanges(below_window) == 1
-    assert below_window.index("Generate explode") < below_window.index("REPARTITION_BY_COL")
+    assert below_window.index("Generate explode") < below_window.index("REPARTITION_BY_NUM")
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
