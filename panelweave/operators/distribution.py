@@ -151,8 +151,10 @@ def _attach(df, ranks, keys, value, out, total, rows_per_task) -> DataFrame:
 
 
 def _interpolate(total: Column, p: float, low: Column, high: Column) -> Column:
+    """Written as Spark's ``percentile`` does it, so that both ways agree to the bit."""
     at = (total - 1) * F.lit(p)
-    return low + (high - low) * (at - F.floor(at))
+    between = (F.ceil(at) - at) * low + (at - F.floor(at)) * high
+    return F.when(low == high, low).otherwise(between)
 
 
 def quantiles(

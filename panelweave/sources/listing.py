@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +19,10 @@ def parquet_datasets(spark: SparkSession, root: str) -> DataFrame:
         spark.read.format("binaryFile").option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.parquet").load(root).select("path")
     )
-    base = root.rstrip("/").rsplit("/", 1)[-1]
-    below = F.concat(F.lit("/"), F.substring_index("path", f"/{base}/", -1))
+    # the listing shows full paths with a scheme, whatever form the root has
+    base = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root).strip("/")
+    start = F.instr(F.col("path"), f"/{base}/") + F.lit(len(base) + 1)
+    below = F.substring("path", start, F.length("path"))
     # shortest leading part that ends in .parquet
     inner = F.regexp_extract(below, r"^(.*?[^/]\.parquet)(/.*)?$", 1)
     outer = F.substring("path", F.lit(1), F.length("path") - F.length(below))

@@ -23,7 +23,7 @@ _local_folders: dict[str, str] = {}
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, private to this application."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     app = spark.sparkContext.applicationId
     if base is None:
         if not spark.sparkContext.master.startswith("local"):

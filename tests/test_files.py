@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelweave import PanelConfig
-from panelweave.operators.labels import last_wins
+from panelweave.operators.labels import last_wins, unknown_labels
 from panelweave.plans.blocs import european_panel
 from panelweave.plans.dataset import build_dataset, load_places
 from panelweave.sinks import dataset_name, write_sorted_csv, write_versioned
@@ -70,6 +70,15 @@ def test_scan_elections(spark, tree):
     assert paths["presidentiel", 1995][0].endswith("/1995")
 
 
+def test_folders_may_repeat_the_root_name(spark, tmp_path):
+    put(tmp_path / "elections/referendum/2005/elections/part.parquet", codecommune=["1"], inscrits=[1], C=[0.5])
+    put(tmp_path / "elections/referendum/2005bis/x.parquet", codecommune=["1"], inscrits=[1], C=[0.5])
+    put(tmp_path / "elections/readme/x.parquet", codecommune=["1"], inscrits=[1], C=[0.5])
+    for root in (f"{tmp_path}/elections/", f"file://{tmp_path}/elections"):
+        found = scan_elections(spark, root, ["C"]).select("election_type", "annee", "round")
+        assert {tuple(r) for r in found.collect()} == {("referendum", 2005, ""), ("referendum", 2005, "bis")}
+
+
 def test_a_filter_on_type_drops_whole_scans(spark, tree):
     found = scan_elections(spark, str(tree / "elections"), ["C"]).filter("election_type = 'referendum'")
     plan = found._jdf.queryExecution().executedPlan().toString()
@@ -90,6 +99,10 @@ def test_lookup_csv_last_line_wins(spark, tmp_path):
     path.write_text('Nuance,Libellé,Tendance\n\nX,"a, b",Centre\n\nY,c,\nX,"d ""e""",\nZ,f,Gauche\n', encoding="utf-8")
     found = scan_lookup_csv(spark, str(path))
     assert {tuple(r) for r in found.collect()} == {("X", None), ("Y", None), ("Z", "Gauche")}
+    by_label = scan_lookup_csv(spark, str(path), ["Nuance", "Libellé"])
+    assert ("X", "a, b", "Centre") in {tuple(r) for r in by_label.collect()}
+    wrong = unknown_labels(by_label, "Tendance", ["Gauche"])
+    assert [r["Nuance"] for r in wrong.collect()] == ["X"]
 
 
 def test_sorted_csv_puts_missing_last(spark, tmp_path):

@@ -39,6 +39,8 @@ def test_banded_quantiles_equal_pandas(skewed, rows_per_task):
     got = quantiles(df, ["g"], "v", probabilities, names, rows_per_task).toPandas().set_index("g").sort_index()
     want = pdf.groupby("g")["v"].quantile(probabilities).unstack()
     np.testing.assert_allclose(got[names].to_numpy(), want.to_numpy(), rtol=1e-12)
+    short = quantiles(df, ["g"], "v", probabilities, names).toPandas().set_index("g").sort_index()
+    pd.testing.assert_frame_equal(got, short, check_exact=True)
 
 
 def test_quantiles_survive_a_wrong_sketch(skewed, monkeypatch):
