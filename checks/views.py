@@ -83,9 +83,14 @@ _LIBELLE_ROWS = [(1, "2", "Droite"), (2, "4", "Centre-droit"), (3, "2", "Centre-
 
 
 def label_maps(spark) -> list[DataFrame]:
-    schema = "position int, nuance string, tendance string"
+    def literal(rows):
+        return ", ".join(f"({p}, '{n}', {repr(t) if t else 'cast(null as string)'})" for p, n, t in rows)
+
     return [
-        last_wins(spark.createDataFrame(rows, schema), "nuance", "tendance", "position")
+        last_wins(
+            spark.sql(f"select * from values {literal(rows)} as t(position, nuance, tendance)"),
+            "nuance", "tendance", "position",
+        )
         for rows in (_NUANCE_ROWS, _LIBELLE_ROWS)
     ]
 
@@ -140,7 +145,7 @@ def feature_long(spark, sf) -> DataFrame:
     entries = F.array(
         *[F.struct(F.lit(k).alias("feature"), v.alias("value")) for k, v in kinds.items()]
     )
-    return cells.select("codecommune", "annee", F.inline(entries)).dropna(subset="value").select(
+    return cells.select("codecommune", "annee", F.inline(entries)).filter("value is not null").select(
         "codecommune", "feature", "annee", "value"
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.functions.predicates import complete
 from panelweave.operators.columns import quoted
 from panelweave.operators.periods import with_neighbours
 
@@ -19,7 +20,7 @@ def sum_by(
     the sums are first reduced with the descriptive columns as extra keys.
     """
     totals = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums]
-    detail = df.dropna(subset=keys)
+    detail = df.filter(complete(keys))
     if not firsts:
         return detail.groupBy(*keys).agg(*totals)
     reduced = detail.groupBy(*keys, *firsts).agg(*totals)
@@ -40,7 +41,7 @@ def pivot_sum(
         F.coalesce(F.sum(F.when(F.col(column) == label, F.col(value))), F.lit(0)).alias(name)
         for label, name in names.items()
     ]
-    return df.dropna(subset=[*keys, column]).groupBy(*keys).agg(*sums)
+    return df.filter(complete([*keys, column])).groupBy(*keys).agg(*sums)
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -50,7 +51,7 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def distinct_sorted(df: DataFrame, column: str, keep_null: bool = False) -> DataFrame:
-    values = df.select(column) if keep_null else df.select(column).dropna()
+    values = df.select(column) if keep_null else df.select(column).filter(complete([column]))
     return values.distinct().orderBy(F.asc_nulls_last(column))
 
 
@@ -62,7 +63,7 @@ def only_value(column: str, what: str) -> Column:
 
 def label_values(df: DataFrame, label: str, max_columns: int = 20_000) -> list[str]:
     """Sorted labels that will become columns; refuses an unbounded column list."""
-    rows = df.select(label).dropna().distinct().limit(max_columns + 1).collect()
+    rows = df.select(label).filter(complete([label])).distinct().limit(max_columns + 1).collect()
     if len(rows) > max_columns:
         raise ValueError(f"more than {max_columns} distinct values of {label}")
     return sorted(r[0] for r in rows)

@@ -8,6 +8,7 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.functions.predicates import complete
 from panelweave.operators.columns import quoted
 from panelweave.storage import LOOKUP_SALTS, SMALL_TABLE_ROWS, pinned
 
@@ -76,15 +77,15 @@ def lookup_join(
 
 def semi_keep_null(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     """Rows whose key occurs on the right, plus all rows without a key."""
-    known = right.select(on).dropna().distinct()
+    known = right.select(on).filter(complete([on])).distinct()
     return left.filter(F.col(on).isNull()).unionByName(left.join(known, on, "left_semi"))
 
 
 def set_difference(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     """Distinct non-NULL keys of ``left`` that ``right`` lacks."""
     return (
-        left.select(on).dropna().distinct()
-        .join(right.select(on).dropna().distinct(), on, "left_anti")
+        left.select(on).filter(complete([on])).distinct()
+        .join(right.select(on).filter(complete([on])).distinct(), on, "left_anti")
     )
 
 

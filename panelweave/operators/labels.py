@@ -8,13 +8,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.functions.predicates import complete
 from panelweave.operators.joins import lookup_join
 
 
 def last_wins(table: DataFrame, key: str | list[str], value: str, position: str) -> DataFrame:
     """One row per key: the value of its last row, even when that is NULL."""
     keys = [key] if isinstance(key, str) else key
-    return table.dropna(subset=keys).groupBy(*keys).agg(F.max_by(value, position).alias(value))
+    return table.filter(complete(keys)).groupBy(*keys).agg(F.max_by(value, position).alias(value))
 
 
 def unknown_labels(table: DataFrame, value: str, allowed: Iterable[str]) -> DataFrame:

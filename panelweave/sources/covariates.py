@@ -16,6 +16,7 @@ from panelweave.functions.names import (
     move_year_to_end,
     with_default_year,
 )
+from panelweave.functions.numbers import nan_to_null
 from panelweave.functions.predicates import name_matches
 from panelweave.operators.columns import quoted
 from panelweave.sources.listing import parquet_datasets
@@ -73,7 +74,7 @@ def scan_covariates(
             F.struct(
                 F.lit(f"{stem}/{dated[stem, c][0]}").alias("feature"),
                 F.lit(dated[stem, c][1]).alias("annee"),
-                F.col(quoted(c)).try_cast("double").alias("value"),
+                nan_to_null(F.col(quoted(c)).try_cast("double")).alias("value"),
             )
             for c in df.columns
             if (stem, c) in dated and c != "codecommune"

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.fixed_values import REMOVED_COMMUNES
+from panelweave.functions.numbers import nan_to_null
 from panelweave.functions.predicates import not_in
 from panelweave.operators.columns import quoted
 from panelweave.sources.listing import parquet_datasets
@@ -67,8 +68,8 @@ def scan_elections(
             F.lit(kind).alias("election_type"),
             F.lit(year).alias("annee"),
             F.lit(round_).alias("round"),
-            F.col("inscrits").cast("double").alias("inscrits"),
-            *[F.col(quoted(v)).cast("double").alias(f"pvote{v}") for v in variables],
+            nan_to_null(F.col("inscrits").cast("double")).alias("inscrits"),
+            *[nan_to_null(F.col(quoted(v)).cast("double")).alias(f"pvote{v}") for v in variables],
         )
         for kind, year, round_, paths in election_files(spark, root, exclude)
     ]

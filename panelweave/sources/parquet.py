@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.fixed_values import STARTING_YEAR
+from panelweave.functions.predicates import complete
 from panelweave.operators.columns import quoted
 
 
@@ -23,7 +24,7 @@ def scan_projected(
     needed = list(dict.fromkeys([*columns, *(dropna_subset or [])]))
     rows = spark.read.parquet(path).select(*[quoted(c) for c in needed])
     if dropna_subset:
-        rows = rows.dropna(subset=[quoted(c) for c in dropna_subset])
+        rows = rows.filter(complete(dropna_subset))
     if predicate is not None:
         rows = rows.filter(predicate)
     return rows.select(*[quoted(c) for c in columns])
