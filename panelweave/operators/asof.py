@@ -28,8 +28,12 @@ def resolve_years(
 
 
 def asof_backfill(features: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Feature rows re-dated to the target year their catalog year serves."""
-    return features.join(resolved, ["feature", "annee"]).select(
+    """Feature rows re-dated to the target year their catalog year serves.
+
+    The years in use are few; naming them lets the scan skip all others.
+    """
+    used = [r[0] for r in resolved.select("annee").distinct().collect()]
+    return features.filter(F.col("annee").isin(*used)).join(resolved, ["feature", "annee"]).select(
         "codecommune", "feature", F.col("target").alias("annee"), "value"
     )
 

@@ -94,14 +94,15 @@ def permutation_importance(
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     other = F.struct(*columns)
     moved = dealt.withColumn("_other", F.coalesce(F.lead(other).over(w), F.first(other).over(whole)))
-    variants = [
-        F.struct(
-            F.lit(f).alias("_feature"),
-            *[(F.col("_other")[c] if c == f else F.col(quoted(c))).alias(c) for c in features],
-        )
-        for f in features
-    ]
-    shuffled = moved.select("_repeat", "_y", F.inline(F.array(*variants)))
+    shuffled = moved.withColumn("_feature", F.explode(F.array(*[F.lit(f) for f in features]))).select(
+        "_repeat",
+        "_feature",
+        "_y",
+        *[
+            F.when(F.col("_feature") == c, F.col("_other")[c]).otherwise(F.col(quoted(c))).alias(c)
+            for c in features
+        ],
+    )
     scores = predict(shuffled).groupBy("_feature", "_repeat").agg(
         _score(F.col("_y"), F.col("prediction"), scoring).alias("s")
     )

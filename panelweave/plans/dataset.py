@@ -74,10 +74,15 @@ def _uncoded(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Dataset:
+    """The table and how it came about: elections included as (type, year),
+    years that stood in for others, rows dropped per missing share, and columns
+    removed as too sparse."""
+
     rows: DataFrame
     elections: list[tuple[str, int]]
     backfill: DataFrame
     dropped: DataFrame
+    removed_columns: tuple[str, ...] = ()
 
 
 def assemble(
@@ -176,7 +181,7 @@ def build_dataset(spark: SparkSession, cfg: PanelConfig) -> Dataset:
         return semi_keep_null(scan_covariates(spark, root), votes, "codecommune")
 
     folder = cfg.cache_dir or f"{shared_folder(spark)}/covariates"
-    features = cached(spark, folder, cfg.covariate_key(), covariates, cfg.use_cached)
+    features = cached(spark, folder, cfg.covariate_key(), covariates, cfg.use_cached, ("annee",))
     features = augmented_long(features, cfg.features_aug)
     options = {
         "places": load_places(spark, cfg.geojson_path),
@@ -191,11 +196,11 @@ def build_dataset(spark: SparkSession, cfg: PanelConfig) -> Dataset:
         built = global_dataset(
             votes, features, vote_columns, list(cfg.include_elections), cfg.min_year, **options
         )
-    rows = built.rows
+    rows, removed = built.rows, []
     if cfg.quality_filter:
         # the filter counts before it selects: assemble once, read twice
-        rows, _ = drop_sparse(stage(rows, "assembled"))
+        rows, removed = drop_sparse(stage(rows, "assembled"))
     if cfg.output_dir:
         path = write_versioned(rows, cfg)
         rows = spark.read.parquet(path).select(*[quoted(c) for c in rows.columns])
-    return Dataset(rows, built.elections, built.backfill, built.dropped)
+    return Dataset(rows, built.elections, built.backfill, built.dropped, tuple(removed))

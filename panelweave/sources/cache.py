@@ -14,12 +14,14 @@ def cached(
     key: str,
     build: Callable[[], DataFrame],
     use_cached: bool = True,
+    partition_by: tuple[str, ...] = (),
 ) -> DataFrame:
     """The table stored for ``key``, built and stored if it is not there.
 
     ``key`` digests the settings the table depends on, so changed settings make
     a new table.  An existing table is never overwritten; with ``use_cached``
-    off the result is computed afresh and left unread on disk.
+    off the result is computed afresh and left unread on disk.  Partitioned
+    tables let later reads skip whole folders.
     """
     path = f"{folder.rstrip('/')}/{key}.parquet"
     stored = _stored(spark, path)
@@ -28,7 +30,9 @@ def cached(
     result = build()
     if stored is not None:
         return result
-    result.write.mode("ignore").parquet(path)
+    # rebalance: few files per partition, and large partitions split over tasks
+    spread = result.hint("rebalance", *partition_by) if partition_by else result
+    spread.write.mode("ignore").partitionBy(*partition_by).parquet(path)
     return spark.read.schema(result.schema).parquet(path)
 
 

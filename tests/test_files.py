@@ -179,12 +179,20 @@ def test_build_dataset_from_files(spark, tree):
 def test_build_one_election_with_quality_filter(spark, tree):
     cfg = config(tree, one_election=True, target_year=2002, target_type="presidentiel", quality_filter=True,
                  encoding_type="average_vote_C", output_dir=None, features_aug=("raw",))
-    rows = build_dataset(spark, cfg).rows
+    built = build_dataset(spark, cfg)
+    rows = built.rows
+    assert "pvotepreviouspreviousC" in built.removed_columns
     assert {r.codecommune for r in rows.collect()} == {"01001", None}
     # mean of the yearly means 0.15 and 0.5
     assert rows.first()["type"] == pytest.approx(0.325)
 
 
+def test_covariates_of_unused_years_are_not_read(spark, tree):
+    cfg = config(tree, features_aug=("raw",), output_dir=None)
+    plan = build_dataset(spark, cfg).rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [annee#" in plan and "IN (1995,2000" in plan.replace("1999,", "")
+
+
 def test_missing_geojson_is_skipped(spark, tree):
     assert load_places(spark, str(tree / "none.geojson")) is None
     places = load_places(spark, str(tree / "communes.geojson"))
