@@ -110,9 +110,12 @@ def rank_pct(
     sizes = sizes or group_sizes(df, groups, value)
     v = F.col(value)
     if sizes.largest <= rows_per_task:
+        # frames of one window specification, hence one sort
         ordered = Window.partitionBy(*groups).orderBy(v.asc_nulls_last())
-        ties = F.count(v).over(Window.partitionBy(*groups, value))
-        everyone = F.count(v).over(Window.partitionBy(*groups))
+        ties = F.count(v).over(ordered.rangeBetween(Window.currentRow, Window.currentRow))
+        everyone = F.count(v).over(
+            ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        )
         rank = _average_rank(F.rank().over(ordered) - 1, ties, everyone)
         return df.withColumn(out, F.when(v.isNotNull(), rank))
     counts = df.filter(v.isNotNull()).groupBy(*groups, value).agg(F.count(v).alias("copies"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from checks import registry, views
 from panelweave.operators.aggregates import widen
+from panelweave.operators.distribution import rank_pct
 from panelweave.operators.evaluation import permutation_importance
 from panelweave.operators.periods import with_previous, with_previous_elections
 from panelweave.plans.blocs import bloc_panel
@@ -70,6 +71,12 @@ def test_previous_values_use_one_exchange(spark):
     assert exchanges(plan(with_previous_elections(votes, ["pvotex"]))) == 1
 
 
+def test_rank_sorts_once(spark):
+    rows = spark.createDataFrame([("g", 1.0)], "g string, v double")
+    text = plan(rank_pct(rows, ["g"], "v"))
+    assert exchanges(text) == 1 and len(re.findall(r"\bSort \[", text)) == 1 and text.count("Window [") == 1
+
+
 def test_importance_exchanges_rows_before_multiplying_them(spark, monkeypatch):
     monkeypatch.setattr("panelweave.operators.evaluation.SHUFFLE_ROWS", 10)
     test = spark.range(100).selectExpr("id k", "cast(id as double) x", "cast(id as double) y")
