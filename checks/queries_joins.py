@@ -97,7 +97,7 @@ _FEATURE_YEARS = [("base", 1995), ("lines", 1995), ("lines", 1997), ("lines", 19
     + " from feature_long group by codecommune"
 )
 def panel_widen_features(spark, sf):
-    long = views.feature_long(spark, sf).withColumn(
+    long = views.stored(views.feature_long, spark, sf).withColumn(
         "name", F.concat(F.lit("totals/"), "feature", F.col("annee").cast("string"))
     )
     wide = widen(long, ["codecommune"], "name", "value")

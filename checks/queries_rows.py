@@ -95,7 +95,7 @@ def scan_path_metadata(spark, sf):
 def scan_feature_files(spark, sf):
     """One file of dated and undated columns, one with the year inside a name."""
     root = new_path(spark, "covariates")
-    cells = views.feature_long(spark, sf).withColumn(
+    cells = views.stored(views.feature_long, spark, sf).withColumn(
         "name", F.concat("feature", F.col("annee").cast("string"))
     )
     wide = widen(cells, ["codecommune"], "name", "value").withColumn("undated", F.lit(0))
