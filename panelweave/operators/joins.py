@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelweave.functions.predicates import complete
 from panelweave.operators.columns import quoted
-from panelweave.storage import LOOKUP_SALTS, SMALL_TABLE_ROWS, pinned
+from panelweave.storage import LOOKUP_SALTS, SMALL_TABLE_ROWS, pin_small, pinned
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
@@ -76,8 +76,11 @@ def lookup_join(
 
 
 def semi_keep_null(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
-    """Rows whose key occurs on the right, plus all rows without a key."""
-    known = right.select(on).filter(complete([on])).distinct()
+    """Rows whose key occurs on the right, plus all rows without a key.
+
+    A checked-small key list is broadcast, and the left side is only filtered.
+    """
+    known = pin_small(right.select(on).filter(complete([on])).distinct())
     return left.filter(F.col(on).isNull()).unionByName(left.join(known, on, "left_semi"))
 
 

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from itertools import accumulate
 from math import ceil
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.fixed_values import CV_FOLDS, RANDOM_SEED, SAMPLE_ROWS, TEST_FRACTION
@@ -46,7 +46,7 @@ def hash_cuts(
     cuts: dict[int, str] = {}
     open_ranks = {r: ("", r) for r in set(ranks(rows)) if r > 0}
     while open_ranks:
-        still_open = {}
+        still_open, ready = {}, {}
         for rank, (prefix, left) in open_ranks.items():
             for p, n in counted:
                 if not p.startswith(prefix):
@@ -57,13 +57,15 @@ def hash_cuts(
                 if width == _HASH_DIGITS:
                     cuts[rank] = p
                 elif n <= _FETCH_ROWS:
-                    first = tokens.filter(F.col("t").startswith(p)).orderBy("t").limit(left)
-                    cuts[rank] = first.agg(F.max("t")).first()[0]
+                    ready[rank] = (p, left)
                 else:
                     still_open[rank] = (p, left)
                 break
             else:
                 raise ValueError(f"rank {rank} is beyond the number of rows")
+        if ready:
+            found = _nth_tokens(tokens, width, set(ready.values()))
+            cuts.update({rank: found[place] for rank, place in ready.items()})
         open_ranks = still_open
         if open_ranks:
             prefixes = sorted({p for p, _ in open_ranks.values()})
@@ -73,6 +75,22 @@ def hash_cuts(
     return rows, cuts
 
 
+def _nth_tokens(tokens: DataFrame, width: int, places: set[tuple[str, int]]) -> dict:
+    """The n-th token within each (prefix, n), from one pass.
+
+    A prefix is asked for once it holds few rows, so the windows are small.
+    """
+    prefix = F.substring("t", 1, width)
+    within = F.row_number().over(Window.partitionBy("p").orderBy("t"))
+    numbered = (
+        tokens.filter(prefix.isin(*sorted({p for p, _ in places})))
+        .select(prefix.alias("p"), "t")
+        .withColumn("n", within)
+        .filter(F.col("n").isin(*sorted({n for _, n in places})))
+    )
+    return {(r["p"], r["n"]): r["t"] for r in numbered.collect()}
+
+
 def sample_capped(
     df: DataFrame, keys: list[str], n: int = SAMPLE_ROWS, seed: int = RANDOM_SEED
 ) -> DataFrame:

@@ -237,3 +237,13 @@ def test_european_panel_from_files(spark, tmp_path):
 def test_last_wins_ignores_missing_keys(spark):
     df = spark.createDataFrame([(1, None, "A")], "p int, k string, v string")
     assert last_wins(df, "k", "v", "p").isEmpty()
+
+
+def test_a_build_without_matching_years_keeps_its_rows(spark, tree):
+    cfg = config(tree, include_elections=("referendum",), min_year=2005, max_past_years=0, output_dir=None)
+    built = build_dataset(spark, cfg)
+    assert built.elections == [("referendum", 2005)]
+    assert [(r.codecommune, r.pvoteC) for r in built.rows.collect()] == [("01001", 0.7)]
+    assert built.backfill.isEmpty()
+    none = build_dataset(spark, config(tree, min_year=2100, output_dir=None))
+    assert none.elections == [] and none.rows.isEmpty()
