@@ -63,10 +63,13 @@ def prepare(
     return kept
 
 
-def dropna_with_counts(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+def dropna_with_counts(
+    df: DataFrame, columns: list[str], by: list[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Drop rows missing any of ``columns``; count drops at the first one missing.
 
     The counts equal those of dropping column after column, yet need one pass.
+    They are given per value of ``by`` if set.
     """
     entries = []
     present = F.lit(True)
@@ -80,8 +83,9 @@ def dropna_with_counts(df: DataFrame, columns: list[str]) -> tuple[DataFrame, Da
             )
         )
         present = present & F.col(quoted(name)).isNotNull()
-    counts = df.agg(F.array(*entries).alias("steps")).select(F.inline("steps"))
-    return df.filter(present), counts
+    keys = [quoted(c) for c in by or []]
+    counts = df.groupBy(*keys).agg(F.array(*entries).alias("steps"))
+    return df.filter(present), counts.select(*keys, F.inline("steps"))
 
 
 def numeric_columns(df: DataFrame) -> list[str]:

@@ -75,8 +75,8 @@ def _uncoded(df: DataFrame) -> DataFrame:
 @dataclass(frozen=True)
 class Dataset:
     """The table and how it came about: elections included as (type, year),
-    years that stood in for others, rows dropped per missing share, and columns
-    removed as too sparse."""
+    years that stood in for others and rows dropped per missing share, both per
+    election, and columns removed as too sparse."""
 
     rows: DataFrame
     elections: list[tuple[str, int]]
@@ -114,7 +114,7 @@ def assemble(
     known = election_history(votes)
     history = with_previous_elections(votes, vote_columns, known)
     candidates = history.filter(selected & ~uncoded)
-    target, dropped = dropna_with_counts(candidates, vote_columns)
+    target, dropped = dropna_with_counts(candidates, vote_columns, ["election_type", "annee"])
     elections = sorted((r["election_type"], r["annee"]) for r in known.filter(selected).collect())
     spark = votes.sparkSession
     years = spark.createDataFrame([(y,) for y in sorted({y for _, y in elections})], "target int")
@@ -133,7 +133,9 @@ def assemble(
     return Dataset(
         rows=rows.select(*[quoted(c) for c in ordered]),
         elections=elections,
-        backfill=backfill_map(resolved),
+        backfill=backfill_map(resolved).join(
+            known.filter(selected).select("election_type", F.col("annee").alias("target")), "target"
+        ),
         dropped=dropped,
     )
 

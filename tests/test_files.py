@@ -171,9 +171,12 @@ def test_build_dataset_from_files(spark, tree):
     assert rows[None, 2002]["incomecommunes/rev"] == 40.0
     # ranks count the communes of the elections and the row without a code
     assert one["incomecommunes/rev_rank"] == pytest.approx(1 / 2)
-    assert [(r.column, r.dropped) for r in built.dropped.collect()] == [("pvoteC", 1)]
+    assert {(r.election_type, r.annee, r.column, r.dropped) for r in built.dropped.collect()} == {
+        ("legislative", 1997, "pvoteC", 0), ("presidentiel", 2002, "pvoteC", 1)
+    }
     filled = {r.filled: r.source for r in built.backfill.filter("target = 1997").collect()}
     assert filled["incomecommunes/rev1997"] == "incomecommunes/rev1995"
+    assert {r.election_type for r in built.backfill.filter("target = 1997").collect()} == {"legislative"}
 
 
 def test_build_one_election_with_quality_filter(spark, tree):
