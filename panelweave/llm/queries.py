@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import decontaminate, records, topk
+from panelweave.llm import chat, decontaminate, mixing, records, topk
 from panelweave.llm.common import table
-from panelweave.storage import new_path
+from panelweave.storage import new_path, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +81,55 @@ select query_id, cast(rank as integer) as rank, vec_id, score from r where rank
 def op5_exact_topk(spark, sf):
     vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
     return topk.top_k(vectors.where(F.col("vec_id") % 100 == 0), vectors)
+
+
+@query("""
+with m as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  cast(coalesce(sum(case when role = 'assistant' then length(text) end), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(8 + 8 + 7 + length(role) + length(text)
+    + length(regexp_replace(role || text, '[^<\\[]', '', 'g'))) as bigint) as formatted_chars
+from m group by conv_id
+""")
+def op6_chat_format(spark, sf):
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    said = "'</s>[INST] ok [/INST]'"
+    more = spark.sql(f"select -7L as conv_id, 0L as turn, 'user' as role, {said} as text union all select -7L, 1L, 'assistant', {said}")
+    rows = rows.unionByName(more).withColumn("parts", chat.text_part(F.col("text")))
+    out = stage(chat.format_chat(rows), "chats")
+    turns = chat.read_turns(F.col("formatted"))
+    loss = chat.loss_text(F.col("formatted"), F.col("loss_spans"))
+    read = out.select("conv_id", "formatted", turns.alias("turns"), loss.alias("loss"))
+    lines = F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n")))
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+@query(r"""
+with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size from documents),
+  s as (select source, sum(size) as source_size, row_number() over (order by source nulls last) - 1 as nr from d group by source),
+  w as (select *, [5.0, 2.0, 1.0][nr % 3 + 1]::double as weight, 3 * source_size as cap from s),
+  l as (select *, row_number() over r as nth,
+      (sum(source_size) over () - coalesce(sum(cap) over (r rows between unbounded preceding and 1 preceding), 0))::double
+      / (sum(weight) over () - coalesce(sum(weight) over (r rows between unbounded preceding and 1 preceding), 0)) as level
+    from w window r as (order by source_size / weight, source nulls last)),
+  f as (select min(nth) as first from l where level * weight <= cap),
+  t as (select source, source_size, case when nth >= first then (select level from l where nth = first) * weight
+      else cap::double end as target, cap from l, f),
+  p as (select d.*, t.source_size, t.target, least(cast(round(t.target) as bigint), cap) as goal,
+      coalesce(sum(d.size) over (partition by d.source order by md5('0|' || d.doc_id), d.doc_id
+        rows between unbounded preceding and 1 preceding), 0) as start
+    from d join t on d.source is not distinct from t.source)
+select doc_id, size, cast(source_size as bigint) as source_size, target, cast(case when size = 0 then 0 else
+  list_sum([greatest(0, least(start + e * source_size + size, goal) - (start + e * source_size)) for e in range(3)]) end as bigint) as taken
+from p
+""")
+def op7_source_mix(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    return mixing.taken_words(docs).select("doc_id", "size", "source_size", "target", "taken")
