@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import chat, decontaminate, mixing, records, topk
+from panelweave.llm import chat, decontaminate, langid, mixing, neardup, quality, records, topk
 from panelweave.llm.common import table
 from panelweave.storage import new_path, stage
 
@@ -38,6 +38,29 @@ def op1_token_records(spark, sf):
     return index.select("doc_id", "start", "n_tokens", "ids_crc32", "file", "offset", "length")
 
 
+def _crc(column: str):
+    return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+@query()
+def op3_quality_fm(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "n_chars")
+    labels = table(spark, sf, "labels").where(_crc("doc_id") % 4 != 2)
+    machine = quality.fit_quality(docs, labels)
+    scored = quality.score_quality(docs, machine, keep=["doc_id"])
+    held_out = F.coalesce(_crc("doc_id") % 4 == 2, F.lit(True))  # a row without id is not learned from
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query()
+def op4_byte_cnn_language(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(_crc("doc_id") % 5 == 0, F.lit(True))
+    languages, weights = langid.fit_languages(docs.where(~held_out))
+    guessed = langid.predict(docs, languages, weights, keep=["doc_id"])
+    return guessed.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 _OP2_WORDS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
 
@@ -133,3 +156,22 @@ from p
 def op7_source_mix(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "source")
     return mixing.taken_words(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query(r"""
+with recursive d as (select doc_id, coalesce(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w from documents),
+  s as (select distinct doc_id, array_to_string(w[i : i + 3], ' ') as sh
+    from (select doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) as i from d where len(w) > 0)),
+  n as (select doc_id, count(*) as n from s group by doc_id),
+  links as (select a.doc_id as a, b.doc_id as b from s a join s b on a.sh = b.sh and a.doc_id <> b.doc_id
+      join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id
+    group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+  reach(doc_id, other) as (select doc_id, doc_id from d union select r.doc_id, l.b from reach r join links l on l.a = r.other)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id, d.doc_id = c.component_id as kept
+from d left join n using (doc_id) join (select doc_id, min(other) as component_id from reach group by doc_id) c using (doc_id)
+""")
+def op10_minhash_neardup(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = neardup.near_duplicates(docs)
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
