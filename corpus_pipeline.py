@@ -1,4 +1,8 @@
-"""From raw documents to token records, stage by stage."""
+"""From raw documents to token records, stage by stage.
+
+``run(spark, sf_dir)`` sends the table ``documents`` through STAGES; each result
+is written to the shared folder and read again as the next stage's documents.
+"""
 
 from __future__ import annotations
 
@@ -6,27 +10,48 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelweave.llm import decontaminate, records
+from panelweave.llm import decontaminate, langid, mixing, neardup, records
 from panelweave.llm.common import table
 from panelweave.llm.queries import tokenizer_path
 from panelweave.storage import new_path, stage
 
-#: SQL cannot express the tokenizer or the learned classifier.
+#: SQL cannot express the learned classifier or the tokenizer; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with letters and a recognised language."""
+    return langid.in_known_language(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the smallest doc_id.
+
+    Stages take shingles of five words; links need a similarity of 0.8.
+    """
+    return neardup.one_of_each(docs, width=5)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a ten-word window of a benchmark item."""
     return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix to the target weights takes them."""
+    return mixing.mixed_documents(docs)
+
+
 def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The index of the record files of all documents."""
+    """The index of the record files: a row for each document of the mix."""
     return records.write_token_records(docs, new_path(spark, "records"), tokenizer_path())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("decontamination", decontaminated),
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("source_mix", source_mix),
     ("token_records", token_records),
 ]
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import chat, decontaminate, langid, mixing, neardup, quality, records, topk
+from panelweave.llm import chat, decontaminate, langid, linededup, mixing, neardup, passages, quality, records, topk
 from panelweave.llm.common import table
 from panelweave.storage import new_path, stage
 
@@ -175,3 +175,29 @@ def op10_minhash_neardup(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     found = neardup.near_duplicates(docs)
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+@query("""
+with d as (select doc_id, text, string_split(text, chr(10)) as lines from documents),
+  w as (select doc_id, s, array_to_string(lines[s + 1 : s + 3], chr(10)) as win
+    from (select doc_id, lines, unnest(range(len(lines) - 2)) as s from d where len(lines) >= 3)),
+  r as (select doc_id, s from (select *, row_number() over (partition by win order by doc_id, s) as nth from w) where nth > 1),
+  g as (select distinct doc_id, unnest([s, s + 1, s + 2]) as p from r),
+  l as (select doc_id, unnest(lines) as line, unnest(range(len(lines))) as p from d),
+  k as (select l.doc_id, count(*) as n_lines, count(g.p) as n_removed,
+      string_agg(line, chr(10) order by l.p) filter (g.p is null) as kept
+    from l left join g on g.doc_id = l.doc_id and g.p = l.p group by l.doc_id)
+select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed,
+  case when d.text is null then null else sha256(coalesce(kept, '')) end as kept_sha256
+from d left join k using (doc_id)
+""")
+def op8_line_winnowing(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    cleaned = linededup.without_repeated_runs(docs)
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query()
+def op9_compact_windows(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return passages.passage_classes(docs)
