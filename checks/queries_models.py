@@ -11,7 +11,6 @@ from checks import views
 from checks.registry import query, rounded
 from checks.views import FEATURES
 from panelweave.operators.evaluation import (
-    SHUFFLE_ROWS,
     Regression,
     permutation_importance as importances,
     regression_metrics as metrics_of,
@@ -41,7 +40,7 @@ def sample_capped(spark, sf):
 
 def _scores_sql(tail: str = "") -> str:
     long = " union all ".join(
-        f"select '{f}' as feature, cast({f} as double) as x, y from ml_ordered where place <= 50000"
+        f"select '{f}' as feature, cast({f} as double) as x, y from ml_ordered"
         for f in FEATURES
     )
     return f"""
@@ -60,7 +59,7 @@ def _scores_sql(tail: str = "") -> str:
 
 
 def _scores(spark, sf):
-    return mutual_information(capped(views.ml_filled(spark, sf), ["row_id"]), FEATURES, "y")
+    return mutual_information(views.stored(views.ml_filled, spark, sf), FEATURES, "y")
 
 
 @query(_scores_sql())
@@ -88,7 +87,7 @@ def vif_three_features(spark, sf):
 
 @query()
 def vif_prune(spark, sf):
-    matrix = capped(views.ml_filled(spark, sf), ["row_id"])
+    matrix = views.stored(views.ml_filled, spark, sf)
     kept, dropped = prune_by_vif(correlation_matrix(matrix, FEATURES), FEATURES, 5.0)
     rows = [(c, True, None) for c in kept] + [(c, False, None if isinf(v) else v) for c, v in dropped]
     return rounded(spark.createDataFrame(rows, "feature string, kept boolean, vif double"), "vif")
@@ -144,12 +143,12 @@ _VARIANTS = " union all ".join(
     f"""select feature, round(avg(base - s), 6) as importance_mean,
           round(stddev_pop(base - s), 6) as importance_std
         from (select feature, rep, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(y)) as s from (
-            with dealt as (select *, md5(token || '|' || rep) as ord from ml_test, generate_series(0, 14) g(rep)),
-            bucketed as (select *, right(token, cast(greatest(0, ceil(log(greatest(count(*) over () / 15, 1)
-                / {SHUFFLE_ROWS}.0) / log(16))) as int)) as bucket from dealt),
-            moved as (select rep, y, {', '.join(_USED)},
-              {', '.join(f"coalesce(lead({f}) over w, first({f}) over w) as o_{f}" for f in _USED)}
-              from bucketed window w as (partition by rep, bucket order by ord))
+            with rows as (select *, place - 1 as i, count(*) over () as size from ml_test),
+            steps as (select rep, n, (43 + rep) * 104729 % n as b,
+                list_filter(range(greatest(1, (43 + rep) * 7919 % n), greatest(1, (43 + rep) * 7919 % n) + 1000), lambda x: gcd(x, n) = 1)[1] as a
+              from generate_series(0, 14) g(rep), (select count(*) as n from ml_test)),
+            moved as (select s.rep, m.y, {', '.join(f"m.{f}" for f in _USED)}, {', '.join(f"o.{f} as o_{f}" for f in _USED)}
+              from rows m cross join steps s join rows o on o.i = (s.a * m.i + s.b) % s.n)
             {_VARIANTS}) group by feature, rep) v,
           (select 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(y)) as base
            from (select y, {_GUESS} as p from ml_test)) b

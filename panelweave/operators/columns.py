@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,9 +13,17 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def present(df: DataFrame, name: str) -> Column:
+    """Whether a value is there; NaN of a float column is not."""
+    value = F.col(quoted(name))
+    if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
+        return value.isNotNull() & ~F.isnan(value)
+    return value.isNotNull()
+
+
 def missing_counts(df: DataFrame) -> tuple[int, dict[str, int]]:
     """Row count and missing values per column, from one map-side aggregate."""
-    counted = [F.count(quoted(c)).alias(f"c{i}") for i, c in enumerate(df.columns)]
+    counted = [F.count_if(present(df, c)).alias(f"c{i}") for i, c in enumerate(df.columns)]
     row = df.agg(F.count(F.lit(1)).alias("n"), *counted).first()
     return row["n"], {c: row["n"] - row[f"c{i}"] for i, c in enumerate(df.columns)}
 
@@ -25,10 +33,8 @@ def missing_profile(df: DataFrame) -> DataFrame:
     entries = [
         F.struct(
             F.lit(c).alias("column"),
-            (F.count(F.lit(1)) - F.count(quoted(c))).alias("missing"),
-            F.try_divide(
-                (F.count(F.lit(1)) - F.count(quoted(c))).cast("double"), F.count(F.lit(1))
-            ).alias("rate"),
+            F.count_if(~present(df, c)).alias("missing"),
+            F.try_divide(F.count_if(~present(df, c)).cast("double"), F.count(F.lit(1))).alias("rate"),
         )
         for c in df.columns
     ]
@@ -72,9 +78,9 @@ def dropna_with_counts(
     They are given per value of ``by`` if set.
     """
     entries = []
-    present = F.lit(True)
+    whole = F.lit(True)
     for position, name in enumerate(columns):
-        fails = present & F.col(quoted(name)).isNull()
+        fails = whole & ~present(df, name)
         entries.append(
             F.struct(
                 F.lit(position).alias("step"),
@@ -82,10 +88,10 @@ def dropna_with_counts(
                 F.count_if(fails).alias("dropped"),
             )
         )
-        present = present & F.col(quoted(name)).isNotNull()
+        whole = whole & present(df, name)
     keys = [quoted(c) for c in by or []]
     counts = df.groupBy(*keys).agg(F.array(*entries).alias("steps"))
-    return df.filter(present), counts.select(*keys, F.inline("steps"))
+    return df.filter(whole), counts.select(*keys, F.inline("steps"))
 
 
 def numeric_columns(df: DataFrame) -> list[str]:

@@ -23,11 +23,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.fixed_values import WINSOR_HIGH, WINSOR_LOW
-from panelweave.functions.numbers import clip
+from panelweave.functions.numbers import clip, nan_to_null
 from panelweave.operators.columns import missing_counts, quoted
 from panelweave.operators.joins import lookup_join
 from panelweave.storage import (
-    LOOKUP_SALTS,
     ROWS_PER_TASK,
     SMALL_TABLE_ROWS,
     pin_small,
@@ -130,24 +129,18 @@ def _attach(df, ranks, keys, value, out, total, rows_per_task) -> DataFrame:
 
     Fewer than total/threshold values can have more than ``threshold`` copies,
     so those fit a broadcast.  Rows with such a value or with NULL need nothing
-    from the second join and are spread by hash instead of meeting in one task.
+    from the second join; where they meet under a NULL key, adaptive execution
+    splits their partition.
     """
     threshold = max(rows_per_task // 10, ceil(total / SMALL_TABLE_ROWS), 1)
     common = pin_small(
         ranks.filter(F.col("copies") > threshold).select(*keys, F.col(out).alias("_hot"))
     )
     rare = ranks.filter(F.col("copies") <= threshold).select(*keys, F.col(out).alias("_cold"))
-    spread = F.pmod(F.xxhash64(*[F.col(quoted(c)) for c in df.columns]), F.lit(LOOKUP_SALTS)) + 1
     needs_join = F.col("_hot").isNull() & F.col(value).isNotNull()
-    marked = df.join(common, keys, "left").withColumns(
-        {
-            "_key": F.when(needs_join, F.col(value)),
-            "_salt": F.when(needs_join, F.lit(0)).otherwise(spread.cast("int")),
-        }
-    )
+    marked = df.join(common, keys, "left").withColumn("_key", F.when(needs_join, F.col(value)))
     other = [k for k in keys if k != value]
-    rare = rare.withColumnRenamed(value, "_key").withColumn("_salt", F.lit(0))
-    joined = marked.join(rare, [*other, "_key", "_salt"], "left")
+    joined = marked.join(rare.withColumnRenamed(value, "_key"), [*other, "_key"], "left")
     return joined.select(
         *[F.col(quoted(c)) for c in df.columns], F.coalesce("_hot", "_cold").alias(out)
     )
@@ -275,7 +268,7 @@ def medians(
     sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """(column, median) of numeric columns, from one unpivoted pass."""
-    long = df.select(*[F.col(quoted(c)).cast("double").alias(c) for c in columns]).unpivot(
+    long = df.select(*[nan_to_null(F.col(quoted(c)).cast("double")).alias(c) for c in columns]).unpivot(
         [], columns, "column", "value"
     )
     return quantiles(long, ["column"], "value", [0.5], ["median"], rows_per_task, sizes)
@@ -295,7 +288,7 @@ def impute_medians(
         present = [rows - missing[c] for c in gappy]
         found = medians(df, gappy, rows_per_task, GroupSizes(max(present), sum(present)))
         middle = {r["column"]: r["median"] for r in found.collect()}
-    filled = {c: F.col(quoted(c)).cast("double") for c in columns}
+    filled = {c: nan_to_null(F.col(quoted(c)).cast("double")) for c in columns}
     for c, median in middle.items():
         filled[c] = F.coalesce(filled[c], F.lit(median).cast("double"))
     return df.withColumns(filled)

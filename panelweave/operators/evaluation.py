@@ -3,22 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from math import ceil, log
+from math import gcd
 
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.fixed_values import CV_FOLDS, PERMUTATION_REPEATS, RANDOM_SEED, TEST_FRACTION
 from panelweave.operators.columns import quoted
-from panelweave.operators.sampling import kfold, row_token, split_train_test
+from panelweave.operators.sampling import kfold, number_rows, row_token, split_train_test
+from panelweave.storage import stage
 
-# rows of a shuffle bucket at most, and rows of the test set per task at large sizes
-SHUFFLE_ROWS = 1_000
-DEALT_ROWS = 1_000_000
+_STEP_A, _STEP_B = 7_919, 104_729
 SCORINGS = {
     "r2": "r2",
     "neg_root_mean_squared_error": "rmse",
@@ -56,6 +55,16 @@ def regression_metrics(df: DataFrame, y: str, yhat: str) -> DataFrame:
     )
 
 
+def permutation_step(rows: int, repeat: int, seed: int = RANDOM_SEED) -> tuple[int, int]:
+    """(a, b) of a repeat; a is the first number from a start on that shares no factor with ``rows``."""
+    rows = max(rows, 1)
+    turn = seed + repeat + 1
+    a = max(1, turn * _STEP_A % rows)
+    while gcd(a, rows) != 1:
+        a += 1
+    return a, turn * _STEP_B % rows
+
+
 def permutation_importance(
     predict: Callable[[DataFrame], DataFrame],
     test: DataFrame,
@@ -69,31 +78,27 @@ def permutation_importance(
     """(feature, importance_mean, importance_std): score lost by shuffling it.
 
     ``predict`` adds a ``prediction`` column to rows that have ``features``.
-    Rows are dealt once into random hash buckets of bounded size.  In each
-    repeat a bucket is ordered anew at random; every row takes the feature
-    values of the next row, the last those of the first.  All features share
-    the order of a repeat, each being replaced alone when scored.  Rows cross
-    the network once, before they are multiplied.
+    Rows are numbered in a random order.  In repeat r row i takes the feature
+    values of row (a * i + b) mod n, with a coprime to n: a permutation of the
+    whole test set, found by an equi-join on the row number, the same way at
+    every size.  All features share the permutation of a repeat, each being
+    replaced alone when scored.
     """
     columns = [F.col(quoted(c)) for c in features]
     base = test.select(row_token(keys, seed).alias("_t"), F.col(quoted(target)).alias("_y"), *columns)
-    before, rows = predict(base).agg(
+    numbered = stage(number_rows(base, "_t", "_i").drop("_t"), "numbered")
+    before, rows = predict(numbered).agg(
         _score(F.col("_y"), F.col("prediction"), scoring), F.count(F.lit(1))
     ).first()
-    digits = max(0, ceil(log(max(rows, 1) / SHUFFLE_ROWS, 16)))
-    # a fixed number: rows are few here next to what they become below, so
-    # merging partitions by their size now would leave most cores idle
-    partitions = int(test.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = (
-        base.withColumn("_bucket", F.substring("_t", -digits, digits) if digits else F.lit(""))
-        .repartition(min(16**digits, max(partitions, rows // DEALT_ROWS)), "_bucket")
-        .withColumn("_repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-        .withColumn("_order", F.md5(F.concat_ws("|", "_t", F.col("_repeat").cast("string"))))
+    steps = [permutation_step(rows, r, seed) for r in range(repeats)]
+    partner = F.element_at(F.array(*[F.lit(a).cast("long") for a, _ in steps]), F.col("_repeat") + 1) * F.col("_i") + F.element_at(
+        F.array(*[F.lit(b).cast("long") for _, b in steps]), F.col("_repeat") + 1
+    )
+    dealt = numbered.withColumn("_repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn(
+        "_j", partner % F.lit(max(rows, 1))
     )
-    w = Window.partitionBy("_repeat", "_bucket").orderBy("_order")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    other = F.struct(*columns)
-    moved = dealt.withColumn("_other", F.coalesce(F.lead(other).over(w), F.first(other).over(whole)))
+    others = numbered.select(F.col("_i").alias("_j"), F.struct(*columns).alias("_other"))
+    moved = dealt.join(others, "_j")
     shuffled = moved.withColumn("_feature", F.explode(F.array(*[F.lit(f) for f in features]))).select(
         "_repeat",
         "_feature",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelweave.functions.predicates import complete
 from panelweave.operators.columns import quoted
-from panelweave.storage import LOOKUP_SALTS, SMALL_TABLE_ROWS, pin_small, pinned
+from panelweave.storage import SMALL_TABLE_ROWS, pinned
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
@@ -62,26 +62,22 @@ def lookup_join(
 ) -> DataFrame:
     """Left join with a table that is unique on ``on``.
 
-    A checked-small table is broadcast.  A larger one is copied once per salt
-    and the detail rows are spread over the salts, so that a key holding a
-    large part of the detail, or the NULL key, is shared by many tasks.
+    A checked-small table is broadcast.  With a larger one both sides are
+    exchanged, and adaptive execution splits the detail rows of a key that holds
+    a large part of them, or of the NULL key, over many tasks.
     """
     small = pinned(table, max_rows)
-    if small is not None:
-        return df.join(small, on, "left")
-    salt = F.pmod(F.xxhash64(*[F.col(quoted(c)) for c in df.columns]), F.lit(LOOKUP_SALTS))
-    salted = df.withColumn("_salt", salt.cast("int"))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(LOOKUP_SALTS - 1))))
-    return salted.join(copies, [*on, "_salt"], "left").drop("_salt")
+    return df.join(table if small is None else small, on, "left")
 
 
 def semi_keep_null(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     """Rows whose key occurs on the right, plus all rows without a key.
 
-    A checked-small key list is broadcast, and the left side is only filtered.
+    The left side is read once: a left join marks the known keys.
     """
-    known = pin_small(right.select(on).filter(complete([on])).distinct())
-    return left.filter(F.col(on).isNull()).unionByName(left.join(known, on, "left_semi"))
+    known = right.select(F.col(on).alias("_known")).filter(complete(["_known"])).distinct()
+    marked = left.join(known, F.col(quoted(on)) == F.col("_known"), "left")
+    return marked.filter(F.col(quoted(on)).isNull() | F.col("_known").isNotNull()).drop("_known")
 
 
 def set_difference(left: DataFrame, right: DataFrame, on: str) -> DataFrame:

@@ -37,15 +37,16 @@ def add_coordinates(df: DataFrame, places: DataFrame) -> DataFrame:
     """Attach centroids; a commune without one takes its department's first.
 
     ``places`` has (position, codecommune, centroid_x, centroid_y).  "First" is
-    the lowest position.  An unknown department leaves NULL.
+    the lowest position that has a centroid.  Of a code listed twice the lowest
+    position counts.  An unknown department leaves NULL.
     """
-    places = pin_small(places)
+    places = pin_small(places.filter("centroid_x is not null and centroid_y is not null"))
     first = (
         places.groupBy(department(F.col("codecommune")).alias("_dept"))
         .agg(F.min_by(F.struct("centroid_x", "centroid_y"), "position").alias("_first"))
     )
-    own = places.select(
-        "codecommune", F.struct("centroid_x", "centroid_y").alias("_own")
+    own = places.groupBy("codecommune").agg(
+        F.min_by(F.struct("centroid_x", "centroid_y"), "position").alias("_own")
     )
     located = lookup_join(df, own, ["codecommune"]).withColumn(
         "_dept", department(F.col("codecommune"))

@@ -5,40 +5,63 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.fixed_values import MI_FEATURES, RANDOM_SEED, SAMPLE_ROWS, VIF_LIMIT
+from panelweave.fixed_values import MI_FEATURES, RANDOM_SEED, VIF_LIMIT
 from panelweave.operators.columns import numeric_columns, quoted
-from panelweave.operators.distribution import impute_medians
+from panelweave.operators.distribution import cumulate, impute_medians
 from panelweave.operators.sampling import sample_capped
+from panelweave.storage import ROWS_PER_TASK, stage
 
 _EXACT = 1e-12
 
 
+def equal_frequency_cuts(
+    df: DataFrame, columns: list[str], bins: int, rows_per_task: int = ROWS_PER_TASK
+) -> dict[str, list[float | None]]:
+    """For each column the values above which bins 1, 2, ... begin.
+
+    A value lies in bin floor(bins * rows below it / rows), so bin j begins
+    above the largest value with fewer than j / bins of the rows below it.  One
+    row per column reaches the driver.
+    """
+    long = df.select(*[F.col(quoted(c)).cast("double").alias(c) for c in columns]).unpivot(
+        [], columns, "feature", "x"
+    )
+    counts = stage(long.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("copies")), "value-copies")
+    positions = cumulate(counts, ["feature"], "x", counts.count(), rows_per_task)
+    before = [F.col("below") * bins < F.col("total") * j for j in range(1, bins)]
+    ends = [F.max(F.when(few, F.col("x"))).alias(f"c{j}") for j, few in enumerate(before)]
+    found = positions.groupBy("feature").agg(*ends).collect()
+    return {r["feature"]: list(r)[1:] for r in found}
+
+
+def _bin(value: Column, ends: Column) -> Column:
+    """Bin number of a value; a missing one is below all others."""
+    above = lambda end: F.coalesce(value > end, end.isNull() & value.isNotNull())
+    return F.size(F.filter(ends, lambda end: F.coalesce(above(end), F.lit(False))))
+
+
 def mutual_information(
-    sample: DataFrame, features: list[str], target: str, bins: int = 10
+    df: DataFrame, features: list[str], target: str, bins: int = 10, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
     """(feature, score): mutual information of equal-frequency bins, in nats.
 
-    Meant for the capped sample: a feature's rows are ranked in one task, all
-    features side by side.  Equal values share a bin.
+    Over all rows, at any size: the ends of the bins come from counted values,
+    binning is a map step, and the cells (at most ``bins`` squared a feature) are
+    combined before they are exchanged.  Equal values share a bin.  The table is
+    read twice; give a stored one.
     """
-    long = sample.select(
-        F.col(quoted(target)).cast("double").alias("_y"),
-        *[F.col(quoted(c)).cast("double").alias(c) for c in features],
-    ).unpivot(["_y"], features, "feature", "_x")
-
-    def binned(column: str):
-        position = F.rank().over(Window.partitionBy("feature").orderBy(column)) - 1
-        size = F.count(F.lit(1)).over(Window.partitionBy("feature"))
-        return F.floor(position * F.lit(bins) / size)
-
-    cells = (
-        long.select("feature", binned("_x").alias("bx"), binned("_y").alias("by"))
-        .groupBy("feature", "bx", "by")
-        .agg(F.count(F.lit(1)).cast("double").alias("n"))
-    )
+    cuts = equal_frequency_cuts(df, [*dict.fromkeys([*features, target])], bins, rows_per_task)
+    y = _bin(F.col(quoted(target)).cast("double"), F.lit(cuts.get(target, [])).cast("array<double>"))
+    long = df.select(
+        y.alias("by"), *[F.col(quoted(c)).cast("double").alias(c) for c in features]
+    ).unpivot(["by"], features, "feature", "x")
+    ends = df.sparkSession.createDataFrame(list(cuts.items()), "feature string, ends array<double>")
+    # a row per column
+    binned = long.join(F.broadcast(ends), "feature").select("feature", "by", _bin(F.col("x"), F.col("ends")).alias("bx"))
+    cells = binned.groupBy("feature", "bx", "by").agg(F.count(F.lit(1)).cast("double").alias("n"))
 
     def total(*keys: str):
         return F.sum("n").over(Window.partitionBy("feature", *keys))
@@ -121,21 +144,18 @@ class FeatureSelector:
         df: DataFrame,
         keys: list[str],
         target: str,
-        max_rows: int = SAMPLE_ROWS,
+        max_rows: int | None = None,
         seed: int = RANDOM_SEED,
     ) -> FeatureSelector:
+        """Over all rows, or over a random sample of ``max_rows`` if that is set."""
         features = [c for c in numeric_columns(df) if c not in {*keys, target}]
         filled = impute_medians(df.filter(F.col(quoted(target)).isNotNull()), features)
-        sample = sample_capped(filled, keys, max_rows, seed).cache()
-        try:
-            scored = mutual_information(sample, features, target, self.bins)
-            best = top_k(scored, self.n_mi).collect()
-            self.scores = df.sparkSession.createDataFrame(best, "feature string, score double")
-            self.selected_features = vif_prune(
-                sample, [r["feature"] for r in best], self.vif_limit
-            )
-        finally:
-            sample.unpersist()
+        if max_rows is not None:
+            filled = sample_capped(filled, keys, max_rows, seed)
+        rows = stage(filled.select(*[F.col(quoted(c)) for c in [*features, target]]), "selection")
+        best = top_k(mutual_information(rows, features, target, self.bins), self.n_mi).collect()
+        self.scores = df.sparkSession.createDataFrame(best, "feature string, score double")
+        self.selected_features = vif_prune(rows, [r["feature"] for r in best], self.vif_limit)
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:

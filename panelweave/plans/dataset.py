@@ -111,9 +111,11 @@ def assemble(
         & (F.col("election_type") == legacy_type)
         & (F.col("annee") == legacy_year)
     )
-    known = election_history(votes)
-    history = with_previous_elections(votes, vote_columns, known)
-    candidates = history.filter(selected & ~uncoded)
+    # without a code, rows of one election cannot be told apart: they go first
+    coded = votes.filter(~uncoded)
+    known = election_history(coded)
+    history = with_previous_elections(coded, vote_columns, known)
+    candidates = history.filter(selected)
     target, dropped = dropna_with_counts(candidates, vote_columns, ["election_type", "annee"])
     elections = sorted((r["election_type"], r["annee"]) for r in known.filter(selected).collect())
     spark = votes.sparkSession

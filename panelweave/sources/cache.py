@@ -19,12 +19,14 @@ def cached(
     """The table stored for ``key``, built and stored if it is not there.
 
     ``key`` digests the settings the table depends on, so changed settings make
-    a new table.  An existing table is never overwritten; with ``use_cached``
-    off the result is computed afresh and left unread on disk.  Partitioned
-    tables let later reads skip whole folders.
+    a new table.  A finished table, told by a marker written behind it, is never
+    overwritten; with ``use_cached`` off the result is computed afresh and left
+    unread on disk.  What a broken write left behind is written over.
+    Partitioned tables let later reads skip whole folders.
     """
     path = f"{folder.rstrip('/')}/{key}.parquet"
-    stored = _stored(spark, path)
+    marker = f"{folder.rstrip('/')}/{key}.done"
+    stored = _stored(spark, path) if _stored(spark, marker) is not None else None
     if use_cached and stored is not None:
         return stored
     result = build()
@@ -32,7 +34,8 @@ def cached(
         return result
     # rebalance: few files per partition, and large partitions split over tasks
     spread = result.hint("rebalance", *partition_by) if partition_by else result
-    spread.write.mode("ignore").partitionBy(*partition_by).parquet(path)
+    spread.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    spark.range(1).write.mode("overwrite").parquet(marker)
     return spark.read.schema(result.schema).parquet(path)
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelweave.fixed_values import UNDATED_FEATURE_FILES
 from panelweave.functions.names import (
@@ -53,31 +54,39 @@ def dated_columns(spark: SparkSession, columns: Iterable[tuple[str, str]]) -> di
 
 
 def scan_covariates(
-    spark: SparkSession, root: str, include: str = "communes", skip: str = "code"
+    spark: SparkSession, root: str, include: str = "communes", skip: str = "code", text: str = "error"
 ) -> DataFrame:
     """(codecommune, feature, annee, value) over all files, feature = ``stem/name``.
 
     Long form replaces the outer join per file: the files are stacked, and one
     exchange widens them when a wide table is wanted.  NULLs are kept so that
-    the catalog of years stays complete; text that is not a number is NULL.
+    the catalog of years stays complete.  Files of one name in different folders
+    are all read; a year that two of them give fails where it is widened.
+    Dated text columns are named in an error, or with ``text="keep"`` arrive in
+    a column ``text``, which is then always there; ``text="drop"`` leaves them out.
     """
-    files = {
-        stem: spark.read.parquet(path)
-        for path, stem in covariate_files(spark, root, include, skip)
-    }
+    files = [(stem, spark.read.parquet(path)) for path, stem in covariate_files(spark, root, include, skip)]
     if not files:
         raise FileNotFoundError(f"no {include} files under {root}")
-    dated = dated_columns(spark, [(s, c) for s, df in files.items() for c in df.columns])
+    dated = dated_columns(spark, sorted({(s, c) for s, df in files for c in df.columns}))
+    wordy = [
+        f"{stem}/{c}" for stem, df in files for c in df.columns
+        if (stem, c) in dated and c != "codecommune" and isinstance(df.schema[c].dataType, T.StringType)
+    ]
+    if wordy and text == "error":
+        raise ValueError(f"dated text columns: {', '.join(wordy)}; pass text='keep' or text='drop'")
+    words = {"text": "string"} if text == "keep" else {}
     parts = []
-    for stem, df in files.items():
+    for stem, df in files:
         cells = [
             F.struct(
                 F.lit(f"{stem}/{dated[stem, c][0]}").alias("feature"),
                 F.lit(dated[stem, c][1]).alias("annee"),
                 nan_to_null(F.col(quoted(c)).try_cast("double")).alias("value"),
+                *[(F.col(quoted(c)) if f"{stem}/{c}" in wordy else F.lit(None)).cast(t).alias(n) for n, t in words.items()],
             )
             for c in df.columns
-            if (stem, c) in dated and c != "codecommune"
+            if (stem, c) in dated and c != "codecommune" and (text == "keep" or f"{stem}/{c}" not in wordy)
         ]
         if cells:
             parts.append(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable
 from functools import reduce
 
@@ -15,21 +16,29 @@ from panelweave.operators.columns import quoted
 from panelweave.sources.listing import parquet_datasets
 
 # {type}/{year}/..., each folder optionally written as key=value
-_FOLDERS = r"^(?:[^/=]+=)?([^/]+)/(?:[^/=]+=)?(\d{4})([A-Za-z]*)(?:/.*)?$"
+_FOLDERS = r"^(?:[^/=]+=)?([^/]+)/(?:[^/=]+=)?(\d{4})[_-]?([^/]*)(?:/.*)?$"
 
 
 def election_files(
-    spark: SparkSession, root: str, exclude: Iterable[str] = ()
+    spark: SparkSession, root: str, exclude: Iterable[str] = (), strict: bool = False
 ) -> list[tuple[str, int, str, list[str]]]:
     """(type, year, round, paths) of each election found under ``root``.
 
-    A folder is read as a whole unless some file in it is excluded.
+    A folder is read as a whole unless some file in it is excluded.  What follows
+    the year in a folder's name is the round.  Files in any other place are named
+    in a warning, unless they are excluded, or in an error with ``strict``.
     """
     parts = [F.regexp_extract("folder", _FOLDERS, i) for i in (1, 2, 3)]
     kept = not_in(F.col("name"), list(exclude), keep_null=False)
+    listed = parquet_datasets(spark, root)
+    lost = listed.filter(~F.col("folder").rlike(_FOLDERS) & kept).select("dataset").limit(20).collect()
+    if lost:
+        message = f"not below {{type}}/{{year}}, not read: {', '.join(sorted(r[0] for r in lost))}"
+        if strict:
+            raise ValueError(message)
+        warnings.warn(message, stacklevel=3)
     folders = (
-        parquet_datasets(spark, root)
-        .filter(F.col("folder").rlike(_FOLDERS))
+        listed.filter(F.col("folder").rlike(_FOLDERS))
         .groupBy(
             parts[0].alias("election_type"),
             parts[1].cast("int").alias("annee"),
@@ -53,6 +62,7 @@ def scan_elections(
     vote_variables: Iterable[str],
     exclude: Iterable[str] = (),
     removed_communes: Iterable[str] = REMOVED_COMMUNES,
+    strict: bool = False,
 ) -> DataFrame:
     """(codecommune, election_type, annee, round, inscrits, pvote{var}...).
 
@@ -71,7 +81,7 @@ def scan_elections(
             nan_to_null(F.col("inscrits").cast("double")).alias("inscrits"),
             *[nan_to_null(F.col(quoted(v)).cast("double")).alias(f"pvote{v}") for v in variables],
         )
-        for kind, year, round_, paths in election_files(spark, root, exclude)
+        for kind, year, round_, paths in election_files(spark, root, exclude, strict)
     ]
     if not scans:
         raise FileNotFoundError(f"no election files under {root}")

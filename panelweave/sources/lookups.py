@@ -18,9 +18,9 @@ def scan_lookup_csv(
 ) -> DataFrame:
     """(key, value) with one row per key, the last line of the file winning.
 
-    A key may be several columns, such as code and label.  Line order is the Spark row number of the scan, which follows the file for
-    the small single-file tables this is for.
+    A key may be several columns, such as code and label.  Lines follow each
+    other by file name, place of the block in the file and place in the block.
     """
     keys = [key] if isinstance(key, str) else key
-    lines = read_csv_table(spark, path).select(*keys, value)
-    return last_wins(lines.withColumn("_line", F.monotonically_increasing_id()), keys, value, "_line")
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    return last_wins(read_csv_table(spark, path).select(*keys, value, place.alias("_line")), keys, value, "_line")

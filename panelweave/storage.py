@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 SMALL_TABLE_ROWS = 100_000
 ROWS_PER_TASK = 1_000_000
-LOOKUP_SALTS = 32
 
 _local_folders: dict[str, str] = {}
 
