@@ -16,7 +16,7 @@ their intersection), and pairs of different components are confirmed.  So no
 group is expanded into all its pairs, and none is capped.
 
 Defined cases: documents without words or text are linked with nothing; rows
-that share a doc_id are one document with several texts; a null doc_id has no
+that share a doc_id are one document, linked through each of its texts; a null doc_id has no
 component and is kept; an empty table gives an empty result.
 """
 
@@ -199,6 +199,10 @@ def near_duplicates(
 
     spokes = tables.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     links = stage(_verified(spokes, sets, percent), "links")
+    # an id with several texts is one document, linked through each of them
+    several = counted.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("x"), F.max(F.struct("k1", "k2")).alias("y")).where("x != y")
+    texts = counted.join(several.select("doc_id"), "doc_id", "left_semi").join(classes, ["k1", "k2"])
+    links = links.union(texts.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a != b").distinct())
     labels = stage(connected_components(links), "labels")
     labelled = tables.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     labelled = stage(labelled, "labelled")
@@ -214,7 +218,8 @@ def near_duplicates(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node")
     )
     out = member.join(labels, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("label", "node", "doc_id").alias("component_id"))
+    found = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "node", "doc_id"))
+    return out.select("doc_id", "n_shingles", found.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
