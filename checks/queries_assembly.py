@@ -6,8 +6,13 @@ from pyspark.sql import functions as F
 
 from checks import views
 from checks.registry import query, rounded
+from panelweave.config import PanelConfig
+from panelweave.fixed_values import REMOVED_COMMUNES
+from panelweave.operators.aggregates import widen
+from panelweave.plans.dataset import build_dataset
 from panelweave.plans.dataset import dataset_for_election as one_election
 from panelweave.plans.dataset import global_dataset as all_elections
+from panelweave.storage import new_path
 
 _TYPE = "case h.election_type when 'presidentiel' then 0 when 'legislative' then 1 else 2 end"
 _VOTES = ["pvotea", "pvoteb", "pvotepreviousa", "pvotepreviouspreviousa", "pvotepreviousb",
@@ -68,3 +73,25 @@ def global_dataset(spark, sf):
         ["presidentiel", "legislative"], 1997, places=places,
     )
     return rounded(built.rows, *_VOTES, *_FEATURES)
+
+
+@query(
+    _dataset_sql(
+        "h.election_type in ('presidentiel', 'legislative') and h.annee >= 1997 and h.codecommune not in ("
+        + ", ".join(f"'{c}'" for c in REMOVED_COMMUNES) + ")",
+        _FEATURES,
+    )
+)
+def entry_build_dataset(spark, sf):
+    """The whole build from files: election folders, a covariate file, the cache, the saved table."""
+    root = new_path(spark, "data")
+    votes = views.votes_gappy(spark, sf).withColumnsRenamed({"pvotea": "a", "pvoteb": "b"})
+    votes.write.partitionBy("election_type", "annee").parquet(f"{root}/elections")
+    cells = views.stored(views.feature_long, spark, sf).withColumn("name", F.concat("feature", F.col("annee").cast("string")))
+    widen(cells, ["codecommune"], "name", "value").write.parquet(f"{root}/totalscommunes.parquet")
+    built = build_dataset(spark, PanelConfig(
+        data_path=root, vote_variables=("a", "b"), include_elections=("presidentiel", "legislative"), min_year=1997,
+        use_cached=True, cache_dir=f"{root}/cache", output_dir=f"{root}/out",
+    ))
+    names = {f"totalscommunes/{f}": f for f in _FEATURES}
+    return rounded(built.rows.withColumnsRenamed(names).drop("round"), *_VOTES, *_FEATURES)

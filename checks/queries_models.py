@@ -186,3 +186,37 @@ def grid_search_cv(spark, sf):
     ridge = Regression(LinearRegression, maxIter=20)
     grid = {"regParam": [0.0, 1000.0], "elasticNetParam": [0.0, 0.5]}
     return ridge.tune(views.ml_filled(spark, sf), ["row_id"], FEATURES, "y", grid)[1]
+
+
+_FOLDED = """select row_id, f_price as x, y, cast(case when place <= (n % 5) * (n // 5 + 1) then (place - 1) // (n // 5 + 1)
+         else n % 5 + (place - 1 - (n % 5) * (n // 5 + 1)) // (n // 5) end as int) as fold from ml_ordered"""
+
+
+_FITS = f"""select g.fold, regr_slope(y, x) as a, regr_intercept(y, x) as b
+    from ({_FOLDED}) t join generate_series(0, 4) g(fold) on t.fold <> g.fold group by g.fold"""
+
+
+@query(
+    f"""select cast(fold as int) as fold, round(score, 6) as score, round(avg(score) over (), 6) as mean_test_score,
+          round(stddev_pop(score) over (), 6) as std_test_score, 1 as rank_test_score from (
+            select fold, 1 - sum((y - a * x - b) * (y - a * x - b)) / (var_pop(y) * count(y)) as score
+            from ({_FOLDED}) join ({_FITS}) using (fold) group by fold)"""
+)
+def grid_search_linear(spark, sf):
+    """Fold scores of plain least squares on one feature, in closed form in the SQL."""
+    ridge = Regression(LinearRegression, maxIter=20, solver="normal")
+    results = ridge.tune(views.stored(views.ml_filled, spark, sf), ["row_id"], ["f_price"], "y", {"regParam": [0.0]}, refit=False)[1]
+    by_fold = results.select(F.posexplode("fold_scores").alias("fold", "score"), "mean_test_score", "std_test_score", "rank_test_score")
+    return rounded(by_fold, "score", "mean_test_score", "std_test_score")
+
+
+@query(
+    """select row_id, round(y, 6) as y, round(a * f_price + b, 4) as prediction from ml_test,
+          (select regr_slope(y, f_price) as a, regr_intercept(y, f_price) as b from ml_ordered
+           where place > ceil(round(0.15 * n, 6)))"""
+)
+def linear_predict(spark, sf):
+    """Fitted and predicted values of one feature, in closed form in the SQL."""
+    train, test = split_train_test(views.stored(views.ml_filled, spark, sf), ["row_id"])
+    fitted = Regression(LinearRegression, maxIter=20, solver="normal").fit(train, ["f_price"], "y").predict(test)
+    return fitted.select("row_id", F.round("y", 6).alias("y"), F.round("prediction", 4).alias("prediction"))

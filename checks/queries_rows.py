@@ -105,6 +105,65 @@ def scan_feature_files(spark, sf):
     return rounded(scan_covariates(spark, root), "value")
 
 
+@query(
+    """select lpad(cast(c_custkey as varchar), 5, '0') as codecommune, 'agecommunes/bal' as feature, 1999 as annee,
+         round(c_acctbal, 6) as value from customer
+       union all select lpad(cast(c_custkey as varchar), 5, '0'), 'agecommunes/nation', 2001, c_nationkey from customer"""
+)
+def scan_feature_files_same_stem(spark, sf):
+    """Two files of one name in different folders."""
+    root = new_path(spark, "covariates")
+    customer = table(spark, sf, "customer").withColumn("codecommune", F.lpad(F.col("c_custkey").cast("string"), 5, "0"))
+    customer.select("codecommune", F.col("c_acctbal").alias("bal1999")).write.parquet(f"{root}/a/agecommunes.parquet")
+    customer.select("codecommune", F.col("c_nationkey").alias("nation2001")).write.parquet(f"{root}/b/agecommunes.parquet")
+    return rounded(scan_covariates(spark, root), "value")
+
+
+@query(
+    """select lpad(cast(c_custkey as varchar), 5, '0') as codecommune, 'zonecommunes/segment' as feature, 1999 as annee,
+         try_cast(c_mktsegment as double) as value, c_mktsegment as text from customer
+       union all select lpad(cast(c_custkey as varchar), 5, '0'), 'zonecommunes/bal', 1999, round(c_acctbal, 6), null from customer"""
+)
+def scan_feature_files_text(spark, sf):
+    """Text covariates carried in a column of their own."""
+    root = new_path(spark, "covariates")
+    table(spark, sf, "customer").select(
+        F.lpad(F.col("c_custkey").cast("string"), 5, "0").alias("codecommune"),
+        F.col("c_mktsegment").alias("segment1999"), F.col("c_acctbal").alias("bal1999"),
+    ).write.parquet(f"{root}/zonecommunes.parquet")
+    return rounded(scan_covariates(spark, root, text="keep"), "value")
+
+
+@query(
+    """select lpad(cast(o_custkey as varchar), 5, '0') as codecommune, 'presidentiel' as election_type, year(o_orderdate) as annee,
+         case when o_orderkey % 2 = 0 then 't1' else 't2' end as round, cast(o_orderkey as double) as inscrits,
+         round(cast(o_totalprice as double), 6) as pvotea from orders
+       where lpad(cast(o_custkey as varchar), 5, '0') not in (""" + _REMOVED + """)"""
+)
+def scan_elections_suffix(spark, sf):
+    """Folders whose year has the round behind it."""
+    root = f"{new_path(spark, 'tree')}/elections"
+    table(spark, sf, "orders").select(
+        F.lpad(F.col("o_custkey").cast("string"), 5, "0").alias("codecommune"),
+        F.lit("presidentiel").alias("type"),
+        F.concat(F.year("o_orderdate").cast("string"), F.when(F.col("o_orderkey") % 2 == 0, "_t1").otherwise("_t2")).alias("year"),
+        F.col("o_orderkey").alias("inscrits"), F.col("o_totalprice").alias("a"),
+    ).write.partitionBy("type", "year").parquet(root)
+    return rounded(scan_elections(spark, root, ["a"]), "pvotea")
+
+
+@query(
+    """select 'f_discount' as "column", sum(case when l_orderkey % 3 = 0 or l_linenumber = 2 then 1 else 0 end) as missing,
+         round(sum(case when l_orderkey % 3 = 0 or l_linenumber = 2 then 1.0 else 0.0 end) / count(*), 6) as rate from lineitem
+       union all select 'l_orderkey', 0, 0.0 from lineitem having count(*) > 0"""
+)
+def missing_profile_nan(spark, sf):
+    """NaN counts as missing, like NULL."""
+    lines = table(spark, sf, "lineitem")
+    value = F.when(F.col("l_orderkey") % 3 == 0, F.lit(float("nan"))).when(F.col("l_linenumber") != 2, F.col("l_discount").cast("double"))
+    return rounded(missing_profile(lines.select("l_orderkey", value.alias("f_discount"))), "rate")
+
+
 @query(
     """select lpad(cast(c_custkey as varchar), 5, '0') as "Nuance",
          case when c_custkey % 5 <> 0 then c_mktsegment end as "Tendance" from customer"""

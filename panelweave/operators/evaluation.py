@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from math import gcd
+from multiprocessing.pool import ThreadPool
+from statistics import fmean, pstdev
 
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -188,7 +190,7 @@ class Regression:
 
         Returns (best model or None, results, best parameters, best score).
         Results have one row per grid point: parameters, mean and population
-        standard deviation of the fold scores, and rank.
+        standard deviation of the fold scores, rank, and the scores by fold.
         """
         if scoring not in SCORINGS:
             raise ValueError(f"unknown scoring {scoring!r}; known: {sorted(SCORINGS)}")
@@ -200,32 +202,36 @@ class Regression:
         folded = kfold(df, keys, cv_splits, random_state).select(
             *[F.col(quoted(c)) for c in [*features, target]], "fold"
         )
-        search = CrossValidator(
-            estimator=estimator,
-            estimatorParamMaps=grid,
-            evaluator=RegressionEvaluator(labelCol=target, metricName=SCORINGS[scoring]),
-            numFolds=cv_splits,
-            foldCol="fold",
-            parallelism=parallelism,
-            collectSubModels=False,
-        ).fit(folded)
+        folded = stage(folded, "folded")
+        evaluator = RegressionEvaluator(labelCol=target, metricName=SCORINGS[scoring])
         sign = 1.0 if scoring == "r2" else -1.0
-        means = [sign * float(m) for m in search.avgMetrics]
+
+        def fold_score(point_and_fold) -> float:
+            point, fold = point_and_fold
+            model = estimator.fit(folded.filter(F.col("fold") != fold), point)
+            return sign * float(evaluator.evaluate(model.transform(folded.filter(F.col("fold") == fold))))
+
+        folds = range(cv_splits)
+        with ThreadPool(parallelism) as pool:  # each thread only starts Spark jobs
+            flat = pool.map(fold_score, [(point, fold) for point in grid for fold in folds], chunksize=1)
+        scores = [flat[i * cv_splits : (i + 1) * cv_splits] for i in range(len(grid))]
+        means = [fmean(s) for s in scores]
         points = [{p.name: v for p, v in point.items()} for point in grid]
         rows = [
             (
                 *[str(point[name]) for name in param_grid],
-                float(mean),
-                float(std),
+                mean,
+                pstdev(by_fold),
                 1 + sum(bool(other > mean) for other in means),
+                by_fold,
             )
-            for point, mean, std in zip(points, means, search.stdMetrics)
+            for point, mean, by_fold in zip(points, means, scores)
         ]
         names = [f"param_{name} string" for name in param_grid]
-        schema = ", ".join([*names, "mean_test_score double", "std_test_score double", "rank_test_score int"])
+        schema = ", ".join([*names, "mean_test_score double", "std_test_score double", "rank_test_score int", "fold_scores array<double>"])
         results = df.sparkSession.createDataFrame(rows, schema).orderBy("rank_test_score")
         best = max(range(len(points)), key=lambda i: means[i])
         if refit:
             self.params.update(points[best])
-            self.model = search.bestModel
+            self.model = estimator.fit(folded, grid[best])
         return (self.model if refit else None), results, points[best], means[best]
