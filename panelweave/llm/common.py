@@ -37,6 +37,20 @@ def column_of(array: pa.Array, as_bytes: bool) -> list:
     return array.to_pylist()
 
 
+def worker_state(key: tuple, make: Callable[[], object]) -> object:
+    """What ``make`` gave the first time it was asked for in this Python worker.
+
+    For tables that are costly to build and only save work, such as caches.
+    """
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def append_columns(
     df: DataFrame,
     text: str,
@@ -65,8 +79,8 @@ def append_columns(
         function = None
         for batch in batches:
             function = function or make()
-            for start in range(0, batch.num_rows, 1024):  # bounded Python copies of the texts
-                part = batch.slice(start, 1024)
+            for start in range(0, batch.num_rows, 256):  # bounded Python copies of the texts
+                part = batch.slice(start, 256)
                 values = function(*[column_of(part.column(i), False) for i in range(1, part.num_columns)])
                 arrays = [pa.array(v, type=t) for v, t in zip(values, types)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=["kept", *outputs.fieldNames()])

@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelweave.llm.common import TOKEN_BYTES, append_columns, quoted
+from panelweave.llm.common import append_columns, quoted
 from panelweave.llm.components import connected_components
-from panelweave.llm.shingles import WordHashes, mixed, shingles
+from panelweave.llm.shingles import mixed, shingles, word_hashes
 from panelweave.storage import stage
 
 WIDTH = 4
@@ -51,21 +51,14 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-def _sets(width: int):
-    known = WordHashes()
-
-    def of(text: bytes | None) -> np.ndarray:
-        words = text.translate(TOKEN_BYTES).split() if text else []
-        return np.unique(shingles(known.of(words), width))
-
-    return of
+def _set(text: bytes | None, width: int) -> np.ndarray:
+    return np.unique(shingles(word_hashes(text), width))
 
 
 def signatures(docs: DataFrame, text: str, keep: list[str], width: int, halves: int) -> DataFrame:
     """Set size, a 128-bit key of the set, and its 2 * ``halves`` half-band keys."""
 
     def make():
-        set_of = _sets(width)
         rng = np.random.default_rng(7)
         a = rng.integers(0, 2**63, 4 * halves, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         b = rng.integers(0, 2**63, 4 * halves, dtype=np.uint64)
@@ -74,7 +67,7 @@ def signatures(docs: DataFrame, text: str, keep: list[str], width: int, halves:
         def sign(texts):
             ns, k1, k2, keys = [], [], [], []
             for t in texts:
-                s = set_of(t)
+                s = _set(t, width)
                 ns.append(len(s))
                 if not len(s):
                     k1.append(0), k2.append(0), keys.append([])
@@ -191,8 +184,7 @@ def near_duplicates(
     wanted = tables.select(F.col("node").alias("doc_id")).distinct()
 
     def make():
-        set_of = _sets(width)
-        return lambda texts: [[_signed(set_of(t)) for t in texts]]
+        return lambda texts: [[_signed(_set(t, width)) for t in texts]]
 
     sets = append_columns(rows.join(wanted, "doc_id", "left_semi"), "text", _SET, make, keep=["doc_id"])
     sets = stage(sets.withColumnRenamed("doc_id", "node"), "sets")

@@ -4,22 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 
-WORDS_KNOWN = 500_000
+from panelweave.llm.common import TOKEN_BYTES, worker_state
 
-
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= WORDS_KNOWN:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+SEGMENT = 1 << 20
+_BASE = 0x9E3779B97F4A7C13  # 3 modulo 8, so powers of it differ in all but few low bits
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -32,6 +20,46 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _tables(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A random word for each byte, and powers of the base and of its inverse."""
+    letters = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    inverse = pow(_BASE, -1, 1 << 64)
+    powers = [np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(size, b, np.uint64)))) for b in (_BASE, inverse)]
+    return letters, *powers
+
+
+def _hash_segment(bytes_: np.ndarray) -> np.ndarray:
+    size = 1 << max(16, (len(bytes_)).bit_length())
+    letters, up, down = worker_state(("word hash tables", size), lambda: _tables(size))
+    inside = np.zeros(len(bytes_) + 2, np.int8)
+    inside[1:-1] = bytes_ != 32
+    edge = np.diff(inside)
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    sums = np.zeros(len(bytes_) + 1, np.uint64)
+    np.cumsum(letters[bytes_] * up[: len(bytes_)], out=sums[1:])
+    return mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+
+
+def word_hashes(text: bytes | None) -> np.ndarray:
+    """64-bit hashes of the blank-delimited words with A-Z lowered, in order.
+
+    A word's hash is a polynomial in its bytes; prefix sums give those of all
+    words at once.  Long texts go segment by segment, cut at blanks.
+    """
+    if not text:
+        return np.empty(0, np.uint64)
+    all_bytes = np.frombuffer(text.translate(TOKEN_BYTES), np.uint8)
+    parts, start = [], 0
+    while start < len(all_bytes):
+        stop = min(start + SEGMENT, len(all_bytes))
+        while stop < len(all_bytes) and all_bytes[stop] != 32:
+            more = np.flatnonzero(all_bytes[stop : stop + SEGMENT] == 32)
+            stop = stop + int(more[0]) if len(more) else min(stop + SEGMENT, len(all_bytes))
+        parts.append(_hash_segment(all_bytes[start:stop]))
+        start = stop
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
     """Hash of the words from each position on; fewer words than ``width`` are one shingle."""
     n = len(words)
@@ -40,5 +68,7 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
     width_here = min(width, n)
     out = np.full(n - width_here + 1, np.uint64(width_here), np.uint64)
     for j in range(width_here):
-        out = mixed(out + words[j : n - width_here + 1 + j])
-    return out
+        out *= np.uint64(0xD6E8FEB86659FD93)
+        out += words[j : n - width_here + 1 + j]
+        out ^= out >> np.uint64(32)
+    return mixed(out)
