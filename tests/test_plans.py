@@ -77,14 +77,15 @@ def test_rank_sorts_once(spark):
     assert exchanges(text) == 1 and len(re.findall(r"\bSort \[", text)) == 1 and text.count("Window [") == 1
 
 
-def test_importance_exchanges_rows_before_multiplying_them(spark, monkeypatch):
-    monkeypatch.setattr("panelweave.operators.evaluation.SHUFFLE_ROWS", 10)
-    test = spark.range(100).selectExpr("id k", "cast(id as double) x", "cast(id as double) y")
+def test_importance_joins_on_row_numbers_before_multiplying_by_features(spark):
+    test = spark.range(100).selectExpr("id k", "cast(id as double) x", "cast(-id as double) z", "cast(id as double) y")
     scorer = lambda d: d.withColumn("prediction", F.col("x"))
-    text = plan(permutation_importance(scorer, test, ["k"], ["x"], "y"))
-    below_window = text[text.index("Window ["):]
-    assert exchanges(below_window) == 1
-    assert below_window.index("Generate explode") < below_window.index("REPARTITION_BY_NUM")
+    text = plan(permutation_importance(scorer, test, ["k"], ["x", "z"], "y"))
+    assert "Window [" not in text and "CartesianProduct" not in text and "BroadcastNestedLoop" not in text
+    joins = re.findall(r"(?:SortMergeJoin|BroadcastHashJoin|ShuffledHashJoin) \[(\w+)", text)
+    assert [j.split("#")[0] for j in joins] == ["_j"]
+    # printed from the top: the features are laid out above the join, the repeats below it
+    assert text.index("Generate explode([x,z]") < text.index("Join [_j")
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
