@@ -26,6 +26,7 @@ the text; a very long text is one frame.
 from __future__ import annotations
 
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -35,12 +36,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelweave.llm.common import append_columns, quoted
+from panelweave.llm.common import append_columns, quoted, worker_state
 from panelweave.storage import stage
 
-FILE_TEXT_BYTES = 32 << 20
-CACHED_CHUNKS = 600_000
-_BLANKS = str.maketrans("\n\r\t", "   ")
+FILE_TEXT_BYTES = 16 << 20
+CACHED_CHUNKS, CACHED_WORDS, PROBES = 150_000, 300_000, 200
+_MARKS = ".,!?;:#$%&*|()[]{}<>=+-_~^@/\\\"`"
 _HEAD = "<qBBI"
 _HEAD_SIZE = 14
 _FRAME = T.StructType([T.StructField("frame", T.BinaryType())])
@@ -75,31 +76,83 @@ def frames(data: bytes) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
         at = end + 5
 
 
-class ChunkEncoder:
-    """Ids of whole texts, encoding each distinct blank-delimited chunk once.
+def byte_letters() -> dict[int, int]:
+    """Latin-1 code points to the printable letters of byte-level vocabularies.
+
+    Visible bytes stand for themselves, the others for the letters from 256 on.
+    """
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+class ChunkEncoder(dict):
+    """Ids of blank-delimited chunks, as bytes; each is encoded when first met.
 
     For a tokenizer whose pieces never cross white space and which drops it,
-    the ids of a text are those of its chunks, one after the other.
+    the ids of a text are those of its chunks, one after the other.  A chunk of
+    letters, perhaps with punctuation behind, skips the tokenizer's normaliser
+    and splitter, which would lower it and part the punctuation, and goes to its
+    model.  Some chunks are encoded both ways, and from the first difference on
+    all go the full way.
     """
 
     def __init__(self, path: str, end_id: int) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 65536 else 4
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.short, self.met = True, 0
+        size = self.tokenizer.get_vocab_size()
+        self.width = 2 if size <= 65536 else 4
+        self.spelling = [i.to_bytes(self.width, "little") for i in range(size)]
         self.end = end_id.to_bytes(self.width, "little")
-        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+
+    def full(self, chunk: str) -> bytes:
+        return b"".join([self.spelling[i] for i in self.tokenizer.encode(chunk, add_special_tokens=False).ids])
+
+    def quick(self, chunk: str) -> bytes | None:
+        """Through the model alone; None if the chunk is not of the simple kind."""
+        bare = chunk.rstrip(_MARKS)
+        word = bare if "\u03a3" in bare else bare.lower()  # a final sigma depends on its neighbours
+        ids = self.words.get(word)
+        if ids is None:
+            if not word.isalpha():
+                return None
+            if word.isascii():
+                spelt = word
+            elif word.islower() and unicodedata.is_normalized("NFC", word) and unicodedata.is_normalized("NFC", bare):
+                spelt = word.encode().decode("latin-1").translate(self.letters)
+            else:
+                return None
+            ids = self.words[word] = b"".join([self.spelling[t.id] for t in self.model.tokenize(spelt)])
+        mark = chunk[len(bare) :]
+        if not mark:
+            return ids
+        if mark not in self.marks:
+            self.marks[mark] = self.full(mark)
+        return ids + self.marks[mark]
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.quick(chunk) if self.short else None
+        if ids is None:
+            ids = self.full(chunk)
+        else:
+            self.met += 1
+            if self.met < PROBES or self.met % PROBES == 0:
+                sure = self.full(chunk)
+                self.short, ids = self.short and sure == ids, sure
+        self[chunk] = ids
+        return ids
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > CACHED_CHUNKS:
-            self.known.clear()
-        known, split = self.known, [t.translate(_BLANKS).split(" ") if t else () for t in texts]
-        new = list({c for chunks in split for c in chunks}.difference(known))
-        for start in range(0, len(new), 8192):
-            part = new[start : start + 8192]
-            for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[chunk] = np.array(e.ids, dtype=f"<u{self.width}").tobytes()
-        return [b"".join([known[c] for c in chunks]) + self.end for chunks in split]
+        for seen, most in ((self, CACHED_CHUNKS), (self.words, CACHED_WORDS), (self.marks, 10_000)):
+            if len(seen) > most:
+                seen.clear()
+        split = [t.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ") if t else () for t in texts]
+        return [b"".join(map(self.__getitem__, chunks)) + self.end for chunks in split]
 
 
 def write_records(
@@ -119,7 +172,7 @@ def write_records(
     ordered = rows.repartitionByRange(files, "doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
 
     def make():
-        encoder = ChunkEncoder(tokenizer, end_id)
+        encoder = worker_state(("encoder", tokenizer, end_id), lambda: ChunkEncoder(tokenizer, end_id))
 
         def encode(texts, ids):
             decoded = [None if t is None else t.decode("utf-8") for t in texts]
