@@ -63,8 +63,9 @@ def without_repeated_runs(docs: DataFrame, text: str = "text", doc_id: str = "do
     again = repeated_windows(docs, text, doc_id, window)
     covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + window - 1))))
     gone = stage(again.groupBy("doc_id").agg(F.collect_list("start").alias("starts")).select(F.col("doc_id").alias("gone_id"), covered.alias("gone")), "gone")
-    packed = docs.select(F.struct("*").alias("row"), quoted(doc_id).cast("long").alias("id"), quoted(text).alias("text"))
-    joined = packed.join(gone, packed["id"] == gone["gone_id"], "left")
+    packed = docs.select(F.struct("*").alias("row"), quoted(doc_id).cast("long").alias("id"))
+    # a sort-merge join at any size: the texts cross the network once, however few repeats there are
+    joined = packed.join(gone.hint("merge"), packed["id"] == gone["gone_id"], "left").withColumn("text", F.col("row").getField(text))
     none = F.array().cast("array<int>")
     line = lines_of(F.col("text"))
     left = F.when(F.col("gone").isNull(), line).otherwise(F.filter(line, lambda x, i: ~F.array_contains(F.col("gone"), i)))
