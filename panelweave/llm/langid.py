@@ -58,8 +58,8 @@ def training_windows(docs: DataFrame, text: str, lang: str, doc_id: str, docs_a_
     """(languages, windows, language numbers) of a sample that a hash of the ids draws."""
     known = docs.select(quoted(doc_id).alias("id"), quoted(lang).alias("lang"), quoted(text).alias("text")).where("lang is not null and id is not null and text is not null")
     rates = known.groupBy("lang").agg(F.least(F.lit(1.0), 1.3 * docs_a_language / F.count("*")).alias("rate"))
-    h = F.xxhash64(F.lit(seed), F.col("id").cast("string"))
-    drawn = known.withColumn("h", h).join(rates, "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("rate") * (1 << 30))
+    h = F.xxhash64(F.lit(seed), F.col("id").cast("string"))  # rates: a row a language
+    drawn = known.withColumn("h", h).join(F.broadcast(rates), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("rate") * (1 << 30))
 
     def make():
         def cut(texts):
