@@ -34,6 +34,7 @@ EMBEDDING = 8
 DOCS_A_LANGUAGE = 1500
 WINDOWS_A_DOC = 4
 EPOCHS = 4
+LEAST_STEPS = 600  # more epochs where the sample is small
 CHUNK = 1024  # windows at a time
 
 CLASSES = 27 + 128
@@ -94,7 +95,7 @@ def fit(x: np.ndarray, y: np.ndarray, classes: int, seed: int = 0, epochs: int =
     moments = {name: (np.zeros_like(v), np.zeros_like(v)) for name, v in w.items()}
     weight = (len(y) / (classes * np.maximum(np.bincount(y, minlength=classes), 1))).astype(np.float32)
     step, batch = 0, 128
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-LEAST_STEPS // max(1, -(-len(y) // batch))))):
         order = rng.permutation(len(y))
         for start in range(0, len(y), batch):
             at = order[start : start + batch]
