@@ -163,6 +163,23 @@ def test_passages_against_brute_force(spark):
         assert found[a]["class_id"] == found[b]["class_id"] and found[a]["n_repeated"] >= 50 and found[b]["n_repeated"] >= 50
 
 
+def same_class(found, pairs):
+    return sum(found[a]["class_id"] == found[b]["class_id"] for a, b in pairs)
+
+
+def test_passages_around_a_frequent_phrase(spark):
+    """Pairs of passages whose signatures all texts share, by a phrase too short for a passage."""
+    phrase = prose(70, 44, "p")
+    rows = []
+    for i in range(60):
+        more = prose(1000 + i, 14, "m")
+        rows += [(1 + 2 * i + j, f"{prose(2000 + 2 * i + j, 60, 'x')} {phrase} {more} {prose(3000 + 2 * i + j, 60, 'y')}") for j in range(2)]
+    random.Random(3).shuffle(rows)
+    found = {r["doc_id"]: r for r in passages.passage_classes(documents(spark, rows)).collect()}
+    assert same_class(found, [(1 + 2 * i, 2 + 2 * i) for i in range(60)]) == 60
+    assert all(r["n_repeated"] >= 50 for r in found.values())
+
+
 def vectors():
     rng = random.Random(2)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(400)]
