@@ -10,8 +10,12 @@ are later repeats, and the lines of their union - maximal runs of ``window``
 lines or more - are deleted.  Each run is compared with the first place only,
 never with all the others.
 
-Defined cases: a null text stays null and has no lines; texts of fewer lines
-than a window keep them all; rows that share a doc_id hold one place, so equal
+Fewer lines than ``window`` are a window of their own length if they hold
+``min_words`` words (of what lies between white space), and so is a whole text
+of fewer lines with any word, which meets other whole texts only.  With
+``min_words`` None there are windows of ``window`` lines alone.
+
+Defined cases: a null text stays null and has no lines; rows that share a doc_id hold one place, so equal
 lines of theirs are not repeats of each other; rows with a null doc_id have no
 place and stay whole; a run that repeats itself inside a text keeps its first
 period; other columns are carried along, and those named n_lines or n_removed
@@ -24,45 +28,71 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.llm.common import quoted
+from panelweave.llm.mixing import word_count
 from panelweave.storage import stage
 
 WINDOW = 3
+MIN_WORDS = 50
 
 
 def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def fingerprints(docs: DataFrame, text: str, doc_id: str, window: int) -> DataFrame:
-    """doc_id, fingerprint and the windows (start, k1, k2) that selected it."""
-    rows = docs.select(quoted(doc_id).cast("long").alias("doc_id"), F.transform(lines_of(quoted(text)), lambda x: F.xxhash64(x)).alias("h"))
-    rows = rows.where(F.col("doc_id").isNotNull() & (F.size("h") >= window))
-    each = F.transform(
-        F.sequence(F.lit(1), F.size("h") - window + 1),
-        lambda i: F.struct(
-            F.array_min(F.slice("h", i, window)).alias("fingerprint"), (i - 1).alias("start"),
-            F.xxhash64(F.slice("h", i, window)).alias("k1"), F.xxhash64(F.lit(1), F.slice("h", i, window)).alias("k2"),
-        ),
-    )
-    return rows.select("doc_id", F.explode(each).alias("w")).select("doc_id", "w.*")
+def fingerprints(docs: DataFrame, text: str, doc_id: str, window: int, min_words: int | None) -> DataFrame:
+    """doc_id, fingerprint and the windows (start, n, k1, k2) that selected it."""
+    lines = lines_of(quoted(text))
+    words = F.array().cast("array<bigint>") if min_words is None else F.transform(lines, lambda x: word_count(x).cast("bigint"))
+    rows = docs.select(quoted(doc_id).cast("long").alias("doc_id"), F.transform(lines, lambda x: F.xxhash64(x)).alias("h"), words.alias("words"))
+    rows = rows.where(F.col("doc_id").isNotNull() & (F.size("h") >= (window if min_words is None else 1)))
+
+    def cut(n: int, kind: int):
+        def one(i):
+            part = F.slice("h", i, n)
+            tag = [] if n == window else [F.lit(n), F.lit(kind)]
+            return F.struct(
+                F.array_min(part).alias("fingerprint"), (i - 1).alias("start"), F.lit(n).alias("n"),
+                F.xxhash64(*tag, part).alias("k1"), F.xxhash64(F.lit(1), *tag, part).alias("k2"),
+            )
+
+        return one
+
+    def windows(n: int):
+        starts = F.when(F.size("h") >= n, F.sequence(F.lit(1), F.size("h") - n + 1)).otherwise(F.array().cast("array<int>"))
+        if n < window:
+            starts = F.filter(starts, lambda i: total(F.slice("words", i, n)) >= min_words)
+        return F.transform(starts, cut(n, 0))
+
+    def total(counts):
+        return F.aggregate(counts, F.lit(0).cast("bigint"), lambda x, y: x + y)
+
+    each = [windows(window)]
+    for n in range(1, window if min_words is not None else 1):
+        whole = F.when((F.size("h") == n) & (total(F.col("words")) > 0), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+        each += [windows(n), F.transform(whole, cut(n, 1))]
+    return rows.select("doc_id", F.explode(F.concat(*each)).alias("w")).select("doc_id", "w.*")
 
 
-def repeated_windows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW) -> DataFrame:
-    """(doc_id, start) of every window of lines that equals one at an earlier place."""
-    found = stage(fingerprints(docs, text, doc_id, window), "windows")
+def repeated_windows(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, min_words: int | None = MIN_WORDS
+) -> DataFrame:
+    """(doc_id, start, n) of every window of n lines that equals one at an earlier place."""
+    found = stage(fingerprints(docs, text, doc_id, window, min_words), "windows")
     # a fingerprint of one window only cannot match; of several, they are extended by what each covers
     common = stage(found.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"), "common")
-    matched = stage(found.join(common, "fingerprint").select("k1", "k2", "doc_id", "start"), "matched")
-    firsts = matched.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"))
-    firsts = stage(firsts.where("n > 1").select("k1", "k2", "first"), "firsts")
-    return matched.join(firsts, ["k1", "k2"]).where(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start").distinct()
+    matched = stage(found.join(common, "fingerprint").select("k1", "k2", "doc_id", "start", "n"), "matched")
+    firsts = matched.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("m"))
+    firsts = stage(firsts.where("m > 1").select("k1", "k2", "first"), "firsts")
+    return matched.join(firsts, ["k1", "k2"]).where(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", "n").distinct()
 
 
-def without_repeated_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW) -> DataFrame:
+def without_repeated_runs(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, min_words: int | None = MIN_WORDS
+) -> DataFrame:
     """``docs`` with later repeated runs taken out of the text, and n_lines, n_removed."""
-    again = repeated_windows(docs, text, doc_id, window)
-    covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + window - 1))))
-    gone = stage(again.groupBy("doc_id").agg(F.collect_list("start").alias("starts")).select(F.col("doc_id").alias("gone_id"), covered.alias("gone")), "gone")
+    again = repeated_windows(docs, text, doc_id, window, min_words)
+    covered = F.array_distinct(F.flatten(F.transform("runs", lambda w: F.sequence(w.start, w.start + w.n - 1))))
+    gone = stage(again.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs")).select(F.col("doc_id").alias("gone_id"), covered.alias("gone")), "gone")
     packed = docs.select(F.struct("*").alias("row"), quoted(doc_id).cast("long").alias("id"))
     # a sort-merge join at any size: the texts cross the network once, however few repeats there are
     joined = packed.join(gone.hint("merge"), packed["id"] == gone["gone_id"], "left").withColumn("text", F.col("row").getField(text))

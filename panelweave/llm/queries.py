@@ -193,7 +193,7 @@ from d left join k using (doc_id)
 """)
 def op8_line_winnowing(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    cleaned = linededup.without_repeated_runs(docs)
+    cleaned = linededup.without_repeated_runs(docs, min_words=None)  # what its SQL says: runs of three lines only
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 

@@ -118,6 +118,14 @@ def test_line_runs(spark):
     assert linededup.without_repeated_runs(docs.where("false")).count() == 0
 
 
+def test_short_line_runs(spark):
+    long, half, other = prose(1, 60), prose(2, 30), prose(3, 30)
+    rows = [(1, f"a\n{long}\nb"), (2, f"c\n{long}\nd\n{half}\n{other}"), (3, f"{half}\n{other}\ne"), (4, half), (5, "two\nlines"), (6, "two\nlines"), (7, half), (8, f"f\n{half}\ng"), (9, ""), (10, ""), (11, "two")]
+    left = {r["doc_id"]: (r["text"], r["n_removed"]) for r in linededup.without_repeated_runs(documents(spark, rows)).collect()}
+    want = {d: (t, 0) for d, t in rows} | {2: (f"c\nd\n{half}\n{other}", 1), 3: ("e", 2), 6: ("", 2), 7: ("", 1)}
+    assert left == want
+
+
 def test_windows_cover_each_subsequence_once():
     rng = np.random.default_rng(0)
     values = rng.integers(0, 10**9, 60)

@@ -1,10 +1,11 @@
 """The queries against their SQL, and the pipeline against its stages done by hand."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from checks import registry
 from checks.compare import compare, duck
-from panelweave.llm import queries
+from panelweave.llm import linededup, queries
 from tests.llm.helpers import blank_words, plain_words
 
 SF = "/root/testdata/sf0.001"
@@ -78,3 +79,34 @@ def test_pipeline(spark):
     last = tables[-1].collect()
     assert sorted(r["doc_id"] for r in last) == [d for d, _ in texts[4]]
     assert corpus_pipeline.run(spark, SF).count() == len(last)
+
+
+SHORT_RUNS = r"""
+with d as (select doc_id, text, string_split(text, chr(10)) as lines from documents),
+  a as (select doc_id, n, s, len(lines) as size, array_to_string(lines[s + 1 : s + n], chr(10)) as win
+    from (select doc_id, lines, n, unnest(range(len(lines) - n + 1)) as s
+      from d, (select unnest([1, 2, 3]) as n) where len(lines) >= n)),
+  c as (select *, len(regexp_extract_all(win, '[^\x20\x09-\x0D]+')) as words from a),
+  w as (select doc_id, n, s, win, false as whole from c where n = 3 or words >= 50
+    union all select doc_id, n, s, win, true from c where n < 3 and n = size and words > 0),
+  r as (select doc_id, s, n from (
+    select *, row_number() over (partition by win, n, whole order by doc_id, s) as nth from w) where nth > 1),
+  g as (select distinct doc_id, unnest(range(s, s + n)) as p from r),
+  l as (select doc_id, unnest(lines) as line, unnest(range(len(lines))) as p from d),
+  k as (select l.doc_id, count(*) as n_lines, count(g.p) as n_removed,
+      string_agg(line, chr(10) order by l.p) filter (g.p is null) as kept
+    from l left join g on g.doc_id = l.doc_id and g.p = l.p group by l.doc_id)
+select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed,
+  case when d.text is null then null else sha256(coalesce(kept, '')) end as kept_sha256
+from d left join k using (doc_id)
+"""
+
+
+def test_short_line_runs_match_sql(spark, con, monkeypatch):
+    def line_runs(spark, sf):
+        cleaned = linededup.without_repeated_runs(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+        return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+    monkeypatch.setitem(registry.QUERIES, "line_runs", line_runs)
+    monkeypatch.setitem(registry.ORACLES, "line_runs", SHORT_RUNS.strip())
+    assert compare(spark, con, SF, "line_runs") is None
