@@ -1,10 +1,10 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by an exact join of windows of lines.
 
-A text is a sequence of lines.  In every window of ``window`` lines the smallest
-hash is selected as a fingerprint, so two equal runs of that many lines are
-guaranteed to select the same fingerprint at the same place.  Fingerprints that
-occur once are dropped; positions of the others meet by hash, and a match is
-extended both ways over the windows that the fingerprint stands for.  Windows
+A text is a sequence of lines, and every run of ``window`` lines is a window.
+Windows meet by a hash of all their lines; the smallest hash of a line in a
+window only filters before that, as a window whose smallest one no other has
+cannot repeat.  This stands in for winnowing: positions are not selected and
+matches are not extended line by line, and the deleted runs are the same.  Windows
 that equal one at an earlier place (smaller doc_id, then smaller line number)
 are later repeats, and the lines of their union - maximal runs of ``window``
 lines or more - are deleted.  Each run is compared with the first place only,
@@ -40,7 +40,7 @@ def lines_of(text: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, text: str, doc_id: str, window: int, min_words: int | None) -> DataFrame:
-    """doc_id, fingerprint and the windows (start, n, k1, k2) that selected it."""
+    """doc_id, fingerprint and the windows (start, n, k1, k2) that have it."""
     lines = lines_of(quoted(text))
     words = F.array().cast("array<bigint>") if min_words is None else F.transform(lines, lambda x: word_count(x).cast("bigint"))
     rows = docs.select(quoted(doc_id).cast("long").alias("doc_id"), F.transform(lines, lambda x: F.xxhash64(x)).alias("h"), words.alias("words"))
@@ -78,7 +78,7 @@ def repeated_windows(
 ) -> DataFrame:
     """(doc_id, start, n) of every window of n lines that equals one at an earlier place."""
     found = stage(fingerprints(docs, text, doc_id, window, min_words), "windows")
-    # a fingerprint of one window only cannot match; of several, they are extended by what each covers
+    # a fingerprint of one window only cannot match
     common = stage(found.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"), "common")
     matched = stage(found.join(common, "fingerprint").select("k1", "k2", "doc_id", "start", "n"), "matched")
     firsts = matched.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("m"))
