@@ -12,8 +12,9 @@ spoke is confirmed on the full sets, and components are formed.  A group whose
 members then still lie in several components is settled exactly: its nodes meet
 again over the rarest shingles of their sets (a prefix that two sets of the
 required similarity must share, with the bound that shingle positions put on
-their intersection), and pairs of different components are confirmed.  So no
-group is expanded into all its pairs, and none is capped.
+their intersection), and pairs of different components are confirmed.  No
+group is capped; in the worst case (many sets just below the similarity that
+share rare shingles) this last step forms pairs with the square of the group.
 
 Defined cases: documents without words or text are linked with nothing; rows
 that share a doc_id are one document, linked through each of its texts; a null doc_id has no
