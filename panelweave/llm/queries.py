@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import chat, decontaminate, langid, linededup, mixing, neardup, passages, quality, records, topk
+from panelweave.llm import (
+    chat,
+    clustering,
+    decontaminate,
+    langid,
+    lexical,
+    linededup,
+    mixing,
+    neardup,
+    passages,
+    quality,
+    records,
+    simhash,
+    topk,
+)
 from panelweave.llm.common import table
 from panelweave.storage import new_path, stage
 
@@ -201,3 +215,52 @@ def op8_line_winnowing(spark, sf):
 def op9_compact_windows(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return passages.passage_classes(docs)
+
+
+@query(rf"""
+with d as (select doc_id, coalesce({_OP2_WORDS}, []) as w from documents where doc_id is not null),
+  n as (select doc_id, len(w) as n from d where len(w) > 0),
+  t as (select count(*) as docs, cast(sum(n) as bigint) as words from n),
+  i as (select distinct item_id, unnest(coalesce({_OP2_WORDS}, [])) as term from benchmark where item_id is not null),
+  p as (select doc_id, term, count(*) as tf from (select doc_id, unnest(w) as term from d)
+    where term in (select term from i) group by doc_id, term),
+  w as (select term, cast(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) as bigint) as w
+    from (select term, count(*) as df from p group by term), t),
+  s as (select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words)))) as bigint) as score
+    from i join p using (term) join w using (term) join n using (doc_id), t group by item_id, doc_id),
+  r as (select *, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank from s where score > 0)
+select item_id, rank, doc_id, score from r where rank <= 50
+""")
+def op11_stratified_search(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return lexical.search(docs, table(spark, sf, "benchmark").select("item_id", "text"))
+
+
+def _kmeans_sql(rounds: int, k: int) -> str:
+    parts = [f"""v as materialized (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e
+      from embeddings where vec_id is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    c0 as materialized (select cast(row_number() over (order by sha256('2:' || vec_id), e) - 1 as integer) as c, e from v qualify c < {k})"""]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} as materialized (select vec_id, any_value(v.e) as e, min({{'d': cast(list_inner_product(cast(v.e as double[]), cast(v.e as double[]))
+        - 2 * list_inner_product(cast(v.e as double[]), cast(c{r}.e as double[]))
+        + list_inner_product(cast(c{r}.e as double[]), cast(c{r}.e as double[])) as bigint), 'c': c}}) as best
+      from v, c{r} group by vec_id)""")
+        if r < rounds:
+            parts.append(f"""m{r} as (select c, list((s - ((s % n) + n) % n) // n order by i) as e from (
+        select best.c as c, i, sum(e[i]) as s, count(*) as n from a{r}, range(1, 65) g(i) group by best.c, i) group by c),
+      c{r + 1} as materialized (select c{r}.c, cast(coalesce(m{r}.e, c{r}.e) as bigint[]) as e from c{r} left join m{r} on c{r}.c = m{r}.c)""")
+    return f"""with {", ".join(parts)}
+      select vec_id, best.c as cluster, best.d as distance, cast(sum(best.d) over (partition by best.c) as bigint) as cluster_inertia,
+        cast(sum(best.d) over () as bigint) as inertia, sha256(array_to_string(c{rounds}.e, ',')) as centroid_sha256
+      from a{rounds} join c{rounds} on best.c = c"""
+
+
+@query(_kmeans_sql(clustering.ROUNDS, clustering.K))
+def op12_orchard_clusters(spark, sf):
+    return clustering.cluster(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+
+
+@query()
+def op13_pigeonhole_simhash(spark, sf):
+    found = simhash.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.as_hex(F.col("print")).alias("fingerprint"), "component_id")
