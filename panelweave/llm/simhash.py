@@ -47,8 +47,9 @@ WITHIN = 3
 SEED = 42
 BITS = 64
 PARTS = (2, 3, 4, 5, 6)
-#: More fingerprints in a bucket are linked by centre and hubs instead of pairs.
-PAIRED = 64
+#: More fingerprints in a bucket are linked by centre and hubs instead of pairs.  A member has about
+#: 1,200 hubs, rows that are exchanged; up to about as many others it is cheaper to check them.
+PAIRED = 1024
 SEGMENT = 1 << 20
 #: Cost of checking a candidate, in probed keys.
 CANDIDATE = 0.2
