@@ -37,18 +37,39 @@ def column_of(array: pa.Array, as_bytes: bool) -> list:
     return array.to_pylist()
 
 
-def worker_state(key: tuple, make: Callable[[], object]) -> object:
+def _kept() -> dict:
+    import sys
+    import types
+
+    return sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__.setdefault("state", {})
+
+
+def worker_state(owner: str, key: object, make: Callable[[], object]) -> object:
     """What ``make`` gave the first time it was asked for in this Python worker.
 
     For tables that are costly to build and only save work, such as caches.
+    They are kept until another operator runs in the worker (see ``release``).
     """
-    import sys
-    import types
+    kept = _kept()
+    if (owner, key) not in kept:
+        kept[owner, key] = make()
+    return kept[owner, key]
+
+
+def release(operator: str) -> None:
+    """Drop what workers keep for operators other than ``operator``, and give freed memory back.
 
-    kept = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    A worker outlives its task and may next serve any other one.
+    """
+    import ctypes
+
+    for owner, key in [k for k in _kept() if k[0] != operator]:
+        del _kept()[owner, key]
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
 
 
 def append_columns(
@@ -76,6 +97,7 @@ def append_columns(
         from pyspark.sql.pandas.types import to_arrow_type
 
         types = [to_arrow_type(f.dataType) for f in outputs.fields]
+        release(make.__module__)
         function = None
         for batch in batches:
             function = function or make()
@@ -84,6 +106,8 @@ def append_columns(
                 values = function(*[column_of(part.column(i), False) for i in range(1, part.num_columns)])
                 arrays = [pa.array(v, type=t) for v, t in zip(values, types)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=["kept", *outputs.fieldNames()])
+        function = None
+        release(make.__module__)
 
     out = packed.mapInArrow(run, schema=schema)
     return out.select(

@@ -25,6 +25,7 @@ the text; a very long text is one frame.
 
 from __future__ import annotations
 
+import json
 import struct
 import unicodedata
 import zlib
@@ -40,7 +41,20 @@ from panelweave.llm.common import append_columns, quoted, worker_state
 from panelweave.storage import stage
 
 FILE_TEXT_BYTES = 16 << 20
-CACHED_CHUNKS, CACHED_WORDS, PROBES = 150_000, 300_000, 200
+CACHED_CHUNKS, CACHED_WORDS = 150_000, 300_000
+CACHED_LENGTH = 64  # of a chunk; together they bound the bytes of the caches
+#: Settings of tokenizers that lower, split at white space and into letters, digits and marks (fixed values).
+_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 _MARKS = ".,!?;:#$%&*|()[]{}<>=+-_~^@/\\\"`"
 _HEAD = "<qBBI"
 _HEAD_SIZE = 14
@@ -89,12 +103,12 @@ def byte_letters() -> dict[int, int]:
 class ChunkEncoder(dict):
     """Ids of blank-delimited chunks, as bytes; each is encoded when first met.
 
-    For a tokenizer whose pieces never cross white space and which drops it,
-    the ids of a text are those of its chunks, one after the other.  A chunk of
-    letters, perhaps with punctuation behind, skips the tokenizer's normaliser
-    and splitter, which would lower it and part the punctuation, and goes to its
-    model.  Some chunks are encoded both ways, and from the first difference on
-    all go the full way.
+    Only for a tokenizer whose settings say that it lowers its text, that its
+    pieces never cross white space and that it drops that (the settings above):
+    then the ids of a text are those of its chunks, one after the other, and a
+    chunk of letters, perhaps with punctuation behind, skips the normaliser and
+    splitter and goes to the model.  With any other settings whole texts are
+    encoded.
     """
 
     def __init__(self, path: str, end_id: int) -> None:
@@ -102,7 +116,9 @@ class ChunkEncoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.short, self.met = True, 0
+        settings = json.loads(self.tokenizer.to_str())
+        added = [t["content"] for t in settings.get("added_tokens", [])]
+        self.by_chunk = settings["normalizer"] == _NORMALIZER and settings["pre_tokenizer"] == _SPLITTER and not any(c.isspace() for t in added for c in t)
         size = self.tokenizer.get_vocab_size()
         self.width = 2 if size <= 65536 else 4
         self.spelling = [i.to_bytes(self.width, "little") for i in range(size)]
@@ -127,27 +143,29 @@ class ChunkEncoder(dict):
                 spelt = word.encode().decode("latin-1").translate(self.letters)
             else:
                 return None
-            ids = self.words[word] = b"".join([self.spelling[t.id] for t in self.model.tokenize(spelt)])
+            ids = b"".join([self.spelling[t.id] for t in self.model.tokenize(spelt)])
+            if len(word) <= CACHED_LENGTH:
+                self.words[word] = ids
         mark = chunk[len(bare) :]
         if not mark:
             return ids
         if mark not in self.marks:
+            if len(mark) > CACHED_LENGTH:
+                return ids + self.full(mark)
             self.marks[mark] = self.full(mark)
         return ids + self.marks[mark]
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.quick(chunk) if self.short else None
+        ids = self.quick(chunk)
         if ids is None:
             ids = self.full(chunk)
-        else:
-            self.met += 1
-            if self.met < PROBES or self.met % PROBES == 0:
-                sure = self.full(chunk)
-                self.short, ids = self.short and sure == ids, sure
-        self[chunk] = ids
+        if len(chunk) <= CACHED_LENGTH:
+            self[chunk] = ids
         return ids
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_chunk:
+            return [(self.full(t) if t else b"") + self.end for t in texts]
         for seen, most in ((self, CACHED_CHUNKS), (self.words, CACHED_WORDS), (self.marks, 10_000)):
             if len(seen) > most:
                 seen.clear()
@@ -172,7 +190,7 @@ def write_records(
     ordered = rows.repartitionByRange(files, "doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
 
     def make():
-        encoder = worker_state(("encoder", tokenizer, end_id), lambda: ChunkEncoder(tokenizer, end_id))
+        encoder = worker_state(__name__, (tokenizer, end_id), lambda: ChunkEncoder(tokenizer, end_id))
 
         def encode(texts, ids):
             decoded = [None if t is None else t.decode("utf-8") for t in texts]

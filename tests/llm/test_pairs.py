@@ -246,3 +246,43 @@ def test_top_k_of_large_numbers_and_few_rows(spark):
     assert found == [(3, 2**63 - 1), (2, exact[2]), (1, exact[1])]
     assert topk.top_k(data.where("false"), data).count() == 0
     assert topk.top_k(data.where("vec_id = 0"), data.where(F.lit(False))).count() == 0
+
+
+def test_word_hashes_do_not_depend_on_the_place(monkeypatch):
+    """Words longer than a segment included; the tables stay as long as a segment."""
+    import numpy as np
+
+    from panelweave.llm import common, shingles
+
+    long_word = "ab" * 50
+    text = f"  x {long_word} y{' ' * 40}{long_word} {'z' * 16} q {'z' * 16}q {long_word}c {'z' * 15} "
+    monkeypatch.setattr(shingles, "SEGMENT", 16)
+    common._kept().clear()
+    words, hashes = text.split(), shingles.word_hashes(text.encode())
+    assert len(words) == len(hashes)
+    assert len({*zip(words, hashes.tolist())}) == len(set(words)) == len(set(hashes.tolist()))
+    for w, h in zip(words, hashes):
+        assert shingles.word_hashes(f" {w.upper()}\n".encode())[0] == h
+    assert all(len(t) <= 256 for t in common._kept()["word hash tables", 16])
+    common._kept().clear()
+    assert np.array_equal(shingles.word_hashes(b"a bc"), np.concatenate([shingles.word_hashes(b"a"), shingles.word_hashes(b"bc")]))
+
+
+def test_a_text_without_blanks_needs_little_memory():
+    """50 MB in one word; what is kept afterwards does not grow with it."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, sys
+from panelweave.llm import common
+from panelweave.llm.shingles import word_hashes
+small = word_hashes(b"warm up")
+text = b"x" * 50_000_000
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert len(word_hashes(text)) == 1 and len(word_hashes(text + b" y")) == 2
+grown = (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024
+kept = sum(t.nbytes for tables in common._kept().values() for t in tables)
+assert grown < 250 and kept < 2_000_000, (grown, kept)
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120)

@@ -69,4 +69,24 @@ def test_chunks_equal_whole_texts():
     texts = [t for _, t in ODD] + ["Ünïcode ﬁ ǅ. ªº 中文. हिन्दी. ´ ≠. ...a.,b", "x́. y z"]
     for text, ids in zip(texts, encoder.batch(texts)):
         assert list(np.frombuffer(ids, "<u2")) == encoded(text)
-    assert encoder.short
+    assert encoder.by_chunk
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    """The short way is taken by the tokenizer's settings alone."""
+    import json
+
+    from panelweave.llm.queries import tokenizer_path
+    from panelweave.llm.records import ChunkEncoder
+
+    text = "Two  words,\nOne's ΣΑΣ 1st <|endoftext|> x" + "y" * 500 + " " + "." * 300
+    assert ChunkEncoder(tokenizer_path(), 1).by_chunk
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {}):
+        settings = json.load(open(tokenizer_path())) | change
+        path = tmp_path / "tokenizer.json"
+        path.write_text(json.dumps(settings))
+        encoder = ChunkEncoder(str(path), 1)
+        assert encoder.by_chunk == (not change)
+        want = [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 1]
+        assert encoder.batch([text, None, text]) == [b"".join(i.to_bytes(encoder.width, "little") for i in ids) for ids in (want, [1], want)]
+        assert all(len(c) <= 64 for c in [*encoder, *encoder.words, *encoder.marks])
