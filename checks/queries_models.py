@@ -17,6 +17,7 @@ from panelweave.operators.evaluation import (
 )
 from panelweave.operators.distribution import impute_medians
 from panelweave.operators.sampling import kfold, sample_capped as capped, split_train_test
+from panelweave.operators.neighbours import neighbour_information
 from panelweave.operators.selection import (
     FeatureSelector,
     correlation_matrix,
@@ -72,6 +73,34 @@ def mi_top_k(spark, sf):
     return rounded(top_k(_scores(spark, sf), 3), "score")
 
 
+_NEAR_FEATURES = ["f_qty", "f_discount", "f_lines"]
+_NEAR_ROWS = " union all ".join(
+    f"select '{f}' as feature, row_id, cast(floor(({f} - min({f}) over ()) / stddev_pop({f}) over () * 1048576.0) as bigint) as x, "
+    "cast(floor((y - min(y) over ()) / stddev_pop(y) over () * 1048576.0) as bigint) as y from ml_filled"
+    for f in _NEAR_FEATURES
+)
+
+
+@query(
+    f"""select * from (with points as materialized ({_NEAR_ROWS}),
+      near as (select a.feature, a.row_id, any_value(a.x) as x, any_value(a.y) as y, min(greatest(abs(a.x - b.x), abs(a.y - b.y)), 3)[3] as r
+        from points a join points b on a.feature = b.feature and a.row_id <> b.row_id group by a.feature, a.row_id),
+      reach as (select *, greatest(r - 1, 0) as w from near where r is not null),
+      counted as (select feature,
+          count(*) over (partition by feature order by x range between w preceding and w following) as nx,
+          count(*) over (partition by feature order by y range between w preceding and w following) as ny,
+          case when r > 0 then 3 else count(*) over (partition by feature, x, y) end as k,
+          count(*) over (partition by feature) as n from reach),
+      psi as (select i as z, coalesce(sum(1.0 / (i - 1)) over (order by i rows between unbounded preceding and current row), 0) - 0.5772156649015329 as p
+        from range(2, (select count(*) + 2 from ml_filled)) t(i) union all select 1, -0.5772156649015329)
+      select feature, round(greatest(0, any_value(pn.p) + avg(pk.p - px.p - py.p)), 6) as score
+      from counted join psi px on px.z = nx join psi py on py.z = ny join psi pn on pn.z = n join psi pk on pk.z = k group by feature)"""
+)
+def mi_neighbours(spark, sf):
+    """Nearest-neighbour estimate over all rows; the SQL compares every pair."""
+    return rounded(neighbour_information(views.stored(views.ml_filled, spark, sf), _NEAR_FEATURES, "y"), "score")
+
+
 @query(
     """select feature, round((1 - case feature when 'f_qty' then bc * bc when 'f_price' then ac * ac
          else ab * ab end) / (1 - ab * ab - ac * ac - bc * bc + 2 * ab * ac * bc), 6) as vif
@@ -210,6 +239,35 @@ def grid_search_linear(spark, sf):
     return rounded(by_fold, "score", "mean_test_score", "std_test_score")
 
 
+_RIDGE_FOLDS = _FOLDED.replace("f_price as x", "f_price as u, f_lines as v")
+_RIDGE_FITS = f"""select fold, penalty, b1, b2, my - b1 * mu - b2 * mv as b0 from (
+    select *, ((1 + l) * ruy - ruv * rvy) / ((1 + l) * (1 + l) - ruv * ruv) * sy / su as b1,
+      ((1 + l) * rvy - ruv * ruy) / ((1 + l) * (1 + l) - ruv * ruv) * sy / sv as b2 from (
+      select g.fold, penalty, penalty / stddev_pop(y) as l, corr(u, v) as ruv, corr(u, y) as ruy, corr(v, y) as rvy,
+        avg(u) as mu, avg(v) as mv, avg(y) as my, stddev_pop(u) as su, stddev_pop(v) as sv, stddev_pop(y) as sy
+      from ({_RIDGE_FOLDS}) t join generate_series(0, 4) g(fold) on t.fold <> g.fold, (values (0.0), (20000.0)) p(penalty)
+      group by g.fold, penalty))"""
+
+
+@query(
+    f"""select param_regParam, cast(fold as int) as fold, round(score, 6) as score, round(mean, 6) as mean_test_score,
+          round(std, 6) as std_test_score, cast(dense_rank() over (order by mean desc) as int) as rank_test_score from (
+            select *, avg(score) over (partition by penalty) as mean, stddev_pop(score) over (partition by penalty) as std from (
+              select cast(cast(penalty as double) as varchar) as param_regParam, penalty, fold,
+                1 - sum((y - b0 - b1 * u - b2 * v) * (y - b0 - b1 * u - b2 * v)) / (var_pop(y) * count(y)) as score
+              from ({_RIDGE_FOLDS}) join ({_RIDGE_FITS}) using (fold) group by fold, penalty))"""
+)
+def grid_search_ridge(spark, sf):
+    """Two features and two penalties, all fold scores from one pass; normal equations in the SQL."""
+    linear = Regression(LinearRegression, solver="normal")
+    rows = views.stored(views.ml_filled, spark, sf)
+    results = linear.tune(rows, ["row_id"], ["f_price", "f_lines"], "y", {"regParam": [0.0, 20000.0]}, refit=False)[1]
+    by_fold = results.select(
+        "param_regParam", F.posexplode("fold_scores").alias("fold", "score"), "mean_test_score", "std_test_score", "rank_test_score"
+    )
+    return rounded(by_fold, "score", "mean_test_score", "std_test_score")
+
+
 @query(
     """select row_id, round(y, 6) as y, round(a * f_price + b, 4) as prediction from ml_test,
           (select regr_slope(y, f_price) as a, regr_intercept(y, f_price) as b from ml_ordered

@@ -40,12 +40,15 @@ from panelweave.operators.columns import (
     prepare,
 )
 from panelweave.operators.labels import lookup
+from panelweave.operators.ordering import number_in_order
 from panelweave.plans.blocs import SHARES, bloc_panel as build_bloc_panel, bloc_shares as shares_of
 from panelweave.plans.blocs import bloc_votes, with_turnout
 from panelweave.plans.dataset import encode_type as add_type
 from panelweave.sinks import write_sorted_csv, write_stage, write_versioned
 from panelweave.sources import (
     cached,
+    covariate_versions,
+    refreshed,
     scan_covariates,
     scan_elections,
     scan_lookup_csv,
@@ -189,6 +192,52 @@ def cached_features(spark, sf):
     return rounded(cached(spark, folder, "features", build), "value")
 
 
+def _refreshed(spark, sf):
+    """A cache of two files, one of which changes; returns what the second call gives."""
+    root = new_path(spark, "inputs")
+    long = views.stored(views.feature_long, spark, sf).withColumn("name", F.concat("feature", F.col("annee").cast("string")))
+    names = sorted(r[0] for r in long.select("feature").distinct().collect())
+
+    def put(name: str, rows) -> None:
+        widen(rows, ["codecommune"], "name", "value").write.mode("overwrite").parquet(f"{root}/{name}communes.parquet")
+
+    first, second = long.filter(F.col("feature") == names[0]), long.filter(F.col("feature") != names[0])
+    put("first", first)
+    put("second", second)
+    build = lambda files: scan_covariates(spark, root, only=files, source="_input")
+
+    def call():
+        return refreshed(spark, f"{root}-cache", "k", covariate_versions(spark, root), build, ("feature", "annee"), "value", partition_by=("annee",))
+
+    if len(call().built) != 2 or call().built:
+        raise AssertionError("two inputs are built once")
+    put("second", second.withColumn("value", F.col("value") + 1))
+    found = call()
+    if [b.rsplit("/", 1)[-1] for b in found.built] != ["secondcommunes.parquet"]:
+        raise AssertionError(f"only the changed input is built again, not {found.built}")
+    return found
+
+
+_REFRESHED = """select t.codecommune, case when first then 'firstcommunes/' else 'secondcommunes/' end || t.feature as feature, t.annee,
+      f.value + case when first then 0 else 1 end as value
+    from (select codecommune, feature, annee, feature = (select min(feature) from feature_long) as first
+      from (select distinct codecommune, feature = (select min(feature) from feature_long) as side from feature_long)
+      join (select distinct feature, annee, feature = (select min(feature) from feature_long) as side from feature_long) using (side)) t
+    left join feature_long f on f.codecommune is not distinct from t.codecommune and f.feature = t.feature and f.annee = t.annee"""
+
+
+@query(f"select codecommune, feature, annee, round(value, 6) as value from ({_REFRESHED})")
+def cached_refresh(spark, sf):
+    """One of two input files changes: the cache equals a fresh build."""
+    return rounded(_refreshed(spark, sf).rows, "value")
+
+
+@query(f"select feature, annee, count(*) as rows, count(*) filter (value is null) as missing from ({_REFRESHED}) group by all")
+def cached_catalog(spark, sf):
+    """Features, years, rows and gaps as kept beside the cached table; no data is scanned."""
+    return _refreshed(spark, sf).catalog
+
+
 @query(
     """select codecommune, annee, case election_type when 'presidentiel' then 0
          when 'legislative' then 1 else 2 end as type, round(pvotea, 6) as pvotea from votes_long"""
@@ -289,10 +338,14 @@ def profile_of_missing(spark, sf):
     return rounded(missing_profile(views.gappy_customers(spark, sf)), "rate")
 
 
-@query("select codecommune, annee, election_type, inscrits from votes_long order by 1, 2, 3")
+@query(
+    """select codecommune, annee, election_type, inscrits,
+         row_number() over (order by codecommune nulls first, annee nulls first, election_type nulls first) as place from votes_long"""
+)
 def sort_panel(spark, sf):
+    """The order as a column: consecutive numbers, so that the comparison sees it."""
     votes = views.votes_long(spark, sf).select("codecommune", "annee", "election_type", "inscrits")
-    return votes.orderBy("codecommune", "annee", "election_type")
+    return number_in_order(votes, ["codecommune", "annee", "election_type"], "place", rows_per_slice=500)
 
 
 # ---------------------------------------------------------------- scalars

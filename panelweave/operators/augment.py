@@ -81,3 +81,9 @@ def augmented_long(
         ]
     )
     return wide.select("codecommune", F.inline(variants))
+
+
+def augmented_catalog(catalog: DataFrame, kinds: Iterable[str]) -> DataFrame:
+    """(feature, annee) of ``augmented_long`` from those of its input: every kind has every year."""
+    names = [F.concat("feature", F.lit(AUGMENTATION_SUFFIXES.get(k, ""))) for k in kinds]
+    return catalog.select(F.explode(F.array(*names)).alias("feature"), "annee")

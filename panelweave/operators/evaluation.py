@@ -10,13 +10,16 @@ from statistics import fmean, pstdev
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.fixed_values import CV_FOLDS, PERMUTATION_REPEATS, RANDOM_SEED, TEST_FRACTION
 from panelweave.operators.columns import quoted
-from panelweave.operators.sampling import kfold, number_rows, row_token, split_train_test
+from panelweave.operators.moments import fold_scores, products_by_fold
+from panelweave.operators.ordering import number_in_order
+from panelweave.operators.sampling import kfold, row_token, split_train_test
 from panelweave.storage import stage
 
 _STEP_A, _STEP_B = 7_919, 104_729
@@ -88,7 +91,7 @@ def permutation_importance(
     """
     columns = [F.col(quoted(c)) for c in features]
     base = test.select(row_token(keys, seed).alias("_t"), F.col(quoted(target)).alias("_y"), *columns)
-    numbered = stage(number_rows(base, "_t", "_i").drop("_t"), "numbered")
+    numbered = stage(number_in_order(base, ["_t"], "_i", start=0).drop("_t"), "numbered")
     before, rows = predict(numbered).agg(
         _score(F.col("_y"), F.col("prediction"), scoring), F.count(F.lit(1))
     ).first()
@@ -162,7 +165,11 @@ class Regression:
         perm_n_repeats: int = PERMUTATION_REPEATS,
         perm_scoring: str = "r2",
     ):
-        """(fitted model, importances, metrics of the held-out rows)."""
+        """(fitted model, importances, metrics of the held-out rows).
+
+        The rows are written once: cuts, fit, metrics and shuffles each read them.
+        """
+        df = stage(df.select(*[F.col(quoted(c)) for c in dict.fromkeys([*keys, *features, target])]), "labelled")
         train, test = split_train_test(df, keys, test_size, random_state)
         if "seed" in self.params:
             self.params["seed"] = random_state
@@ -173,6 +180,38 @@ class Regression:
         )
         return self.model, importances, metrics
 
+    def _from_products(self, points: list[dict], scoring: str) -> bool:
+        """Whether sums of products give the same scores as fitting would."""
+        known = {"maxIter", "tol", "solver", "standardization", "fitIntercept", "regParam", "elasticNetParam"}
+        settings = [{**self.params, **point} for point in points]
+        return (
+            self.base is LinearRegression
+            and scoring != "neg_mean_absolute_error"
+            and all(set(s) <= known and not s.get("elasticNetParam") and s.get("solver") != "l-bfgs" for s in settings)
+        )
+
+    def _scores_from_products(self, folded, features, target, points, scoring) -> list[list[float]]:
+        products = products_by_fold(folded, features, target, "fold")
+        settings = [{**self.params, **point} for point in points]
+        return [
+            fold_scores(products, s.get("regParam", 0.0), scoring, s.get("standardization", True), s.get("fitIntercept", True))
+            for s in settings
+        ]
+
+    def _scores_by_fitting(self, folded, estimator, grid, target, cv_splits, scoring, parallelism) -> list[list[float]]:
+        evaluator = RegressionEvaluator(labelCol=target, metricName=SCORINGS[scoring])
+        sign = 1.0 if scoring == "r2" else -1.0
+
+        def fold_score(point_and_fold) -> float:
+            point, fold = point_and_fold
+            model = estimator.fit(folded.filter(F.col("fold") != fold), point)
+            return sign * float(evaluator.evaluate(model.transform(folded.filter(F.col("fold") == fold))))
+
+        folds = range(cv_splits)
+        with ThreadPool(parallelism) as pool:  # each thread only starts Spark jobs
+            flat = pool.map(fold_score, [(point, fold) for point in grid for fold in folds], chunksize=1)
+        return [flat[i * cv_splits : (i + 1) * cv_splits] for i in range(len(grid))]
+
     def tune(
         self,
         df: DataFrame,
@@ -191,6 +230,10 @@ class Regression:
         Returns (best model or None, results, best parameters, best score).
         Results have one row per grid point: parameters, mean and population
         standard deviation of the fold scores, rank, and the scores by fold.
+
+        A grid of plain linear models, penalised by squares or not at all, is
+        scored from one pass over the rows; any other estimator is fitted for
+        every point and fold.
         """
         if scoring not in SCORINGS:
             raise ValueError(f"unknown scoring {scoring!r}; known: {sorted(SCORINGS)}")
@@ -202,21 +245,13 @@ class Regression:
         folded = kfold(df, keys, cv_splits, random_state).select(
             *[F.col(quoted(c)) for c in [*features, target]], "fold"
         )
-        folded = stage(folded, "folded")
-        evaluator = RegressionEvaluator(labelCol=target, metricName=SCORINGS[scoring])
-        sign = 1.0 if scoring == "r2" else -1.0
-
-        def fold_score(point_and_fold) -> float:
-            point, fold = point_and_fold
-            model = estimator.fit(folded.filter(F.col("fold") != fold), point)
-            return sign * float(evaluator.evaluate(model.transform(folded.filter(F.col("fold") == fold))))
-
-        folds = range(cv_splits)
-        with ThreadPool(parallelism) as pool:  # each thread only starts Spark jobs
-            flat = pool.map(fold_score, [(point, fold) for point in grid for fold in folds], chunksize=1)
-        scores = [flat[i * cv_splits : (i + 1) * cv_splits] for i in range(len(grid))]
-        means = [fmean(s) for s in scores]
         points = [{p.name: v for p, v in point.items()} for point in grid]
+        if self._from_products(points, scoring):
+            scores = self._scores_from_products(folded, features, target, points, scoring)
+        else:
+            folded = stage(folded, "folded")
+            scores = self._scores_by_fitting(folded, estimator, grid, target, cv_splits, scoring, parallelism)
+        means = [fmean(s) for s in scores]
         rows = [
             (
                 *[str(point[name]) for name in param_grid],

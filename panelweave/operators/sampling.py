@@ -100,26 +100,6 @@ def _nth_tokens(tokens: DataFrame, width: int, places: set[tuple[str, int]]) ->
     return {(r["p"], r["n"]): r["t"] for r in numbered.collect()}
 
 
-def number_rows(df: DataFrame, token: str, out: str, rows_a_bucket: int = 1_000) -> DataFrame:
-    """``df`` with a number from 0 in the order of a hexadecimal token.
-
-    Rows are numbered inside buckets of the token's first digits, and shifted by
-    the rows of the buckets before, so no task orders all of them.
-    """
-    digits = 0
-    rows = df.count()
-    while 16**digits * rows_a_bucket < rows:
-        digits += 1
-    bucketed = df.withColumn("_bucket", F.substring(token, 1, digits) if digits else F.lit(""))
-    upto = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
-    shifts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).select(
-        "_bucket", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_shift")
-    )
-    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(token)) - 1
-    numbered = bucketed.withColumn("_within", within).join(shifts, "_bucket")
-    return numbered.withColumn(out, F.col("_shift") + F.col("_within")).drop("_bucket", "_within", "_shift")
-
-
 def sample_capped(
     df: DataFrame, keys: list[str], n: int = SAMPLE_ROWS, seed: int = RANDOM_SEED
 ) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 from functools import reduce
 
@@ -13,16 +14,17 @@ from panelweave.config import PanelConfig
 from panelweave.fixed_values import MAX_PAST_YEARS, TYPE_CODES, UNKNOWN_TYPE_CODE
 from panelweave.operators.aggregates import label_values, mean_of_means, widen
 from panelweave.operators.asof import asof_backfill, backfill_map, resolve_years
-from panelweave.operators.augment import augmented_long
+from panelweave.operators.augment import augmented_catalog, augmented_long
 from panelweave.operators.columns import drop_sparse, dropna_with_counts, quoted
 from panelweave.operators.joins import semi_keep_null
 from panelweave.operators.periods import election_history, with_previous_elections
 from panelweave.operators.places import add_coordinates, explode_districts
 from panelweave.sinks import write_versioned
-from panelweave.sources.cache import cached
-from panelweave.sources.covariates import scan_covariates
+from panelweave.sources.cache import refreshed
+from panelweave.sources.covariates import covariate_versions, scan_covariates
 from panelweave.sources.elections import scan_elections
 from panelweave.sources.geojson import scan_centroids
+from panelweave.sources.listing import dataset_versions
 from panelweave.storage import shared_folder, stage
 
 # --- fixed value: the election whose rows without a commune code are dropped --
@@ -94,6 +96,7 @@ def assemble(
     places: DataFrame | None = None,
     encoding: str = "no",
     max_past: int = MAX_PAST_YEARS,
+    catalog: DataFrame | None = None,
 ) -> Dataset:
     """One row per commune and selected election.
 
@@ -102,7 +105,8 @@ def assemble(
     likewise; a repeated key is an error.  ``selected`` is a condition on type
     and year.  Every election is served by the same plan: features are re-dated
     to each target year they stand in for, widened on (commune, year), and
-    joined to the votes on the partitioning they then have.
+    joined to the votes on the partitioning they then have.  ``catalog`` lists
+    the (feature, annee) that ``features`` has; without it they are looked up.
     """
     keys = ["codecommune", "election_type", "annee"]
     legacy_type, legacy_year = ELECTION_WITH_UNCODED_ROWS
@@ -120,7 +124,8 @@ def assemble(
     elections = sorted((r["election_type"], r["annee"]) for r in known.filter(selected).collect())
     spark = votes.sparkSession
     years = spark.createDataFrame([(y,) for y in sorted({y for _, y in elections})], "target int")
-    catalog = features.select("feature", "annee").distinct()
+    if catalog is None:
+        catalog = features.select("feature", "annee").distinct()
     resolved = resolve_years(catalog, years, max_past)
     redated = _coded(asof_backfill(features, resolved))
     wide = widen(redated, ["codecommune", "annee"], "feature", "value", label_values(resolved, "feature"))
@@ -181,16 +186,24 @@ def build_dataset(spark: SparkSession, cfg: PanelConfig) -> Dataset:
     )
     vote_columns = [f"pvote{v}" for v in cfg.vote_variables]
 
-    def covariates() -> DataFrame:
-        return semi_keep_null(scan_covariates(spark, root), votes, "codecommune")
+    def covariates(files: list[str]) -> DataFrame:
+        return semi_keep_null(scan_covariates(spark, root, only=files, source="_input"), votes, "codecommune")
 
     folder = cfg.cache_dir or f"{shared_folder(spark)}/covariates"
-    features = cached(spark, folder, cfg.covariate_key(), covariates, cfg.use_cached, ("annee",))
-    features = augmented_long(features, cfg.features_aug)
+    # the covariates kept depend on the communes of the elections
+    ballots = sorted(tuple(r) for r in dataset_versions(spark, f"{root}/elections").select("dataset", "version").collect())
+    key = f"{cfg.covariate_key()}-{hashlib.md5(repr(ballots).encode()).hexdigest()[:12]}"
+    found = refreshed(
+        spark, folder, key, covariate_versions(spark, root), covariates, ("feature", "annee"), "value", cfg.use_cached, ("annee",)
+    )
+    features, catalog = augmented_long(found.rows, cfg.features_aug), augmented_catalog(found.catalog, cfg.features_aug)
+    if list(cfg.features_aug) != ["raw"]:
+        features = stage(features, "augmented")  # read once a target year
     options = {
         "places": load_places(spark, cfg.geojson_path),
         "encoding": cfg.encoding_type,
         "max_past": cfg.max_past_years,
+        "catalog": catalog,
     }
     if cfg.one_election:
         built = dataset_for_election(

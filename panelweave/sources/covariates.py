@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Collection, Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +20,7 @@ from panelweave.functions.names import (
 from panelweave.functions.numbers import nan_to_null
 from panelweave.functions.predicates import name_matches
 from panelweave.operators.columns import quoted
-from panelweave.sources.listing import parquet_datasets
+from panelweave.sources.listing import dataset_versions, parquet_datasets
 
 
 def covariate_files(
@@ -53,8 +53,21 @@ def dated_columns(spark: SparkSession, columns: Iterable[tuple[str, str]]) -> di
     return {(r["stem"], r["column"]): (r["feature"], r["annee"]) for r in rows}
 
 
+def covariate_versions(spark: SparkSession, root: str, include: str = "communes", skip: str = "code") -> dict[str, str]:
+    """Dataset path -> version of each matching file, from the listing alone."""
+    stem = F.regexp_replace("name", r"\.parquet$", "")
+    found = dataset_versions(spark, root).filter(name_matches(stem, include, skip))
+    return {r["dataset"]: r["version"] for r in found.collect()}  # a row a file
+
+
 def scan_covariates(
-    spark: SparkSession, root: str, include: str = "communes", skip: str = "code", text: str = "error"
+    spark: SparkSession,
+    root: str,
+    include: str = "communes",
+    skip: str = "code",
+    text: str = "error",
+    only: Collection[str] | None = None,
+    source: str | None = None,
 ) -> DataFrame:
     """(codecommune, feature, annee, value) over all files, feature = ``stem/name``.
 
@@ -64,8 +77,10 @@ def scan_covariates(
     are all read; a year that two of them give fails where it is widened.
     Dated text columns are named in an error, or with ``text="keep"`` arrive in
     a column ``text``, which is then always there; ``text="drop"`` leaves them out.
+    ``only`` names the files to read; ``source`` is a column for their path.
     """
-    files = [(stem, spark.read.parquet(path)) for path, stem in covariate_files(spark, root, include, skip)]
+    chosen = [(path, stem) for path, stem in covariate_files(spark, root, include, skip) if only is None or path in only]
+    files = [(stem, spark.read.parquet(path)) for path, stem in chosen]
     if not files:
         raise FileNotFoundError(f"no {include} files under {root}")
     dated = dated_columns(spark, sorted({(s, c) for s, df in files for c in df.columns}))
@@ -77,7 +92,7 @@ def scan_covariates(
         raise ValueError(f"dated text columns: {', '.join(wordy)}; pass text='keep' or text='drop'")
     words = {"text": "string"} if text == "keep" else {}
     parts = []
-    for stem, df in files:
+    for (path, _), (stem, df) in zip(chosen, files):
         cells = [
             F.struct(
                 F.lit(f"{stem}/{dated[stem, c][0]}").alias("feature"),
@@ -91,6 +106,7 @@ def scan_covariates(
         if cells:
             parts.append(
                 df.select(
+                    *([F.lit(path).alias(source)] if source else []),
                     F.col("codecommune").cast("string").alias("codecommune"),
                     F.inline(F.array(*cells)),
                 )

@@ -8,7 +8,8 @@ from panelweave.operators.columns import drop_sparse, missing_counts, missing_pr
 from panelweave.operators.distribution import impute_medians
 from panelweave.operators.evaluation import permutation_step
 from panelweave.operators.places import add_coordinates
-from panelweave.operators.sampling import kfold, number_rows, row_token, sample_capped, split_train_test
+from panelweave.operators.ordering import number_in_order
+from panelweave.operators.sampling import kfold, row_token, sample_capped, split_train_test
 from panelweave.operators.selection import FeatureSelector, mutual_information
 from panelweave.plans.dataset import global_dataset
 from panelweave.sources import cached, scan_covariates, scan_elections, scan_lookup_csv
@@ -107,7 +108,7 @@ def test_sizes_are_exact_with_odd_keys(spark):
 
 def test_rows_are_numbered_in_order(spark):
     df = spark.range(500).select("id", F.md5(F.col("id").cast("string")).alias("t"))
-    rows = number_rows(df, "t", "i", rows_a_bucket=10).collect()
+    rows = number_in_order(df, ["t"], "i", start=0, rows_per_slice=10).collect()
     assert [r.i for r in sorted(rows, key=lambda r: r.t)] == list(range(500))
 
 
