@@ -182,7 +182,7 @@ class Regression:
 
     def _from_products(self, points: list[dict], scoring: str) -> bool:
         """Whether sums of products give the same scores as fitting would."""
-        known = {"maxIter", "tol", "solver", "standardization", "fitIntercept", "regParam", "elasticNetParam"}
+        known = {"maxIter", "tol", "solver", "standardization", "regParam", "elasticNetParam"}
         settings = [{**self.params, **point} for point in points]
         return (
             self.base is LinearRegression
@@ -194,7 +194,7 @@ class Regression:
         products = products_by_fold(folded, features, target, "fold")
         settings = [{**self.params, **point} for point in points]
         return [
-            fold_scores(products, s.get("regParam", 0.0), scoring, s.get("standardization", True), s.get("fitIntercept", True))
+            fold_scores(products, s.get("regParam", 0.0), scoring, s.get("standardization", True))
             for s in settings
         ]
 

@@ -52,8 +52,8 @@ def products_by_fold(df: DataFrame, features: list[str], target: str, fold: str)
     return {f: m.reshape(size, size) for f, m in sorted(out.items())}
 
 
-def ridge(products: np.ndarray, penalty: float, standardise: bool = True, intercept: bool = True) -> np.ndarray:
-    """Weights w with the prediction error w . (1, features, target), its last entry being -1.
+def ridge(products: np.ndarray, penalty: float, standardise: bool = True) -> np.ndarray:
+    """Weights w with the prediction error w . (1, features, target): intercept, coefficients and -1.
 
     The penalty acts on coefficients of features divided by their standard
     deviation, or on the plain ones, as in Spark's own linear regression.
@@ -67,16 +67,14 @@ def ridge(products: np.ndarray, penalty: float, standardise: bool = True, interc
     weights = np.zeros(len(products))
     weights[-1] = -1
     if spread[-1] > 0 and len(used):
-        moments = centred if intercept else second
         scale = spread[used]
-        a = moments[np.ix_(used, used)] / np.outer(scale, scale)
-        b = moments[used, -1] / (scale * spread[-1])
+        a = centred[np.ix_(used, used)] / np.outer(scale, scale)
+        b = centred[used, -1] / (scale * spread[-1])
         cost = np.full(len(used), penalty / spread[-1])
         if not standardise:
             cost = cost / scale**2
         weights[1 + used] = np.linalg.lstsq(a + np.diag(cost), b, rcond=None)[0] * spread[-1] / scale
-    if intercept:
-        weights[0] = mean[-1] - weights[1:-1] @ mean[:-1]
+    weights[0] = mean[-1] - weights[1:-1] @ mean[:-1]
     return weights
 
 
@@ -94,7 +92,7 @@ def score(products: np.ndarray, weights: np.ndarray, scoring: str) -> float:
     return 1.0 - squares / spread
 
 
-def fold_scores(products: dict[int, np.ndarray], penalty: float, scoring: str, standardise: bool = True, intercept: bool = True) -> list[float]:
+def fold_scores(products: dict[int, np.ndarray], penalty: float, scoring: str, standardise: bool = True) -> list[float]:
     """The score of each fold by a model of all the others."""
     total = sum(products.values())
-    return [float(score(own, ridge(total - own, penalty, standardise, intercept), scoring)) for own in products.values()]
+    return [float(score(own, ridge(total - own, penalty, standardise), scoring)) for own in products.values()]

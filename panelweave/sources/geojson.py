@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from panelweave.functions.geometry import geometry_polygons, polygon_centroid
 from panelweave.storage import pin_small, stage
 
+_NESTED = 8  # lists inside lists within an object, at most; coordinates have four
 _FEATURE = "type string, geometry struct<type string, coordinates string>, properties struct<code string>"
-_ARRAY = r'"features"\s*:\s*\['
+# the members of the document before its array of features, as far as they lie in one piece
+_STRING = r'"(?:[^"\\]++|\\.)*+"'
+_VALUE = rf'(?:{_STRING}|[^\s"\[\]{{}},]++|\[(?:[^{{}}"\[\]]++|{_STRING}|\[[^{{}}"]*+\])*+\])'
+_ARRAY = rf'^[\s,\]]*+\{{?(?:\s*+{_STRING}\s*+:\s*+{_VALUE}\s*+,)*+\s*+"features"\s*+:\s*+\['
 
 
 def _count(text: Column, characters: str) -> Column:
@@ -58,17 +62,26 @@ def scan_geojson(spark: SparkSession, path: str) -> DataFrame:
     started = _running(quotes, "quotes", "before").select("file", "split", "nth", (F.col("before") % 2 == 1).alias("inside"), ((F.col("before") + F.col("quotes")) % 2 == 1).alias("still"))
     marked = pieces.join(started, ["file", "split", "nth"])
     outside = F.regexp_replace(F.concat(F.when(F.col("inside"), F.lit('"')).otherwise(F.lit("")), bare), r'"[^"]*("|$)', "")
-    change = _count(outside, "{[") - _count(outside, "}]") - F.when(F.col("still"), 0).otherwise(1)
-    depths = stage(marked.select("file", "split", "nth", "text", "still", change.cast("long").alias("change")), "depths")
+    brackets = F.regexp_replace(outside, r"[^\[\]{]", "")
+    for _ in range(_NESTED):  # pairs go; what is left closes first and opens then
+        brackets = F.regexp_replace(brackets, r"\[\]", "")
+    shut = F.length(F.regexp_extract(brackets, r"^\]*", 0))
+    change = F.length(brackets) - 2 * _count(brackets, "]") - F.when(F.col("still"), 0).otherwise(1)
+    depths = stage(marked.select("file", "split", "nth", "text", "inside", "still", shut.alias("shut"), change.cast("long").alias("change")), "depths")
     placed = _running(depths, "change", "depth").withColumn("ends", F.col("depth") + F.col("change"))
-    # features are the objects of an array in the document: their last brace leads back to depth 2
-    closes = (~F.col("still") & (F.col("ends") == 2)).cast("long")
-    counted = _running(stage(placed.withColumn("closes", closes).drop("change"), "placed"), "closes", "index")
-    opens = (F.col("depth") <= 1) & (F.col("ends") >= 2)
-    own = F.when(opens, F.when(F.col("text").rlike(_ARRAY), F.regexp_replace("text", r"(?s)^.*?" + _ARRAY, ""))).when(F.col("depth") >= 2, F.col("text"))
-    parts = counted.filter(own.isNotNull() & ~((F.col("ends") < 2) & ~F.col("still"))).select(
-        "file", "index", F.struct("split", "nth", F.concat(own, F.lit("}")).alias("text")).alias("part")
-    )
+    # something at depth 2 begins in the piece; features are the objects of one such thing, the array of that name
+    opens = (F.col("depth") - F.col("shut") < 2) & (F.col("ends") >= 2)
+    plain = F.when(F.col("inside"), F.regexp_replace("text", r'^(?:[^"\\]++|\\.)*+"', "")).otherwise(F.col("text"))
+    placed = stage(placed.withColumn("opens", opens.cast("long")).withColumn("named", opens & plain.rlike(_ARRAY)).withColumn("plain", F.when(opens, plain)), "placed")
+    within = _running(placed, "opens", "before").withColumn("at", F.col("before") + F.col("opens")).drop("before")
+    arrays = pin_small(within.filter("named").select("file", "at"))  # a row a file
+    inner = stage(within.join(arrays, ["file", "at"]), "inner")
+    # the last brace of an object of the array leads back to depth 2
+    closes = ~F.col("still") & (F.col("ends") == 2)
+    counted = _running(inner.withColumn("closes", closes.cast("long")), "closes", "index")
+    own = F.when(F.col("named"), F.regexp_replace("plain", _ARRAY, "")).otherwise(F.col("text"))
+    left = (F.col("depth") - F.col("shut") < 2) & ~F.col("named")  # the array ends in this piece
+    parts = counted.filter(~left).select("file", "index", F.struct("split", "nth", F.concat(own, F.lit("}")).alias("text")).alias("part"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p.text), "")  # the pieces of a feature
     texts = parts.groupBy("file", "index").agg(joined.alias("text"))
     features = texts.select("file", "index", F.from_json(F.regexp_replace("text", r"^[\s,]+", ""), _FEATURE).alias("f"))
