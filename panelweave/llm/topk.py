@@ -16,11 +16,16 @@ computed in whole numbers.
 
 from __future__ import annotations
 
+from fractions import Fraction
+from math import floor
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.llm.common import quoted
+
 QUERY_BLOCK = 2048
 TILE_CELLS = 4_000_000
 FAN_IN = 8
@@ -29,10 +34,10 @@ _LONG = 2**63
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     """(vec_id, embedding as doubles) of the vectors that take part."""
-    x = F.col(embedding)
+    x = quoted(embedding)
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     return (
-        vectors.select(F.col(vec_id).cast("long").alias("vec_id"), x.cast("array<double>").alias("embedding"))
+        vectors.select(quoted(vec_id).cast("long").alias("vec_id"), x.cast("array<double>").alias("embedding"))
         .where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~bad)
     )
 
@@ -46,15 +51,22 @@ def _matrix(vectors: pa.Array, scale: float) -> np.ndarray:
     else:
         out = np.zeros((len(lengths), width))
         out[np.arange(width) < lengths[:, None]] = flat
-    return np.floor(out * scale)
+    with np.errstate(over="ignore"):
+        scaled = np.floor(out * scale)
+    if np.isfinite(scaled).all():
+        return scaled
+    factor = Fraction(scale)  # beyond the largest double: Python's whole numbers
+    return np.array([floor(Fraction(x) * factor) for x in out.ravel().tolist()], dtype=object).reshape(out.shape)
 
 
 def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     width = max(a.shape[1], b.shape[1], 1)
     a, b = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (a, b))
-    bound = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * width
-    if bound < 2**53:
-        return a @ b.T
+    if a.dtype != object and b.dtype != object:
+        with np.errstate(over="ignore"):
+            bound = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * width
+        if bound < 2**53:
+            return a @ b.T
     whole = [np.array([[int(x) for x in row] for row in m], dtype=object).reshape(m.shape) for m in (a, b)]
     return np.clip(whole[0] @ whole[1].T, -_LONG, _LONG - 1).astype(np.int64)
 
