@@ -9,6 +9,7 @@ from checks.registry import query, rounded
 from panelweave.config import PanelConfig
 from panelweave.fixed_values import REMOVED_COMMUNES
 from panelweave.operators.aggregates import widen
+from panelweave.operators.packed import PackedPanel, unpack
 from panelweave.plans.dataset import build_dataset
 from panelweave.plans.dataset import dataset_for_election as one_election
 from panelweave.plans.dataset import global_dataset as all_elections
@@ -75,6 +76,23 @@ def global_dataset(spark, sf):
     return rounded(built.rows, *_VOTES, *_FEATURES)
 
 
+@query(
+    f"""select h.codecommune, h.annee, {_TYPE} as type, round(h.pvotea, 6) as pvotea, f.feature, round(f.value, 6) as value
+        from votes_history h join resolved r on r.target = h.annee
+        join feature_long f on f.feature = r.feature and f.annee = r.annee and f.codecommune = h.codecommune
+        where h.pvotea is not null and h.pvoteb is not null
+          and h.election_type in ('presidentiel', 'legislative') and h.annee >= 1997"""
+)
+def packed_dataset(spark, sf):
+    """The dataset of all elections with its features in packed rows."""
+    built = all_elections(
+        views.stored(views.votes_gappy, spark, sf), views.stored(views.feature_long, spark, sf), views.VOTES,
+        ["presidentiel", "legislative"], 1997, packed=True,
+    )
+    cells = unpack(PackedPanel(built.rows, built.labels, ("codecommune", "annee", "type"))).withColumnRenamed("label", "feature")
+    return rounded(cells.select("codecommune", "annee", "type", "pvotea", "feature", "value"), "pvotea", "value")
+
+
 @query(
     _dataset_sql(
         "h.election_type in ('presidentiel', 'legislative') and h.annee >= 1997 and h.codecommune not in ("

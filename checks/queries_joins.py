@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from checks import views
 from checks.registry import query, rounded
+from panelweave.operators import packed
 from panelweave.functions.geometry import polygon_centroid
 from panelweave.operators.aggregates import election_catalog as catalog_of
 from panelweave.operators.aggregates import sum_by, widen, widen_votes
@@ -22,7 +25,7 @@ from panelweave.operators.places import add_coordinates, explode_districts as wi
 from panelweave.plans.blocs import bloc_votes
 from panelweave.operators.labels import lookup
 from panelweave.sources.geojson import scan_centroids
-from panelweave.storage import new_path
+from panelweave.storage import new_path, stage
 
 
 @query(
@@ -255,3 +258,59 @@ def geo_join_fallback(spark, sf):
         F.col("x0").alias("centroid_x"), F.col("y0").alias("centroid_y"),
     )
     return rounded(add_coordinates(known.unionAll(elsewhere), places), "centroid_x", "centroid_y")
+
+
+_ORDERED = "l_partkey || '-' || strftime(l_shipdate, '%Y%m%d')"
+
+
+@query(
+    f"""with cells as (select l_suppkey as supplier, {_ORDERED} as label, sum(l_quantity) as v from lineitem group by 1, 2),
+          ids as (select label, row_number() over (order by label) - 1 as id from (select distinct label from cells))
+        select supplier, count(*) as n_cells, md5(string_agg(id || ':' || cast(v as bigint), ',' order by id)) as cells_md5,
+          (select count(*) from ids) as n_labels
+        from cells join ids using (label) group by supplier"""
+)
+def packed_panel(spark, sf):
+    """A column for every part on every day it left: more than 50,000 at the scale of the comparison."""
+    lines = views.table(spark, sf, "lineitem")
+    label = F.concat_ws("-", "l_partkey", F.date_format("l_shipdate", "yyyyMMdd"))
+    cells = lines.groupBy(F.col("l_suppkey").alias("supplier"), label.alias("label")).agg(F.sum("l_quantity").alias("v"))
+    panel = packed.pack(stage(cells, "cells"), ["supplier"], "label", "v")
+    texts = F.transform("cells", lambda c: F.concat_ws(":", c["id"], c["value"].cast("long")))
+    n_labels = panel.labels.count()
+    return panel.rows.select(
+        "supplier", F.size("cells").cast("long").alias("n_cells"), F.md5(F.array_join(texts, ",")).alias("cells_md5"),
+        F.lit(n_labels).cast("long").alias("n_labels"),
+    )
+
+
+@query(
+    """with cells as (select l_suppkey as supplier, p_brand || '/' || year(l_shipdate) as label, sum(l_quantity) as v
+           from lineitem join part on p_partkey = l_partkey group by 1, 2),
+         n as (select count(distinct supplier) as n from cells),
+         kept as (select label, count(*) as filled, 1 - count(*) / any_value(n) as missing from cells, n group by label
+           having 1 - count(*) / any_value(n) <= 0.6)
+       select label, round(missing, 6) as missing, filled, round(corr(v, s_acctbal), 6) as correlation
+       from kept join cells using (label) join supplier on s_suppkey = supplier group by label, missing, filled"""
+)
+def packed_column_choice(spark, sf):
+    lines, parts = views.table(spark, sf, "lineitem"), views.table(spark, sf, "part")
+    label = F.concat_ws("/", "p_brand", F.year("l_shipdate"))
+    cells = lines.join(parts, lines["l_partkey"] == parts["p_partkey"]).groupBy(F.col("l_suppkey").alias("supplier"), label.alias("label"))
+    panel = packed.pack(stage(cells.agg(F.sum("l_quantity").alias("v")), "cells"), ["supplier"], "label", "v")
+    balances = views.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("supplier"), "s_acctbal")
+    panel = replace(panel, rows=stage(panel.rows.join(balances, "supplier"), "packed"))
+    kept = packed.keep_by_missing(panel, 0.6)
+    rates = packed.missing_rates(kept).select("label", "missing")
+    return rounded(packed.correlations(kept, "s_acctbal").join(rates, "label"), "missing", "correlation")
+
+
+@query(
+    """select f.codecommune, f.feature, cast(r.target as int) as annee, round(f.value, 6) as value
+       from feature_long f join resolved r on r.feature = f.feature and r.annee = f.annee"""
+)
+def packed_asof(spark, sf):
+    panel = packed.pack(views.stored(views.feature_long, spark, sf), ["codecommune", "annee"], "feature", "value")
+    years = views.votes_long(spark, sf).select(F.col("annee").alias("target"))
+    cells = packed.unpack(packed.as_of(panel, "annee", years))
+    return rounded(cells.select("codecommune", F.col("label").alias("feature"), F.col("annee").cast("int").alias("annee"), "value"), "value")

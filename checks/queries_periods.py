@@ -10,6 +10,7 @@ from panelweave.fixed_values import AUGMENTATION_SUFFIXES
 from panelweave.operators.augment import augment, augmented_long
 from panelweave.operators.distribution import quantiles, winsorize
 from panelweave.operators.distribution import rank_pct as ranked
+from panelweave.operators.incremental import refreshed_augmentation
 from panelweave.operators.periods import (
     delta_feature,
     lag_feature,
@@ -18,6 +19,7 @@ from panelweave.operators.periods import (
     with_previous,
     with_previous_elections,
 )
+from panelweave.storage import new_path
 
 _KEYS = ["codecommune", "feature", "annee"]
 _CHANGE = "case when prev_{v} <> 0 then ({v} - prev_{v}) / prev_{v} end"
@@ -120,6 +122,21 @@ def augmented_features(spark, sf):
     return rounded(augment(views.stored(views.feature_long, spark, sf), _KINDS), *_KINDS)
 
 
+@query(
+    "select codecommune, feature, annee, "
+    + ", ".join(f"round({e}, 6) as {k}" for k, e in _EXPRESSIONS.items())
+    + " from lagged where value is not null or prev_value is not null"
+)
+def augmented_increment(spark, sf):
+    """The same table in three steps: without two years, with both, and with one year's values put right."""
+    features = views.stored(views.feature_long, spark, sf)
+    folder = new_path(spark, "augmented")
+    wrong = features.withColumn("value", F.when(F.col("annee") == 1998, -F.col("value")).otherwise(F.col("value")))
+    for arrived in (wrong.filter(~F.col("annee").isin(1996, 1997)), wrong):
+        refreshed_augmentation(spark, folder, "features", arrived, _KINDS)
+    return rounded(refreshed_augmentation(spark, folder, "features", features, _KINDS).rows, *_KINDS)
+
+
 @query(
     """select codecommune, feature || '_rank' as feature, annee, round(rank, 6) as value from lagged
        where value is not null or prev_value is not null

@@ -69,18 +69,22 @@ def augmented_long(
     kinds = list(kinds)
     if kinds == ["raw"]:
         return features.select("codecommune", *_GROUP, "value")
-    wide = augment(features, kinds, rows_per_task)
+    return variants_long(augment(features, kinds, rows_per_task), kinds)
+
+
+def variants_long(wide: DataFrame, kinds: Iterable[str]) -> DataFrame:
+    """The columns of ``augment`` as rows, each kind under its own feature name."""
     variants = F.array(
         *[
             F.struct(
                 F.concat("feature", F.lit(AUGMENTATION_SUFFIXES.get(k, ""))).alias("feature"),
-                F.col("annee"),
                 F.col(k).alias("value"),
             )
             for k in kinds
         ]
     )
-    return wide.select("codecommune", F.inline(variants))
+    # the year stays outside, so that a filter on it reaches the files
+    return wide.select("codecommune", "annee", F.inline(variants)).select("codecommune", *_GROUP, "value")
 
 
 def augmented_catalog(catalog: DataFrame, kinds: Iterable[str]) -> DataFrame:

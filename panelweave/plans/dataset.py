@@ -14,9 +14,11 @@ from panelweave.config import PanelConfig
 from panelweave.fixed_values import MAX_PAST_YEARS, TYPE_CODES, UNKNOWN_TYPE_CODE
 from panelweave.operators.aggregates import label_values, mean_of_means, widen
 from panelweave.operators.asof import asof_backfill, backfill_map, resolve_years
-from panelweave.operators.augment import augmented_catalog, augmented_long
+from panelweave.operators.augment import augmented_catalog, variants_long
 from panelweave.operators.columns import drop_sparse, dropna_with_counts, quoted
+from panelweave.operators.incremental import refreshed_augmentation
 from panelweave.operators.joins import semi_keep_null
+from panelweave.operators.packed import dictionary, pack
 from panelweave.operators.periods import election_history, with_previous_elections
 from panelweave.operators.places import add_coordinates, explode_districts
 from panelweave.sinks import write_versioned
@@ -25,7 +27,7 @@ from panelweave.sources.covariates import covariate_versions, scan_covariates
 from panelweave.sources.elections import scan_elections
 from panelweave.sources.geojson import scan_centroids
 from panelweave.sources.listing import dataset_versions
-from panelweave.storage import shared_folder, stage
+from panelweave.storage import new_path, shared_folder, stage
 
 # --- fixed value: the election whose rows without a commune code are dropped --
 ELECTION_WITH_UNCODED_ROWS = ("referendum", 1946)
@@ -78,13 +80,14 @@ def _uncoded(df: DataFrame) -> DataFrame:
 class Dataset:
     """The table and how it came about: elections included as (type, year),
     years that stood in for others and rows dropped per missing share, both per
-    election, and columns removed as too sparse."""
+    election, columns removed as too sparse, and the dictionary of packed rows."""
 
     rows: DataFrame
     elections: list[tuple[str, int]]
     backfill: DataFrame
     dropped: DataFrame
     removed_columns: tuple[str, ...] = ()
+    labels: DataFrame | None = None  # of packed rows
 
 
 def assemble(
@@ -97,6 +100,7 @@ def assemble(
     encoding: str = "no",
     max_past: int = MAX_PAST_YEARS,
     catalog: DataFrame | None = None,
+    packed: bool = False,
 ) -> Dataset:
     """One row per commune and selected election.
 
@@ -107,6 +111,8 @@ def assemble(
     to each target year they stand in for, widened on (commune, year), and
     joined to the votes on the partitioning they then have.  ``catalog`` lists
     the (feature, annee) that ``features`` has; without it they are looked up.
+    ``packed`` puts the features in one column ``cells``, with ``labels`` for
+    their names, where there may be more of them than a table has columns.
     """
     keys = ["codecommune", "election_type", "annee"]
     legacy_type, legacy_year = ELECTION_WITH_UNCODED_ROWS
@@ -128,7 +134,11 @@ def assemble(
         catalog = features.select("feature", "annee").distinct()
     resolved = resolve_years(catalog, years, max_past)
     redated = _coded(asof_backfill(features, resolved))
-    wide = widen(redated, ["codecommune", "annee"], "feature", "value", label_values(resolved, "feature"))
+    labels = dictionary(resolved, "feature") if packed else None
+    if labels is None:
+        wide = widen(redated, ["codecommune", "annee"], "feature", "value", label_values(resolved, "feature"))
+    else:
+        wide = pack(redated, ["codecommune", "annee"], "feature", "value", labels).rows
     rows = _uncoded(_coded(target).join(wide, ["codecommune", "annee"], "left"))
     if places is not None:
         rows = add_coordinates(rows, places)
@@ -144,6 +154,7 @@ def assemble(
             known.filter(selected).select("election_type", F.col("annee").alias("target")), "target"
         ),
         dropped=dropped,
+        labels=labels,
     )
 
 
@@ -196,9 +207,12 @@ def build_dataset(spark: SparkSession, cfg: PanelConfig) -> Dataset:
     found = refreshed(
         spark, folder, key, covariate_versions(spark, root), covariates, ("feature", "annee"), "value", cfg.use_cached, ("annee",)
     )
-    features, catalog = augmented_long(found.rows, cfg.features_aug), augmented_catalog(found.catalog, cfg.features_aug)
+    features, catalog = found.rows, found.catalog
     if list(cfg.features_aug) != ["raw"]:
-        features = stage(features, "augmented")  # read once a target year
+        # kept beside the covariates: what a changed file does not touch is not computed again
+        kept = folder if cfg.use_cached else new_path(spark, "augmented")
+        stored = refreshed_augmentation(spark, kept, f"{key}-augmented", features, cfg.features_aug)
+        features, catalog = variants_long(stored.rows, cfg.features_aug), augmented_catalog(catalog, cfg.features_aug)
     options = {
         "places": load_places(spark, cfg.geojson_path),
         "encoding": cfg.encoding_type,

@@ -29,7 +29,7 @@ def cached(
     """
     path = f"{folder.rstrip('/')}/{key}.parquet"
     marker = f"{folder.rstrip('/')}/{key}.done"
-    stored = _stored(spark, path) if _stored(spark, marker) is not None else None
+    stored = stored_table(spark, path) if stored_table(spark, marker) is not None else None
     if use_cached and stored is not None:
         return stored
     result = build()
@@ -73,12 +73,12 @@ def refreshed(
     """
     base = f"{folder.rstrip('/')}/{key}"
     parts = {name: hashlib.md5(f"{name}|{version}".encode()).hexdigest()[:16] for name, version in versions.items()}
-    manifest = _stored(spark, f"{base}.manifest")
+    manifest = stored_table(spark, f"{base}.manifest")
     known = {} if manifest is None or not use_cached else {r["input"]: r["part"] for r in manifest.collect()}  # a row an input
-    if known and _stored(spark, f"{base}.parquet") is None:
+    if known and stored_table(spark, f"{base}.parquet") is None:
         known = {}
     changed = sorted(name for name, part in parts.items() if known.get(name) != part)
-    counts = _stored(spark, f"{base}.catalog") if known else None
+    counts = stored_table(spark, f"{base}.catalog") if known else None
     if changed or counts is None:
         changed = changed if counts is not None else sorted(parts)
         names = spark.createDataFrame([(n, parts[n]) for n in changed], "_input string, _part string")
@@ -111,7 +111,7 @@ def _read_parts(spark: SparkSession, path: str, parts: list[str], like: DataFram
     return reader.parquet(path).filter(F.col("_part").isin(parts))
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+def stored_table(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
     except AnalysisException as missing:
