@@ -126,6 +126,22 @@ def test_short_line_runs(spark):
     assert left == want
 
 
+def test_rows_that_share_an_id_lose_their_own_lines_only(spark):
+    block = "one\ntwo\nthree"
+    rows = [(1, block), (2, f"{block}\nx"), (2, "a\nb\nc\nd"), (3, "p\n" * 2000)]
+    left = sorted((r["doc_id"], r["text"], r["n_removed"]) for r in linededup.without_repeated_runs(documents(spark, rows)).collect())
+    assert left == [(1, block, 0), (2, "a\nb\nc\nd", 0), (2, "x", 3), (3, "p\n", 1999)]
+
+
+def test_positions_are_fewer_than_windows(spark):
+    rows = [(i, "\n".join(prose(1000 * i + j, 3) for j in range(200))) for i in range(5)]
+    docs = documents(spark, rows)
+    found = linededup.selected_positions(docs, "text", "doc_id", 3, None)
+    places = [(r["doc_id"], r["position"]) for r in found.collect()]
+    assert len(places) == len(set(places)) < 0.6 * 5 * 198
+    assert found.agg(F.sum(F.size("windows"))).first()[0] == 5 * 198
+
+
 def test_windows_cover_each_subsequence_once():
     rng = np.random.default_rng(0)
     values = rng.integers(0, 10**9, 60)

@@ -81,17 +81,12 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, SF).count() == len(last)
 
 
-SHORT_RUNS = r"""
+RUNS_OF_WINDOWS = """
 with d as (select doc_id, text, string_split(text, chr(10)) as lines from documents),
-  a as (select doc_id, n, s, len(lines) as size, array_to_string(lines[s + 1 : s + n], chr(10)) as win
-    from (select doc_id, lines, n, unnest(range(len(lines) - n + 1)) as s
-      from d, (select unnest([1, 2, 3]) as n) where len(lines) >= n)),
-  c as (select *, len(regexp_extract_all(win, '[^\x20\x09-\x0D]+')) as words from a),
-  w as (select doc_id, n, s, win, false as whole from c where n = 3 or words >= 50
-    union all select doc_id, n, s, win, true from c where n < 3 and n = size and words > 0),
-  r as (select doc_id, s, n from (
-    select *, row_number() over (partition by win, n, whole order by doc_id, s) as nth from w) where nth > 1),
-  g as (select distinct doc_id, unnest(range(s, s + n)) as p from r),
+  w as (select doc_id, s, array_to_string(lines[s + 1 : s + {n}], chr(10)) as win
+    from (select doc_id, lines, unnest(range(len(lines) - {n} + 1)) as s from d where len(lines) >= {n})),
+  r as (select doc_id, s from (select *, row_number() over (partition by win order by doc_id, s) as nth from w) where nth > 1),
+  g as (select distinct doc_id, unnest(range(s, s + {n})) as p from r),
   l as (select doc_id, unnest(lines) as line, unnest(range(len(lines))) as p from d),
   k as (select l.doc_id, count(*) as n_lines, count(g.p) as n_removed,
       string_agg(line, chr(10) order by l.p) filter (g.p is null) as kept
@@ -102,11 +97,13 @@ from d left join k using (doc_id)
 """
 
 
-def test_short_line_runs_match_sql(spark, con, monkeypatch):
+@pytest.mark.parametrize("window", [1, 2, 3, 5])
+def test_line_runs_of_any_window_match_sql(spark, con, monkeypatch, window):
     def line_runs(spark, sf):
-        cleaned = linededup.without_repeated_runs(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+        docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+        cleaned = linededup.without_repeated_runs(docs, window=window, min_words=None)
         return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
     monkeypatch.setitem(registry.QUERIES, "line_runs", line_runs)
-    monkeypatch.setitem(registry.ORACLES, "line_runs", SHORT_RUNS.strip())
+    monkeypatch.setitem(registry.ORACLES, "line_runs", RUNS_OF_WINDOWS.format(n=window).strip())
     assert compare(spark, con, SF, "line_runs") is None
