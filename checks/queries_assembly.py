@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from checks import views
 from checks.registry import query, rounded
 from panelweave.config import PanelConfig
-from panelweave.fixed_values import REMOVED_COMMUNES
+from panelweave.fixed_values import BALLOT_COLUMNS, REMOVED_COMMUNES
 from panelweave.operators.aggregates import widen
 from panelweave.operators.packed import PackedPanel, unpack
+from panelweave.plans.blocs import SHARES
+from panelweave.plans.blocs import european_panel as panel_of_files
 from panelweave.plans.dataset import build_dataset
 from panelweave.plans.dataset import dataset_for_election as one_election
 from panelweave.plans.dataset import global_dataset as all_elections
@@ -113,3 +115,66 @@ def entry_build_dataset(spark, sf):
     ))
     names = {f"totalscommunes/{f}": f for f in _FEATURES}
     return rounded(built.rows.withColumnsRenamed(names).drop("round"), *_VOTES, *_FEATURES)
+
+
+def _european_files(spark, sf) -> str:
+    """The published files of ballots and registered voters; elections of other kinds under names to be left out."""
+    root = new_path(spark, "european")
+    other = {"pres": "2002_pres_t1", "legi": "2007_legi_t1"}
+    kind = F.substring("id_election", 6, 4)
+    election = F.when(kind == "pres", other["pres"]).when(kind == "legi", other["legi"]).otherwise(F.col("id_election")).alias("id_election")
+    rows = views.vote_detail(spark, sf)
+    named = {"Code du département": F.col("dept"), "Code de la commune": F.col("commune"), "Voix": F.col("voix"), "Nuance": F.col("nuance"),
+             "Libellé Abrégé Liste": F.concat(F.lit("L"), (F.col("voix") % 2).cast("string"))}
+    text = F.lit(None).cast("string")
+    rows.select(election, *[named.get(c, text).alias(c) for c in BALLOT_COLUMNS[1:]]).write.parquet(f"{root}/candidats_results.parquet")
+    code = F.col("codecommune")
+    views.registered_detail(spark, sf).select(
+        election, F.substring(code, 1, 2).alias("Code du département"), F.substring(code, 3, 3).alias("Code de la commune"), F.col("inscrits").alias("Inscrits"),
+    ).write.parquet(f"{root}/general_results.parquet")
+    return root
+
+
+def _label_file(spark, path: str, lines: list[str]) -> str:
+    spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1).write.text(path)
+    return path
+
+
+_TURNOUT = "case when r.inscrits = 0 then 0 else cast(s.exprimes as double) / r.inscrits end"
+
+
+@query(
+    f"""select s.codecommune, s.annee, {', '.join(f'round(s.{c}, 6) as {c}' for c in SHARES)},
+          round({_TURNOUT}, 6) as pvoteppar, r.inscrits, 3 as type
+        from bloc_share s left join registered_sum r using (annee, codecommune)"""
+)
+def european_panel(spark, sf):
+    """From the files: ballots, registered voters and two label files, repeated codes and empty labels in them."""
+    root = _european_files(spark, sf)
+    maps = [
+        _label_file(spark, f"{root}/nuances", ["Nuance,Tendance", "1,Droite", "2,", "3,Centre", "5,Droite", "1,Gauche"]),
+        _label_file(spark, f"{root}/libelle", ["Nuance,Tendance", "2,Droite", "4,Centre-droit", "2,Centre-gauche", "3,Gauche"]),
+    ]
+    panel = panel_of_files(spark, f"{root}/candidats_results.parquet", f"{root}/general_results.parquet", maps)
+    return rounded(panel, *SHARES, "pvoteppar")
+
+
+@query(
+    f"""select codecommune, annee, round(coalesce(c / nullif(exprimes, 0), 0), 6) as centre, round(coalesce(d / nullif(exprimes, 0), 0), 6) as droite,
+          round(coalesce(g / nullif(exprimes, 0), 0), 6) as gauche, round({_TURNOUT}, 6) as pvoteppar
+        from (select annee, codecommune, cast(sum(voix) as double) as exprimes,
+            coalesce(sum(voix) filter (bloc = 'C'), 0) as c, coalesce(sum(voix) filter (bloc = 'D'), 0) as d, coalesce(sum(voix) filter (bloc = 'G'), 0) as g
+          from (select annee, codecommune, voix, case when nuance = '1' and voix % 2 = 0 then 'D' when nuance = '1' then 'G'
+              when nuance = '3' and voix % 2 = 0 then 'C' when nuance = '5' and voix % 2 = 1 then 'D' end as bloc from ballots)
+          where bloc is not null group by 1, 2) s left join registered_sum r using (annee, codecommune)"""
+)
+def european_panel_by_label(spark, sf):
+    """A bloc decided by code and list label together."""
+    root = _european_files(spark, sf)
+    lines = ["Nuance,Libellé Abrégé Liste,Tendance", "1,L0,Droite", "1,L1,Droite", "3,L0,Centre", "5,L1,Droite", "1,L1,Gauche"]
+    panel = panel_of_files(
+        spark, f"{root}/candidats_results.parquet", f"{root}/general_results.parquet", [_label_file(spark, f"{root}/labels", lines)],
+        label_key=("Nuance", "Libellé Abrégé Liste"),
+    )
+    renamed = panel.withColumnsRenamed({"pvotepvoteC": "centre", "pvotepvoteD": "droite", "pvotepvoteG": "gauche"})
+    return rounded(renamed.select("codecommune", "annee", "centre", "droite", "gauche", "pvoteppar"), "centre", "droite", "gauche", "pvoteppar")

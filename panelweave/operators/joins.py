@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.predicates import complete
@@ -30,24 +30,19 @@ def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str) -
 def require_unique(df: DataFrame, keys: list[str], what: str = "table") -> DataFrame:
     """The same rows, failing at run time if a key (NULL included) repeats.
 
-    The check is a group count with map-side combine.  It leaves the data
-    hashed on ``keys``, so a join on them adds no second exchange.
+    Rows of a key are numbered, which sorts them by the key alone, and a second
+    one is an error.  It leaves the data hashed and sorted on ``keys``, so a
+    join on them adds neither exchange nor sort.
     """
-    rest = [c for c in df.columns if c not in keys]
-    packed = F.struct(*[F.col(quoted(c)) for c in rest]) if rest else F.lit(1)
-    grouped = df.groupBy(*[quoted(k) for k in keys]).agg(
-        F.count(F.lit(1)).alias("_copies"), F.first(packed).alias("_row")
-    )
+    by_key = [F.col(quoted(k)) for k in keys]
     repeated = F.concat(
         F.lit(f"{what}: more than one row for key ("),
-        F.concat_ws(", ", *[F.coalesce(F.col(quoted(k)).cast("string"), F.lit("NULL")) for k in keys]),
+        F.concat_ws(", ", *[F.coalesce(k.cast("string"), F.lit("NULL")) for k in by_key]),
         F.lit(")"),
     )
-    ok = F.when(F.col("_copies") == 1, F.lit(True)).otherwise(
-        F.raise_error(repeated).cast("boolean")
-    )
-    fields = {c: F.col("_row")[c].alias(c) for c in rest}
-    return grouped.filter(ok).select(*[fields.get(c, F.col(quoted(c))) for c in df.columns])
+    numbered = df.withColumn("_copy", F.row_number().over(Window.partitionBy(*by_key).orderBy(*by_key)))
+    ok = F.when(F.col("_copy") == 1, F.lit(True)).otherwise(F.raise_error(repeated).cast("boolean"))
+    return numbered.filter(ok).drop("_copy")
 
 
 def join_one_to_one(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:

@@ -15,6 +15,7 @@ from panelweave.functions.names import commune_code, election_year
 from panelweave.functions.numbers import ratio_or_zero, row_total, share_or_zero
 from panelweave.functions.predicates import not_in
 from panelweave.operators.aggregates import pivot_sum, sum_by
+from panelweave.operators.columns import quoted
 from panelweave.operators.labels import lookup
 from panelweave.sources.lookups import scan_lookup_csv
 from panelweave.sources.parquet import scan_projected
@@ -48,15 +49,17 @@ def bloc_panel(
     registered: DataFrame,
     maps: list[DataFrame],
     type_code: int = EUROPEAN_TYPE_CODE,
+    on: str | list[str] = "nuance",
 ) -> DataFrame:
     """Shares of five blocs, turnout and registered voters per commune-year.
 
     ``ballots``: (annee, codecommune, nuance, voix).  ``registered``: (annee,
     codecommune, inscrits).  ``maps``: (nuance, tendance), unique, in order of
-    precedence.  Both details are combined on the map side and hashed on
+    precedence; ``on`` names their key, which may be several columns of the
+    ballots.  Both details are combined on the map side and hashed on
     (annee, codecommune) once; the join reuses that partitioning.
     """
-    labelled = lookup(ballots, maps, "nuance", "tendance", "tendance")
+    labelled = lookup(ballots, maps, on, "tendance", "tendance")
     shares = bloc_shares(bloc_votes(labelled))
     voters = sum_by(registered, ["annee", "codecommune"], ["inscrits"])
     panel = with_turnout(shares, voters)
@@ -72,18 +75,20 @@ def european_panel(
     map_paths: list[str],
     filter_registered: bool = True,
     type_code: int = EUROPEAN_TYPE_CODE,
+    label_key: tuple[str, ...] = ("Nuance",),
 ) -> DataFrame:
     """The bloc panel of European elections from the published files.
 
     ``filter_registered=False`` sums registered voters over every election of a
-    year instead of the European ones.
+    year instead of the European ones.  ``label_key`` names the columns, of the
+    ballots and of every lookup file, that decide a list's bloc.
     """
     european = not_in(F.col("id_election"), NON_EUROPEAN_ELECTIONS, keep_null=False)
     code = commune_code(F.col("`Code du département`"), F.col("`Code de la commune`"))
     ballots = scan_projected(spark, ballots_path, list(BALLOT_COLUMNS), predicate=european).select(
         election_year(F.col("id_election")).alias("annee"),
         code.alias("codecommune"),
-        F.col("Nuance").alias("nuance"),
+        *[F.col(quoted(k)) for k in label_key],
         F.col("Voix").alias("voix"),
     )
     registered = scan_projected(
@@ -97,7 +102,7 @@ def european_panel(
         F.col("Inscrits").alias("inscrits"),
     )
     maps = [
-        scan_lookup_csv(spark, p).withColumnsRenamed({"Nuance": "nuance", "Tendance": "tendance"})
+        scan_lookup_csv(spark, p, list(label_key)).withColumnRenamed("Tendance", "tendance")
         for p in map_paths
     ]
-    return bloc_panel(ballots, registered, maps, type_code)
+    return bloc_panel(ballots, registered, maps, type_code, list(label_key))
