@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from checks import views
+from checks.queries_periods import KIND_EXPRESSIONS
 from checks.registry import query, rounded
 from panelweave.config import PanelConfig
-from panelweave.fixed_values import BALLOT_COLUMNS, REMOVED_COMMUNES
+from panelweave.fixed_values import AUGMENTATION_SUFFIXES, BALLOT_COLUMNS, REMOVED_COMMUNES
 from panelweave.operators.aggregates import widen
+from panelweave.operators.evaluation import Regression
 from panelweave.operators.packed import PackedPanel, unpack
+from panelweave.operators.selection import FeatureSelector
 from panelweave.plans.blocs import SHARES
 from panelweave.plans.blocs import european_panel as panel_of_files
 from panelweave.plans.dataset import build_dataset
 from panelweave.plans.dataset import dataset_for_election as one_election
 from panelweave.plans.dataset import global_dataset as all_elections
+from panelweave.plans.modelling import model_of_panel
 from panelweave.storage import new_path
 
 _TYPE = "case h.election_type when 'presidentiel' then 0 when 'legislative' then 1 else 2 end"
@@ -23,11 +30,11 @@ _VOTES = ["pvotea", "pvoteb", "pvotepreviousa", "pvotepreviouspreviousa", "pvote
 _FEATURES = ["base", "lines", "maxprice", "qty"]
 
 
-def _dataset_sql(condition: str, features: list[str], places: bool = False) -> str:
+def _dataset_sql(condition: str, features: list[str], places: bool = False, digits: int = 6) -> str:
     values = ", ".join(
-        f"""max(round(f.value, 6)) filter (r.feature = '{f}') as {f}""" for f in features
+        f"""max(round(f.value, {digits})) filter (r.feature = '{f}') as {f}""" for f in features
     )
-    votes = ", ".join(f"round(h.{c}, 6) as {c}" for c in _VOTES)
+    votes = ", ".join(f"round(h.{c}, {digits}) as {c}" for c in _VOTES)
     chosen = ", ".join(f"w.{f}" for f in features)
     coordinates = """, coalesce(g.x0, d.x) as centroid_x, coalesce(g.y0, d.y) as centroid_y""" if places else ""
     place_joins = """
@@ -95,6 +102,16 @@ def packed_dataset(spark, sf):
     return rounded(cells.select("codecommune", "annee", "type", "pvotea", "feature", "value"), "pvotea", "value")
 
 
+def _panel_files(spark, sf) -> str:
+    """Election folders and one covariate file with years in its column names."""
+    root = new_path(spark, "data")
+    votes = views.votes_gappy(spark, sf).withColumnsRenamed({"pvotea": "a", "pvoteb": "b"})
+    votes.write.partitionBy("election_type", "annee").parquet(f"{root}/elections")
+    cells = views.stored(views.feature_long, spark, sf).withColumn("name", F.concat("feature", F.col("annee").cast("string")))
+    widen(cells, ["codecommune"], "name", "value").write.parquet(f"{root}/totalscommunes.parquet")
+    return root
+
+
 @query(
     _dataset_sql(
         "h.election_type in ('presidentiel', 'legislative') and h.annee >= 1997 and h.codecommune not in ("
@@ -104,11 +121,7 @@ def packed_dataset(spark, sf):
 )
 def entry_build_dataset(spark, sf):
     """The whole build from files: election folders, a covariate file, the cache, the saved table."""
-    root = new_path(spark, "data")
-    votes = views.votes_gappy(spark, sf).withColumnsRenamed({"pvotea": "a", "pvoteb": "b"})
-    votes.write.partitionBy("election_type", "annee").parquet(f"{root}/elections")
-    cells = views.stored(views.feature_long, spark, sf).withColumn("name", F.concat("feature", F.col("annee").cast("string")))
-    widen(cells, ["codecommune"], "name", "value").write.parquet(f"{root}/totalscommunes.parquet")
+    root = _panel_files(spark, sf)
     built = build_dataset(spark, PanelConfig(
         data_path=root, vote_variables=("a", "b"), include_elections=("presidentiel", "legislative"), min_year=1997,
         use_cached=True, cache_dir=f"{root}/cache", output_dir=f"{root}/out",
@@ -117,6 +130,110 @@ def entry_build_dataset(spark, sf):
     return rounded(built.rows.withColumnsRenamed(names).drop("round"), *_VOTES, *_FEATURES)
 
 
+def _on_known_communes(name: str) -> str:
+    """A view over the features of the communes that an election knows."""
+    chain = "|".join(("feature_long", "catalog", "grid", "bounds", "winsored", "lagged"))
+    return f"known_{name} as (" + re.sub(rf"\b({chain})\b", r"known_\1", views.VIEWS[name]) + ")"
+
+
+_REMOVED = ", ".join(f"'{c}'" for c in REMOVED_COMMUNES)
+_CELLS = ", ".join(
+    f"{{'name': '{AUGMENTATION_SUFFIXES.get(k, '')}', 'value': cast({e} as double)}}" for k, e in KIND_EXPRESSIONS.items()
+)
+
+
+@query(
+    f"""select codecommune, annee, type, name, round(value, 6) as value from (with
+      known_feature_long as (select * from feature_long where codecommune not in ({_REMOVED})),
+      {", ".join(_on_known_communes(v) for v in ("catalog", "grid", "bounds", "winsored", "lagged"))},
+      wanted as materialized (select h.codecommune, h.annee, {_TYPE} as type, h.inscrits, {", ".join(f"h.{c}" for c in _VOTES)},
+          coalesce(g.x0 + g.w / 2, d.x) as centroid_x, coalesce(g.y0 + g.h / 2, d.y) as centroid_y
+        from votes_history h left join geo_shape g on g.codecommune = h.codecommune
+        left join (select substring(codecommune, 1, 2) as dept, arg_min(x0 + w / 2, codecommune) as x, arg_min(y0 + h / 2, codecommune) as y
+          from geo_shape group by 1) d on d.dept = substring(h.codecommune, 1, 2)
+        where h.pvotea is not null and h.pvoteb is not null and h.codecommune not in ({_REMOVED})
+          and h.election_type in ('presidentiel', 'legislative') and h.annee >= 1997),
+      variants as (select codecommune, annee, type, 'totalscommunes/' || feature || cell.name as name, cell.value as value from (
+          select t.codecommune, t.annee, t.type, l.feature, unnest([{_CELLS}]) as cell
+          from wanted t join resolved r on r.target = t.annee
+          join known_lagged l on l.feature = r.feature and l.annee = r.annee and l.codecommune = t.codecommune)),
+      cells as (select * from (unpivot wanted on inscrits, {", ".join(_VOTES)}, centroid_x, centroid_y into name name value value)
+        union all select * from variants where value is not null)
+      select * from cells where name in (
+        select name from cells group by name having (select count(*) from wanted) - count(*) <= 0.5 * (select count(*) from wanted)))"""
+)
+def entry_build_dataset_full(spark, sf):
+    """The build with coordinates from a GeoJSON folder, every variant of the features, and the quality filter; its cells."""
+    root = _panel_files(spark, sf)
+    shapes = views.geo_shape(spark, sf)
+    geometry = F.concat(F.lit('{"type":"Polygon","coordinates":'), F.to_json(F.array(views.rectangle())), F.lit("}"))
+    feature = F.concat(
+        F.lit('{"type":"Feature","properties":{"code":"'), F.col("codecommune"), F.lit('"},"geometry":'), geometry, F.lit("}")
+    )
+    # a file a department, which holds at most 1000 features
+    files = shapes.groupBy(F.substring("codecommune", 1, 2).alias("dept")).agg(
+        F.array_sort(F.collect_list(F.struct("codecommune", feature.alias("f")))).alias("s")
+    )
+    value = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join("s.f", ","), F.lit("]}"))
+    files.select("dept", value.alias("value")).write.partitionBy("dept").text(f"{root}/communes")
+    built = build_dataset(spark, PanelConfig(
+        data_path=root, vote_variables=("a", "b"), include_elections=("presidentiel", "legislative"), min_year=1997,
+        features_aug=tuple(KIND_EXPRESSIONS), geojson_path=f"{root}/communes", quality_filter=True, output_dir=f"{root}/out",
+    ))
+    rows = built.rows.drop("round")
+    keys = ["codecommune", "annee", "type"]
+    measures = [F.col(f"`{c}`").cast("double").alias(c) for c in rows.columns if c not in keys]
+    cells = rows.select(*keys, *measures).unpivot(keys, [c for c in rows.columns if c not in keys], "name", "value")
+    return rounded(cells.filter("value is not null"), "value")
+
+
+_PREPARED = ["inscrits", *_VOTES[1:], *_FEATURES]
+_BIN = "floor((rank() over (partition by feature order by {0}) - 1) * 10 / count(*) over (partition by feature))"
+
+
+@query(
+    f"""select feature, round(score, 6) as score, round(r2, 6) as r2, round(rmse, 6) as rmse, round(y_std, 6) as y_std, round(y_mean, 6) as y_mean
+      from (with
+      panel as materialized (select codecommune, annee, pvotea as y, {", ".join(_PREPARED)} from (
+          {_dataset_sql("h.election_type in ('presidentiel', 'legislative') and h.annee >= 1993", _FEATURES, digits=15)})
+        where annee > 1994 and type = 0),
+      long as (select * from panel unpivot include nulls (x for feature in ({", ".join(_PREPARED)}))),
+      filled as materialized (select codecommune, annee, y, feature, coalesce(x, median(x) over (partition by feature)) as x from long
+        where feature in (select feature from long group by feature having cast(count(*) - count(x) as double) / count(*) <= 0.4)),
+      binned as (select feature, {_BIN.format("x")} as bx, {_BIN.format("y")} as "by" from filled),
+      counted as (select feature, bx, "by", cast(count(*) as double) as n from binned group by all),
+      scored as (select feature, sum(n / t * ln(n * t / (tx * ty))) as score from (select feature, n, sum(n) over (partition by feature) as t,
+          sum(n) over (partition by feature, bx) as tx, sum(n) over (partition by feature, "by") as ty from counted) group by feature),
+      best as materialized (select *, row_number() over (order by score desc, feature) as nth from scored),
+      chosen as (select codecommune, annee, any_value(y) as y, max(x) filter (nth = 1) as u, max(x) filter (nth = 2) as v
+        from filled join best using (feature) group by 1, 2),
+      dealt as materialized (select *, 1 / (1 - power(corr(u, v) over (), 2)) <= 10 as apart, row_number() over (order by md5(codecommune || '|' || annee || '|42')) > ceil(round(0.15 * count(*) over (), 6)) as train
+        from chosen),
+      fit as (select b1, b2, my - b1 * mu - b2 * mv as b0 from (
+          select case when apart then (ruy - ruv * rvy) / (1 - ruv * ruv) * sy / su else 0 end as b1,
+            case when apart then (rvy - ruv * ruy) / (1 - ruv * ruv) else rvy end * sy / sv as b2, my, mu, mv
+          from (select any_value(apart) as apart, corr(u, v) as ruv, corr(u, y) as ruy, corr(v, y) as rvy, avg(u) as mu, avg(v) as mv, avg(y) as my,
+              stddev_pop(u) as su, stddev_pop(v) as sv, stddev_pop(y) as sy from dealt where train))),
+      measured as (select 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(y)) as r2, sqrt(avg((y - p) * (y - p))) as rmse,
+          stddev_pop(y) as y_std, avg(y) as y_mean from (select y, b0 + b1 * u + b2 * v as p from dealt, fit where not train))
+      select feature, score, r2, rmse, y_std, y_mean from best, measured
+      where nth = 2 or (nth = 1 and (select any_value(apart) from dealt)))"""
+)
+def modelling_chain(spark, sf):
+    """A saved panel, its years and columns filtered, two features chosen (one, where they explain each other), a linear model measured."""
+    path = new_path(spark, "panel")
+    all_elections(
+        views.stored(views.votes_gappy, spark, sf), views.stored(views.feature_long, spark, sf), views.VOTES,
+        ["presidentiel", "legislative"], 1993,
+    ).rows.write.parquet(path)
+    found = model_of_panel(
+        spark, path, Regression(LinearRegression, solver="normal"), "pvotea", selector=FeatureSelector(n_mi=2), starting_year=1994, threshold=0.4
+    )
+    measures = [F.lit(found.metrics[c]).alias(c) for c in ("r2", "rmse", "y_std", "y_mean")]
+    chosen = found.scores.filter(F.col("feature").isin(found.selected)).select("feature", "score", *measures)
+    return rounded(chosen, "score", "r2", "rmse", "y_std", "y_mean")
+
+
 def _european_files(spark, sf) -> str:
     """The published files of ballots and registered voters; elections of other kinds under names to be left out."""
     root = new_path(spark, "european")

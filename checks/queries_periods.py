@@ -100,7 +100,7 @@ _winsor_variant("deltawinsor", "winsor - prev_winsor")
 _winsor_variant("pct_changewinsor", _CHANGE.format(v="winsor"))
 
 _KINDS = ["raw", *AUGMENTATION_SUFFIXES]
-_EXPRESSIONS = {
+KIND_EXPRESSIONS = {
     "raw": "value",
     "rank": "rank",
     "winsor": "winsor",
@@ -115,7 +115,7 @@ _EXPRESSIONS = {
 
 @query(
     "select codecommune, feature, annee, "
-    + ", ".join(f"round({e}, 6) as {k}" for k, e in _EXPRESSIONS.items())
+    + ", ".join(f"round({e}, 6) as {k}" for k, e in KIND_EXPRESSIONS.items())
     + " from lagged where value is not null or prev_value is not null"
 )
 def augmented_features(spark, sf):
@@ -124,7 +124,7 @@ def augmented_features(spark, sf):
 
 @query(
     "select codecommune, feature, annee, "
-    + ", ".join(f"round({e}, 6) as {k}" for k, e in _EXPRESSIONS.items())
+    + ", ".join(f"round({e}, 6) as {k}" for k, e in KIND_EXPRESSIONS.items())
     + " from lagged where value is not null or prev_value is not null"
 )
 def augmented_increment(spark, sf):

@@ -152,9 +152,12 @@ class FeatureSelector:
         filled = impute_medians(df.filter(F.col(quoted(target)).isNotNull()), features)
         if max_rows is not None:
             filled = sample_capped(filled, keys, max_rows, seed)
-        rows = stage(filled.select(*[F.col(quoted(c)) for c in [*features, target]]), "selection")
+        return self.fit_filled(stage(filled.select(*[F.col(quoted(c)) for c in [*features, target]]), "selection"), features, target)
+
+    def fit_filled(self, rows: DataFrame, features: list[str], target: str) -> FeatureSelector:
+        """Over a stored table without missing values, which is read as it is."""
         best = top_k(mutual_information(rows, features, target, self.bins), self.n_mi).collect()
-        self.scores = df.sparkSession.createDataFrame(best, "feature string, score double")
+        self.scores = rows.sparkSession.createDataFrame(best, "feature string, score double")
         self.selected_features = vif_prune(rows, [r["feature"] for r in best], self.vif_limit)
         return self
 

@@ -111,3 +111,38 @@ def test_fit_explain_and_tune(data):
         scoring="neg_root_mean_squared_error", refit=False,
     )
     assert none is None and error < 0
+
+
+def test_model_of_panel_prunes_years_and_columns(spark, tmp_path):
+    from pyspark.ml.regression import LinearRegression
+
+    from panelweave.operators.evaluation import Regression
+    from panelweave.operators.selection import FeatureSelector
+    from panelweave.plans.modelling import model_of_panel, modelling_rows
+
+    rows = spark.range(400).selectExpr(
+        "cast(id as string) as codecommune", "cast(1990 + id % 20 as int) as annee", "cast(id % 2 as int) as type",
+        "cast(3 * (id % 37) + 2 as double) as share", "cast(id % 37 as double) as `a/b`",
+        "case when id % 7 = 0 then null else cast(id % 11 as double) end as gappy",
+        "case when id % 8 <> 1 then cast(1 as double) end as sparse", "'text' as named",
+        "case when id % 50 = 10 then null else cast(id % 5 as double) end as target",
+    )
+    path = str(tmp_path / "panel")
+    rows.write.parquet(path)
+    prepared = modelling_rows(spark, path, "share", starting_year=1999, election_type=1, threshold=0.19)
+    assert prepared.columns == ["codecommune", "annee", "share", "a/b", "gappy", "target"]
+    assert prepared.count() == 100 and prepared.agg({"annee": "min"}).first()[0] == 2001
+    assert prepared.filter("gappy is null").count() == 0
+
+    found = model_of_panel(
+        spark, path, Regression(LinearRegression, solver="normal"), "share", selector=FeatureSelector(n_mi=1), starting_year=1999, election_type=1
+    )
+    assert found.selected == ["a/b"] and found.metrics["r2"] > 0.999
+    assert [r["feature"] for r in found.importances.collect()] == ["a/b"]
+    # rows without a target take no part
+    assert modelling_rows(spark, path, "target", starting_year=1999, election_type=0).count() == 96
+    with pytest.raises(ValueError, match="absent"):
+        modelling_rows(spark, path, "absent")
+    with pytest.raises(ValueError, match="no numeric feature"):
+        rows.select("codecommune", "annee", "type", "share").write.parquet(path + "-bare")
+        model_of_panel(spark, path + "-bare", Regression(LinearRegression), "share")
