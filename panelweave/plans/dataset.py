@@ -20,7 +20,7 @@ from panelweave.operators.incremental import refreshed_augmentation
 from panelweave.operators.joins import semi_keep_null
 from panelweave.operators.packed import dictionary, pack
 from panelweave.operators.periods import election_history, with_previous_elections
-from panelweave.operators.places import add_coordinates, explode_districts
+from panelweave.operators.places import add_coordinates, with_unlisted_districts
 from panelweave.sinks import write_versioned
 from panelweave.sources.cache import refreshed
 from panelweave.sources.covariates import covariate_versions, scan_covariates
@@ -182,7 +182,7 @@ def load_places(spark: SparkSession, path: str | None) -> DataFrame | None:
     if not path:
         return None
     try:
-        return explode_districts(scan_centroids(spark, path))
+        return with_unlisted_districts(stage(scan_centroids(spark, path), "centroids"))
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise

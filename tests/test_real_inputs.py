@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelweave.operators.columns import drop_sparse, missing_counts, missing_profile
 from panelweave.operators.distribution import impute_medians
 from panelweave.operators.evaluation import permutation_step
-from panelweave.operators.places import add_coordinates
+from panelweave.operators.places import add_coordinates, with_unlisted_districts
 from panelweave.operators.ordering import number_in_order
 from panelweave.operators.sampling import kfold, row_token, sample_capped, split_train_test
 from panelweave.operators.selection import FeatureSelector, mutual_information
@@ -75,6 +75,16 @@ def test_places_listed_twice_and_without_centroid(spark):
     assert add_coordinates(rows, places).count() == 5
 
 
+def test_districts_listed_themselves_keep_their_centroids(spark):
+    places = spark.createDataFrame(
+        [(0, "69001", 1.0, 1.0), (1, "69123", 2.0, 2.0), (2, "69381", 3.0, 3.0), (3, "75056", 4.0, 4.0), (4, "75101", None, None)],
+        "position int, codecommune string, centroid_x double, centroid_y double",
+    )
+    rows = spark.createDataFrame([("69123",), ("69381",), ("69382",), ("75101",), ("75120",)], "codecommune string")
+    found = {r.codecommune: r.centroid_x for r in add_coordinates(rows, with_unlisted_districts(places)).collect()}
+    assert found == {"69123": 2.0, "69381": 3.0, "69382": 1.0, "75101": 4.0, "75120": 4.0}
+
+
 def test_rows_without_code_do_not_stop_the_build(spark):
     votes = spark.createDataFrame(
         [(None, "referendum", 1946, 1.0, 0.1), (None, "referendum", 1946, 2.0, 0.2), ("01001", "referendum", 1946, 3.0, 0.3), ("01001", "referendum", 1958, 3.0, 0.4)],
