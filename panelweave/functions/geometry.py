@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _SUMS = "struct<a double, x double, y double>"
+_WALK = "struct<a double, x double, y double, px double, py double>"
 _RING = "array<array<double>>"
 _POLYGON = f"array<{_RING}>"
 _MULTIPOLYGON = f"array<{_POLYGON}>"
@@ -30,28 +31,39 @@ def _add(left: Column, right: Column, sign: Column) -> Column:
     )
 
 
-def _ring_sums(ring: Column, x0: Column, y0: Column) -> Column:
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _ring_sums(ring: Column, origin: Column) -> Column:
     """Twice the area and the first moments of a ring, always with positive area.
 
-    Coordinates are taken relative to (x0, y0): the cross products then stay
-    small and keep their digits.
+    Coordinates are taken relative to ``origin``: the cross products then stay
+    small and keep their digits.  A walk over the points carries the point
+    before; the first one meets itself, which adds nothing.
     """
 
-    def edge(sums: Column, i: Column) -> Column:
-        p, q = F.element_at(ring, i), F.element_at(ring, i + 1)
-        px, py, qx, qy = p[0] - x0, p[1] - y0, q[0] - x0, q[1] - y0
+    def edge(sums: Column, q: Column) -> Column:
+        px, py, qx, qy = sums["px"], sums["py"], q["x"], q["y"]
         cross = px * qy - qx * py
         return F.struct(
             (sums["a"] + cross).alias("a"),
             (sums["x"] + (px + qx) * cross).alias("x"),
             (sums["y"] + (py + qy) * cross).alias("y"),
+            qx.alias("px"),
+            qy.alias("py"),
         )
 
-    edges = F.when(F.size(ring) > 1, F.sequence(F.lit(1), F.size(ring) - 1)).otherwise(
-        F.array().cast("array<int>")
-    )
-    signed = F.aggregate(edges, _zero(), edge)
-    return F.aggregate(F.array(signed), _zero(), lambda acc, s: _add(acc, s, F.signum(s["a"])))
+    def walk(points: Column) -> Column:
+        first = F.get(points, F.lit(0))
+        zero = [F.lit(0.0).alias(c) for c in ("a", "x", "y")]
+        start = F.struct(*zero, first["x"].alias("px"), first["y"].alias("py")).cast(_WALK)
+        signed = F.aggregate(points, start, edge)
+        return _bound(signed, lambda s: _add(_zero(), s, F.signum(s["a"])))
+
+    near = F.transform(ring, lambda p: F.struct((p[0] - origin[0]).alias("x"), (p[1] - origin[1]).alias("y")))
+    return F.when(F.size(ring) > 1, _bound(near, walk)).otherwise(_zero())
 
 
 def polygon_centroid(polygons: Column) -> Column:
@@ -60,23 +72,29 @@ def polygon_centroid(polygons: Column) -> Column:
     The first ring of each polygon is its outline, further rings are holes.
     NULL when the total area is zero.
     """
-    origin = F.element_at(F.element_at(F.element_at(polygons, 1), 1), 1)
-    x0, y0 = origin[0], origin[1]
-
-    def polygon(total: Column, rings: Column) -> Column:
-        holes = F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0)))
-        outline = _add(total, _ring_sums(F.element_at(rings, 1), x0, y0), F.lit(1.0))
-        return F.aggregate(
-            holes, outline, lambda acc, hole: _add(acc, _ring_sums(hole, x0, y0), F.lit(-1.0))
-        )
 
-    def finish(total: Column) -> Column:
+    def of_shape(shape: Column) -> Column:
+        first = F.lit(0)
+        return _bound(F.get(F.get(F.get(shape, first), first), first), lambda origin: around(shape, origin))
+
+    def around(shape: Column, origin: Column) -> Column:
+        def polygon(total: Column, rings: Column) -> Column:
+            holes = F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0)))
+            outline = _bound(_ring_sums(F.element_at(rings, 1), origin), lambda ring: _add(total, ring, F.lit(1.0)))
+            return F.aggregate(
+                holes, outline,
+                lambda acc, hole: _bound(_ring_sums(hole, origin), lambda ring: _add(acc, ring, F.lit(-1.0))),
+            )
+
+        return F.aggregate(shape, _zero(), polygon, lambda total: finish(total, origin))
+
+    def finish(total: Column, origin: Column) -> Column:
         return F.when(
             total["a"] != 0,
             F.struct(
-                (x0 + total["x"] / (total["a"] * 3)).alias("x"),
-                (y0 + total["y"] / (total["a"] * 3)).alias("y"),
+                (origin[0] + total["x"] / (total["a"] * 3)).alias("x"),
+                (origin[1] + total["y"] / (total["a"] * 3)).alias("y"),
             ),
         )
 
-    return F.aggregate(polygons, _zero(), polygon, finish)
+    return _bound(polygons, of_shape)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks import registry, views
+from panelweave.functions.geometry import polygon_centroid
 from panelweave.operators.aggregates import widen
 from panelweave.operators.distribution import rank_pct
 from panelweave.operators.evaluation import permutation_importance
@@ -71,6 +72,13 @@ def test_previous_values_use_one_exchange(spark):
     assert exchanges(plan(with_previous_elections(votes, ["pvotex"]))) == 1
 
 
+def test_a_centroid_computes_its_polygons_once(spark):
+    rings = spark.read.schema("corners array<array<double>>").parquet(SF + "/nation.parquet")
+    center = polygon_centroid(F.array(F.array("corners")))
+    projected = [line for line in plan(rings.select(center.alias("c"))).splitlines() if "aggregate(" in line]
+    assert projected and all(line.count("corners#") == 1 for line in projected)
+
+
 def test_rank_sorts_once(spark):
     rows = spark.createDataFrame([("g", 1.0)], "g string, v double")
     text = plan(rank_pct(rows, ["g"], "v"))
