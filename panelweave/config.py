@@ -19,6 +19,7 @@ class PanelConfig:
     cache_dir: str | None = None
     features_aug: tuple[str, ...] = ("raw",)
     geojson_path: str | None = None
+    every_place: bool = False  # a row for each listing of a repeated code
     one_election: bool = False
     target_year: int | None = None
     target_type: str | None = None

@@ -55,7 +55,7 @@ def join_one_to_one(left: DataFrame, right: DataFrame, on: list[str]) -> DataFra
 def lookup_join(
     df: DataFrame, table: DataFrame, on: list[str], max_rows: int = SMALL_TABLE_ROWS
 ) -> DataFrame:
-    """Left join with a table that is unique on ``on``.
+    """Left join with a lookup table, as a rule unique on ``on``.
 
     A checked-small table is broadcast.  With a larger one both sides are
     exchanged, and adaptive execution splits the detail rows of a key that holds

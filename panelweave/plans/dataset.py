@@ -97,6 +97,7 @@ def assemble(
     selected: Column,
     *,
     places: DataFrame | None = None,
+    every_place: bool = False,
     encoding: str = "no",
     max_past: int = MAX_PAST_YEARS,
     catalog: DataFrame | None = None,
@@ -111,6 +112,7 @@ def assemble(
     to each target year they stand in for, widened on (commune, year), and
     joined to the votes on the partitioning they then have.  ``catalog`` lists
     the (feature, annee) that ``features`` has; without it they are looked up.
+    ``every_place`` repeats a row for each listing of its code in ``places``.
     ``packed`` puts the features in one column ``cells``, with ``labels`` for
     their names, where there may be more of them than a table has columns.
     """
@@ -141,7 +143,7 @@ def assemble(
         wide = pack(redated, ["codecommune", "annee"], "feature", "value", labels).rows
     rows = _uncoded(_coded(target).join(wide, ["codecommune", "annee"], "left"))
     if places is not None:
-        rows = add_coordinates(rows, places)
+        rows = add_coordinates(rows, places, every_place)
     rows = encode_type(rows, encoding, votes)
     feature_names = [c for c in wide.columns if c not in ("codecommune", "annee")]
     extra = ["centroid_x", "centroid_y"] if places is not None else []
@@ -215,6 +217,7 @@ def build_dataset(spark: SparkSession, cfg: PanelConfig) -> Dataset:
         features, catalog = variants_long(stored.rows, cfg.features_aug), augmented_catalog(catalog, cfg.features_aug)
     options = {
         "places": load_places(spark, cfg.geojson_path),
+        "every_place": cfg.every_place,
         "encoding": cfg.encoding_type,
         "max_past": cfg.max_past_years,
         "catalog": catalog,

@@ -75,6 +75,16 @@ def test_places_listed_twice_and_without_centroid(spark):
     assert add_coordinates(rows, places).count() == 5
 
 
+def test_every_listing_of_a_place_on_demand(spark):
+    places = spark.createDataFrame(
+        [(1, "01003", 3.0, 3.0), (1, "01003", 9.0, 9.0), (2, "01003", 5.0, None)], "position int, codecommune string, centroid_x double, centroid_y double"
+    )
+    rows = spark.createDataFrame([("01003", 1), ("01003", 2), ("01999", 3), ("02001", 4)], "codecommune string, n int")
+    found = sorted((r.n, r.centroid_x) for r in add_coordinates(rows, places, every=True).collect() if r.centroid_x)
+    assert found == [(1, 3.0), (1, 9.0), (2, 3.0), (2, 9.0), (3, 3.0)]
+    assert add_coordinates(rows, places, every=True).count() == 6
+
+
 def test_districts_listed_themselves_keep_their_centroids(spark):
     places = spark.createDataFrame(
         [(0, "69001", 1.0, 1.0), (1, "69123", 2.0, 2.0), (2, "69381", 3.0, 3.0), (3, "75056", 4.0, 4.0), (4, "75101", None, None)],
