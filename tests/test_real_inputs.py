@@ -64,6 +64,12 @@ def test_last_line_wins_over_several_files(spark, tmp_path):
     assert found["X"] == "last"
 
 
+def test_every_line_of_a_lookup_on_demand(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Nuance,Libellé,Tendance\nX,"a, b",Centre\n\nX,c,\n,d,Gauche\nX,e,Centre\n', encoding="utf-8")
+    found = scan_lookup_csv(spark, str(tmp_path), every=True).collect()
+    assert sorted((r.Nuance, r.Tendance or "") for r in found) == [("X", ""), ("X", "Centre"), ("X", "Centre")]
+
+
 def test_places_listed_twice_and_without_centroid(spark):
     places = spark.createDataFrame(
         [(0, "01001", None, None), (1, "01002", 1.0, 1.0), (2, "01003", 3.0, 3.0), (3, "01003", 9.0, 9.0), (4, "02001", None, None)],
