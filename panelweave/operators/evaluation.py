@@ -7,9 +7,11 @@ from math import gcd
 from multiprocessing.pool import ThreadPool
 from statistics import fmean, pstdev
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from panelweave.fixed_values import CV_FOLDS, PERMUTATION_REPEATS, RANDOM_SEED, TEST_FRACTION
 from panelweave.operators.columns import quoted
-from panelweave.operators.moments import fold_scores, products_by_fold
+from panelweave.operators.moments import fold_scores, products_by_fold, rows_of_equal_products, score
 from panelweave.operators.ordering import number_in_order
 from panelweave.operators.sampling import kfold, row_token, split_train_test
 from panelweave.storage import stage
@@ -180,23 +182,45 @@ class Regression:
         )
         return self.model, importances, metrics
 
-    def _from_products(self, points: list[dict], scoring: str) -> bool:
-        """Whether sums of products give the same scores as fitting would."""
+    def _plain_linear(self, points: list[dict], scoring: str) -> bool:
+        """Whether a fit and its score read nothing of the rows but sums of products."""
         known = {"maxIter", "tol", "solver", "standardization", "regParam", "elasticNetParam"}
         settings = [{**self.params, **point} for point in points]
         return (
             self.base is LinearRegression
             and scoring != "neg_mean_absolute_error"
-            and all(set(s) <= known and not s.get("elasticNetParam") and s.get("solver") != "l-bfgs" for s in settings)
+            and all(set(s) <= known and s.get("solver") != "l-bfgs" for s in settings)
         )
 
-    def _scores_from_products(self, folded, features, target, points, scoring) -> list[list[float]]:
+    def _some_lasso(self, points: list[dict]) -> bool:
+        return any({**self.params, **point}.get("elasticNetParam") for point in points)
+
+    def _from_products(self, points: list[dict], scoring: str) -> bool:
+        """Whether sums of products give the same scores as fitting would."""
+        return self._plain_linear(points, scoring) and not self._some_lasso(points)
+
+    def _from_few_rows(self, points: list[dict], scoring: str) -> bool:
+        """Whether some point needs a search, which a few rows of equal products can serve."""
+        return self._plain_linear(points, scoring) and self._some_lasso(points)
+
+    def _scores_from_products(self, folded, features, target, points, scoring, parallelism) -> list[list[float]]:
         products = products_by_fold(folded, features, target, "fold")
         settings = [{**self.params, **point} for point in points]
-        return [
-            fold_scores(products, s.get("regParam", 0.0), scoring, s.get("standardization", True))
-            for s in settings
-        ]
+        total = sum(products.values())
+
+        def by_fitting(setting_and_fold) -> float:
+            setting, own = setting_and_fold
+            rows = [(Vectors.dense(r[:-1]), float(r[-1])) for r in rows_of_equal_products(total - own)]
+            model = LinearRegression(**setting).fit(folded.sparkSession.createDataFrame(rows, ["features", "label"]).coalesce(1))
+            return float(score(own, np.array([model.intercept, *model.coefficients, -1.0]), scoring))
+
+        def scores(s: dict) -> list[float]:
+            if s.get("regParam") and s.get("elasticNetParam"):  # no closed form: Spark's own search, on a few rows
+                return pool.map(by_fitting, [(s, own) for own in products.values()], chunksize=1)
+            return fold_scores(products, s.get("regParam", 0.0), scoring, s.get("standardization", True))
+
+        with ThreadPool(parallelism) as pool:
+            return [scores(s) for s in settings]
 
     def _scores_by_fitting(self, folded, estimator, grid, target, cv_splits, scoring, parallelism) -> list[list[float]]:
         evaluator = RegressionEvaluator(labelCol=target, metricName=SCORINGS[scoring])
@@ -231,9 +255,8 @@ class Regression:
         Results have one row per grid point: parameters, mean and population
         standard deviation of the fold scores, rank, and the scores by fold.
 
-        A grid of plain linear models, penalised by squares or not at all, is
-        scored from one pass over the rows; any other estimator is fitted for
-        every point and fold.
+        A grid of plain linear models is scored from one pass over the rows;
+        any other estimator is fitted for every point and fold.
         """
         if scoring not in SCORINGS:
             raise ValueError(f"unknown scoring {scoring!r}; known: {sorted(SCORINGS)}")
@@ -246,8 +269,8 @@ class Regression:
             *[F.col(quoted(c)) for c in [*features, target]], "fold"
         )
         points = [{p.name: v for p, v in point.items()} for point in grid]
-        if self._from_products(points, scoring):
-            scores = self._scores_from_products(folded, features, target, points, scoring)
+        if self._from_products(points, scoring) or self._from_few_rows(points, scoring):
+            scores = self._scores_from_products(folded, features, target, points, scoring, parallelism)
         else:
             folded = stage(folded, "folded")
             scores = self._scores_by_fitting(folded, estimator, grid, target, cv_splits, scoring, parallelism)

@@ -78,6 +78,23 @@ def ridge(products: np.ndarray, penalty: float, standardise: bool = True) -> np.
     return weights
 
 
+def rows_of_equal_products(products: np.ndarray) -> np.ndarray:
+    """2 x (features + 1) rows of (features, target) with the means and covariances of the rows behind ``products``.
+
+    A least-squares fit reads nothing else of its rows, so it has the same path
+    and result on these.  A column without spread keeps none.
+    """
+    n = products[0, 0]
+    mean, second = products[0, 1:] / n, products[1:, 1:] / n
+    centred = second - np.outer(mean, mean)
+    flat = np.diag(centred) <= 1e-24 * np.maximum(np.diag(second), 1e-300)
+    centred[flat, :], centred[:, flat] = 0, 0
+    values, directions = np.linalg.eigh(centred)
+    steps = (directions * np.sqrt(np.maximum(values, 0) * len(values))).T
+    steps[:, flat] = 0
+    return mean + np.concatenate((steps, -steps))
+
+
 def score(products: np.ndarray, weights: np.ndarray, scoring: str) -> float:
     """Of the rows whose products these are; larger is better."""
     n = products[0, 0]

@@ -96,6 +96,22 @@ def test_scores_from_products_equal_fits(spark, settings):
         assert not Regression(LinearRegression)._from_products([other], "r2")
 
 
+def test_an_elastic_net_is_searched_on_a_few_rows(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal([1e4, 0, 3], [1, 50, 2], (400, 3))
+    y = x @ [2.0, 0.1, 0.0] + rng.normal(size=400)
+    df = spark.createDataFrame([(i, *map(float, r), 7.0, float(v)) for i, (r, v) in enumerate(zip(x, y))], "i int, a double, b double, c double, same double, y double")
+    columns, grid = ["a", "b", "c", "same"], {"regParam": [0.0, 0.3], "elasticNetParam": [0.0, 0.5, 1.0]}
+    slow = Regression(LinearRegression)
+    slow._plain_linear = lambda points, scoring: False
+    fitted = slow.tune(df, ["i"], columns, "y", grid, refit=False, cv_splits=3)[1]
+    monkeypatch.setattr(Regression, "_scores_by_fitting", None)  # no fit on the rows
+    quick = Regression(LinearRegression).tune(df, ["i"], columns, "y", grid, refit=False, cv_splits=3)[1]
+    key = lambda r: (r.param_regParam, r.param_elasticNetParam)
+    for a, b in zip(sorted(quick.collect(), key=key), sorted(fitted.collect(), key=key)):
+        assert key(a) == key(b) and a.fold_scores == pytest.approx(b.fold_scores, abs=1e-5)
+
+
 def test_products_need_one_pass_and_few_numbers(spark):
     df = spark.range(1000).selectExpr("id % 4 as fold", "cast(id as double) x", "cast(3 * id + 1e9 as double) y")
     products = products_by_fold(df, ["x"], "y", "fold")
