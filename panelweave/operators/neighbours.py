@@ -15,8 +15,8 @@ cells by y, each of about as many points, so cells are small where points are
 dense.  A point's neighbours in its own cell bound its radius; then it visits
 only cells that reach into the square of that size.  Strips and their cells are
 found by two joins whose tables have about the square root of all cells in a
-row, cells are searched in blocks of bounded size, and a cell with many visitors
-is split.  Rows on either axis are counted by their places in the order of all
+row, in blocks of about the root of that with a box around each, cells are
+searched in blocks of bounded size, and a cell with many visitors is split.  Rows on either axis are counted by their places in the order of all
 values and range ends.
 
 Values are brought to whole numbers first, in 2^-20 of the column's standard
@@ -150,21 +150,33 @@ def radii(points: DataFrame, k: int = NEIGHBOURS, cell_points: int = CELL_POINTS
     boxes = packed.drop("members")
     whole = boxes.groupBy("feature").agg(F.greatest(F.max("x1") - F.min("x0"), F.max("y1") - F.min("y0")).alias("_widest"))
     corners = ["x0", "x1", "y0", "y1"]
-    of_strip = boxes.groupBy("feature", "_strip").agg(F.collect_list(F.struct("_cell", *corners)).alias("_cells"), *[(F.min if c[1] == "0" else F.max)(c).alias(c) for c in corners])
-    of_strip = stage(of_strip, "strip_boxes")
-    of_feature = of_strip.groupBy("feature").agg(F.collect_list(F.struct("_strip", *corners)).alias("_strips"))
+    around = [(F.min if c[1] == "0" else F.max)(c).alias(c) for c in corners]
+    cells = max(1, boxes.count())
+    in_block = ceil(cells**0.25)  # the root of a strip's cells, and of the strips
+
+    def blocks(df: DataFrame, by: list[str], number: str, out: str) -> DataFrame:
+        """A row for ``by`` with the boxes in blocks, each with the box around it: a point meets few of them."""
+        block = df.groupBy(*by, F.floor(F.col(number) / in_block).alias("_block")).agg(F.collect_list(F.struct(number, *corners)).alias("boxes"), *around)
+        return block.groupBy(*by).agg(F.collect_list(F.struct("boxes", *corners)).alias(out), *around)
+
+    of_strip = stage(blocks(boxes, ["feature", "_strip"], "_cell", "_cells"), "strip_boxes")
+    of_feature = blocks(of_strip.select("feature", "_strip", *corners), ["feature"], "_strip", "_strips").select("feature", "_strips")
     facts = pin_small(of_feature.join(whole, "feature"))  # a row a feature
 
     # a neighbour in another cell counts only if it is nearer than the bound
     bound = F.coalesce(F.get("near", F.lit(k - 1)), F.col("_widest") + 1)
 
     def reaches(b: Column) -> Column:
+        # of one box, or of a block, which a point reaches that reaches a box in it
         return (b.x0 - F.col("bound") < F.col("x")) & (F.col("x") < b.x1 + F.col("bound")) & (b.y0 - F.col("bound") < F.col("y")) & (F.col("y") < b.y1 + F.col("bound"))
 
+    def reached(name: str) -> Column:
+        return F.explode(F.flatten(F.transform(F.filter(name, reaches), lambda b: F.filter(b.boxes, reaches)))).alias("_to")
+
     asking = met.join(facts, "feature").withColumn("bound", bound)
-    asking = asking.select(*_POINT, "copies", "bound", F.col("_strip").alias("_s"), F.col("_cell").alias("_c"), F.explode(F.filter("_strips", reaches)).alias("_to"))
+    asking = asking.select(*_POINT, "copies", "bound", F.col("_strip").alias("_s"), F.col("_cell").alias("_c"), reached("_strips"))
     asking = asking.withColumn("_strip", F.col("_to._strip")).drop("_to").join(of_strip.select("feature", "_strip", "_cells"), ["feature", "_strip"])
-    visits = asking.select(*_POINT, "copies", "bound", "_strip", "_s", "_c", F.explode(F.filter("_cells", reaches)).alias("_to"))
+    visits = asking.select(*_POINT, "copies", "bound", "_strip", "_s", "_c", reached("_cells"))
     visits = visits.withColumn("_cell", F.col("_to._cell")).filter((F.col("_strip") != F.col("_s")) | (F.col("_cell") != F.col("_c")))
     visits = stage(visits.select(*_CELL, "x", "y", "copies", "bound"), "visits")
     pieces = visits.groupBy(*_CELL).agg(F.ceil(F.count(F.lit(1)) / visitors).alias("_pieces"))

@@ -8,7 +8,9 @@ import pytest
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
+from panelweave import storage
 from panelweave.functions.geometry import geometry_polygons
+from panelweave.operators import neighbours
 from panelweave.operators.evaluation import Regression
 from panelweave.operators.moments import products_by_fold, ridge
 from panelweave.operators.neighbours import digamma, neighbour_information, radii, whole_points
@@ -71,6 +73,20 @@ def test_visitors_are_split_and_few_rows_score_zero(spark):
     assert neighbour_information(few.filter("x > 9"), ["x"], "y").first()["score"] == 0.0
 
 
+def test_a_point_meets_blocks_of_boxes(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(neighbours, "stage", lambda df, name: seen.setdefault(name, storage.stage(df, name)))
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in rng.normal(size=(3000, 2))], "x double, y double").repartition(4)
+    near = radii(whole_points(df, ["x"], "y"), cell_points=4)
+    plain = {(r.x, r.y): r.radius for r in near.collect()}
+    points = np.array(list(plain))
+    apart = np.abs(points[:, None] - points).max(axis=2)
+    assert [plain[tuple(p)] for p in points] == np.sort(apart, axis=1)[:, 3].tolist()
+    strips, longest = seen["strip_boxes"].count(), seen["strip_boxes"].agg(F.max(F.size("_cells"))).first()[0]
+    assert strips > 20 and longest <= strips / 3
+
+
 def test_digamma(spark):
     rows = spark.range(1, 400).select("id", digamma(F.col("id")).alias("d")).collect()
     assert max(abs(r["d"] - harmonic(r["id"])) for r in rows) < 1e-9
