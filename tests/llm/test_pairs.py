@@ -204,6 +204,23 @@ def test_passages_around_a_frequent_phrase(spark):
     assert all(r["n_repeated"] >= 50 for r in found.values())
 
 
+def test_a_frequent_line_makes_few_pairs(spark, monkeypatch):
+    """Texts that share no more than a line are told apart without their whole texts."""
+    line, counts, stage = prose(80, 13, "l"), [], passages.stage
+    rows = [(i, f"{prose(100 + i, 40, f'x{i}-')} {line} {prose(9000 + i, 40, f'y{i}-')}") for i in range(1500)]
+
+    def counted(df, name):
+        out = stage(df, name)
+        if name == "candidates":
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(passages, "stage", counted)
+    found = passages.passage_classes(documents(spark, rows)).collect()
+    assert len({r["class_id"] for r in found}) == 1500 and not any(r["n_repeated"] for r in found)
+    assert sum(counts) < 750
+
+
 def passages_at_the_limit(count):
     """Pairs of passages with one word changed in the middle, 0.80 to 0.90 alike as sets of five-word tokens."""
     rng, rows, alike = random.Random(11), [], []
