@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -243,6 +244,98 @@ def test_passages_at_the_limit(spark):
     assert len({r["class_id"] for r in found.values()}) >= 400
 
 
+def test_a_hot_passage_is_dealt_in_proportion(spark, monkeypatch):
+    """Of a passage that most texts hold, a few cut ones meet the others; the others do not meet each other."""
+    passage, sent, places = prose(90, 64, "h"), [], []
+    rows = [(i, f"{prose(100 + i, 50, f'x{i}-')} {passage} {prose(9000 + i, 50, f'y{i}-')}") for i in range(600)]
+    rows += [(1000 + i, f"{prose(20_000 + i, 50, f'u{i}-')} {' '.join(passage.split()[:40])} {prose(30_000 + i, 50, f'v{i}-')}") for i in range(8)]
+    frame, stage = type(spark.range(0)), passages.stage
+    run = frame.mapInArrow
+
+    def counted(df, *args, **options):
+        kinds = dict(df.dtypes)
+        if kinds.get("covered") in ("boolean", "array<boolean>") and kinds.get("tokens") in ("binary", "array<binary>") and kinds.get("key") != "array<bigint>":
+            sent.append(df.count() if kinds["tokens"] == "binary" else df.agg(F.sum(F.size("tokens"))).first()[0])
+        return run(df, *args, **options)
+
+    def kept(df, name):
+        out = stage(df, name)
+        if name == "places":
+            places.append(out.agg(F.sum(F.size("key"))).first()[0])
+        return out
+
+    for name in ("SALTED", "BLOCK"):
+        monkeypatch.setattr(passages, name, 32, raising=False)
+    monkeypatch.setattr(frame, "mapInArrow", counted)
+    monkeypatch.setattr(passages, "stage", kept)
+    found = {r["doc_id"]: r for r in passages.passage_classes(documents(spark, rows)).collect()}
+    assert all(found[i]["class_id"] == 0 and found[i]["n_repeated"] >= 64 for i in range(600))
+    assert all(found[i]["class_id"] == i and not found[i]["n_repeated"] for i in range(1000, 1008))
+    assert len(places) == len(sent) == 1 and 600 < places[0] and sent[0] <= 4 * places[0]
+
+
+def some_places(seed, count, values, node=lambda i: i):
+    """Rows node, label, covered, contexts, with common runs and repeated tokens."""
+    rng = np.random.default_rng(seed)
+    common = rng.integers(1, 60_000, 200).astype(np.uint16)
+    contexts = rng.integers(1, values, (count, 93)).astype(np.uint16)
+    for i in range(count):
+        at, many, shift = rng.integers(0, 60), rng.integers(5, 93), rng.integers(-20, 21)
+        part = common[max(0, 60 + at + shift) :][: min(many, 93 - at)]
+        contexts[i, at : at + len(part)] = part
+        if i % 3 == 0:
+            contexts[i, : rng.integers(0, 40)] = 0
+        if i % 5 == 0:
+            contexts[i, rng.integers(30, 50) : rng.integers(50, 93)] = 7
+    return np.array([node(i) for i in range(count)]), rng.integers(0, 4, count), rng.random(count) < 0.5, contexts
+
+
+def pairs_one_by_one(x, y):
+    found = set()
+    for (n, k, c, around), (m, kk, cc, near) in itertools.product(zip(*x), zip(*y)):
+        if n != m and not (k == kk and c and cc):
+            both = (around, near) if n < m else (near, around)
+            if passages._begins(both[0][None], both[1][None], 46, 15)[0]:
+                found.add((min(n, m), max(n, m)))
+    return found
+
+
+def test_places_are_told_apart_by_bits_as_by_each_pair():
+    for seed, values in ((1, 60_000), (2, 9)):
+        x = some_places(seed, 60, values)
+        y = some_places(seed, 90, values, lambda i: (i * 37) % 100)
+        expected = pairs_one_by_one(x, y)
+        assert expected and {tuple(p) for p in passages._alike(x, y, 46, 15).T.tolist()} == expected
+
+
+def test_cells_may_end_in_any_batch(monkeypatch):
+    rows, expected = [], set()
+    for key, (own, other) in enumerate([(3, 0), (30, 50), (2, 3), (0, 5), (40, 0), (12, 12)]):
+        sides = [some_places(10 * key + n, many, 60_000, lambda i, n=n: 1000 * key + 2 * i + n) for n, many in enumerate((own, other))]
+        inner = key != 5
+        for x, y in [(sides[0], sides[1])] + [(sides[0], sides[0])] * inner:
+            expected |= pairs_one_by_one(x, y)
+        for n, side in enumerate(sides):
+            rows += [(key, 0, 1, n, inner, *(v.item() for v in row[:3]), row[3].tobytes()) for row in zip(*side)]
+    # the tokens' bytes come last; small cells look at every pair
+    names = ["key", "one", "two", "side", "inner", "node", "label", "covered", "tokens"]
+    table = pa.table([list(c) for c in zip(*rows)], names=names)
+    for size, at_once in ((1000, 1000), (7, 1000), (7, 8), (20, 11)):
+        monkeypatch.setattr(passages, "AT_ONCE", at_once)
+        out = [tuple(p.values()) for b in passages._meeting(46, 5)(table.to_batches(size)) for p in b.to_pylist()]
+        within = {(a, b) for a, b in out if not (a % 2 == b % 2 == 1 and a // 1000 == b // 1000)}
+        assert within == expected
+
+
+def test_verification_in_parts(spark):
+    passage = prose(91, 60, "z")
+    rows = [(i, f"{prose(100 + i, 30, f'x{i}-')} {passage} {prose(9000 + i, 30, f'y{i}-')}") for i in range(12)]
+    texts = spark.createDataFrame(rows, "node long, text string")
+    pairs = spark.createDataFrame([(a, b) for a in range(12) for b in range(a + 1, 12)], "a long, b long")
+    whole, parts = ({tuple(r) for r in passages._verified(texts, pairs, n, 5, 46, 0.8).collect()} for n in (1 << 30, 1000))
+    assert whole == parts and len(whole) == 66
+
+
 def vectors():
     rng = random.Random(2)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(400)]
